@@ -9,10 +9,12 @@ in one sweep over a token range.
 from __future__ import annotations
 
 import re
+import sys
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -398,6 +400,9 @@ def absolute_url(relative: str, base: str) -> str | None:
 
 # ---- Arrow batches ------------------------------------------------------------
 
+# the kernel travels with the plan, so executors need no installed copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _guarded(function, value, width: int) -> tuple:
     """Results of one row and its error; a broken page must not end the job."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text_basics import TAG_END, WS, WS_IN_LINE, as_col, has_text, present, replace_each_match, trim_all, trim_start
+from .text_basics import TAG_END, WS, WS_IN_LINE, as_col, bind, has_text, present, replace_each_match, trim_all, trim_start
 
 # Entities, tag names, wording and property names.
 NAMED_ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
@@ -28,43 +28,48 @@ META_SEPARATOR = " · "
 
 def _code_point_text(number: Column) -> Column:
     """Character for a code point; 0 becomes U+FFFD, beyond the range NULL."""
-    number = F.when(number == 0, F.lit(REPLACEMENT_CODE_POINT)).otherwise(number)
-    # lone surrogates have no UTF-8 form, so they show as the replacement character
-    number = F.when(number.between(0xD800, 0xDFFF), F.lit(REPLACEMENT_CODE_POINT)).otherwise(number)
-    text = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32BE")
-    return F.when(number <= MAX_CODE_POINT, text)
 
+    def text_of(number: Column) -> Column:
+        # lone surrogates have no UTF-8 form, so they show as the replacement character
+        shown = F.when((number == 0) | number.between(0xD800, 0xDFFF), REPLACEMENT_CODE_POINT).otherwise(number)
+        text = F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32BE")
+        return F.when(number <= MAX_CODE_POINT, text)
 
-def _entity_number(match: Column, pattern: str, base: int) -> Column:
-    digits = F.regexp_replace(F.regexp_extract(match, pattern, 1), r"^0+(?=.)", "")
-    # more digits than any code point has: out of range whatever the value
-    number = F.conv(digits, base, 10).try_cast("bigint")
-    return F.when(F.length(digits) > 8, F.lit(MAX_CODE_POINT + 1).cast("bigint")).otherwise(number)
+    return bind(number, text_of)
+
+
+def _entity_text(pattern: str, base: int):
+    def text_of(match: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(match, pattern, 1), r"^0+(?=.)", "")
+        # more digits than any code point has: out of range whatever the value
+        short = F.when(F.length(digits) <= 8, F.conv(digits, base, 10).try_cast("bigint"))
+        return _code_point_text(F.coalesce(short, F.lit(MAX_CODE_POINT + 1).cast("bigint")))
+
+    return text_of
+
+
+def _numeric_entities(text: Column, mark: str, pattern: str, base: int) -> Column:
+    def decoded(source: Column) -> Column:
+        changed = replace_each_match(source, pattern, _entity_text(pattern, base), may_fail=True)
+        return F.when(source.contains(mark), changed).otherwise(source)
+
+    return bind(text, decoded)
 
 
 def decode_entities(text: Column | str) -> Column:
     """Hexadecimal, then decimal, then one pass over the six named entities.
 
     A code point out of range gives NULL, which callers report as a failed row.
-    Texts without ``&`` skip everything.
     """
-    text = as_col(text)
-    hexed = replace_each_match(
-        text, HEX_ENTITY, lambda m: _code_point_text(_entity_number(m, HEX_ENTITY, 16)), may_fail=True
-    )
-    after_hex = F.when(text.contains("&#x"), hexed).otherwise(text)
-    decimal = replace_each_match(
-        after_hex, DECIMAL_ENTITY, lambda m: _code_point_text(_entity_number(m, DECIMAL_ENTITY, 10)), may_fail=True
-    )
-    after_decimal = F.when(text.contains("&#"), decimal).otherwise(text)
-    named = after_decimal
-    # numeric forms that the first two passes uncovered, still part of this pass
+    named = _numeric_entities(as_col(text), "&#x", HEX_ENTITY, 16)
+    named = _numeric_entities(named, "&#", DECIMAL_ENTITY, 10)
+    # numeric forms that the first two passes uncovered, still part of the last pass
     for entity, char in NUMERIC_IN_LAST_PASS.items():
         named = F.replace(named, F.lit(entity), F.lit(char))
     # `&amp;` goes last, so the text it uncovers is not decoded a second time
     for name in ("nbsp", "lt", "gt", "quot", "apos", "amp"):
         named = F.replace(named, F.lit(f"&{name};"), F.lit(NAMED_ENTITIES[name]))
-    return F.when(text.contains("&"), named).otherwise(text)
+    return named
 
 
 def strip_style_tags(text: Column | str) -> Column:
@@ -167,10 +172,12 @@ def has_block(content: Column | str) -> Column:
 def splice_body(content: Column | str, body: Column, fresh_block: Column) -> Column:
     """New body under the kept block, or under a fresh block where there is none
     (in that case the body is not trimmed)."""
-    kept = kept_block(content)
-    return F.when(kept != "", F.concat(kept, F.lit("\n\n"), trim_start(body), F.lit("\n"))).otherwise(
-        F.concat(F.lit("---\n"), fresh_block, F.lit("\n---\n\n"), body, F.lit("\n"))
-    )
+    fresh = F.concat(F.lit("---\n"), fresh_block, F.lit("\n---\n\n"), body, F.lit("\n"))
+
+    def spliced(kept: Column) -> Column:
+        return F.when(kept != "", F.concat(kept, F.lit("\n\n"), trim_start(body), F.lit("\n"))).otherwise(fresh)
+
+    return bind(kept_block(content), spliced)
 
 
 def _entry_key(entry: Column) -> Column:
@@ -187,13 +194,6 @@ def merge_properties(content: Column, title: Column, created: Column, source: Co
     Works on the top-level entries of the block as text, so nested values and the
     author's own properties stay as written. Contents without a block stay as is.
     """
-    kept = kept_block(content)
-    inner = F.regexp_extract(kept, rf"(?s)^{_FENCE}\n(.*?)\n?{_FENCE}\z", 1)
-    rest = F.substring(content, F.length(F.regexp_extract(content, FENCED_BLOCK, 1)) + 1, F.length(content))
-    # a top-level entry starts at a line that is neither indented, a list item nor a comment
-    entries = F.split(inner, r"\n(?=[^\s#-][^\n]*?:)", -1)
-    entries = F.filter(entries, lambda e: (trim_all(e) != "") & ~_entry_key(e).isin(*LEGACY_PROPERTIES))
-
     wanted = {
         "title": F.concat(F.lit("title: "), yaml_string(title)),
         "created": F.when(has_text(created), F.concat(F.lit("created: "), created)),
@@ -201,7 +201,7 @@ def merge_properties(content: Column, title: Column, created: Column, source: Co
         "tags": _tag_lines(_no_tags() if tags is None else tags),
     }
 
-    def fill(entry: Column) -> Column:
+    def filled(entry: Column) -> Column:
         chosen = entry
         for key, line in wanted.items():
             value = _entry_value(entry)
@@ -209,8 +209,19 @@ def merge_properties(content: Column, title: Column, created: Column, source: Co
             chosen = F.when((_entry_key(entry) == key) & blank & line.isNotNull(), line).otherwise(chosen)
         return chosen
 
-    keys = F.transform(entries, _entry_key)
-    absent = F.array(*[F.when(~F.array_contains(keys, key), line) for key, line in wanted.items()])
-    lines = F.concat(F.transform(entries, fill), F.filter(absent, lambda line: line.isNotNull()))
-    merged = F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---"), rest)
-    return F.when(kept != "", merged).otherwise(content)
+    def lines(entries: Column) -> Column:
+        keys = F.transform(entries, _entry_key)
+        absent = F.array(*[F.when(~F.array_contains(keys, key), line) for key, line in wanted.items()])
+        return F.array_join(F.concat(F.transform(entries, filled), F.filter(absent, lambda line: line.isNotNull())), "\n")
+
+    def merged(block: Column) -> Column:
+        inner = F.regexp_extract(block, rf"(?s)^{_FENCE}\r?\n(.*?)\r?\n?{_FENCE}\z", 1)
+        # a top-level entry starts at a line that is neither indented, a list item nor a comment
+        entries = F.split(F.replace(inner, F.lit("\r\n"), F.lit("\n")), r"\n(?=[^\s#-][^\n]*?:)", -1)
+        kept = F.filter(entries, lambda e: (trim_all(e) != "") & ~_entry_key(e).isin(*LEGACY_PROPERTIES))
+        rest = F.substring(content, F.length(block) + 1, F.length(content))
+        return F.when(block == "", content).otherwise(
+            F.concat(F.lit("---\n"), bind(kept, lines), F.lit("\n---"), rest)
+        )
+
+    return bind(F.regexp_extract(content, FENCED_BLOCK, 1), merged)

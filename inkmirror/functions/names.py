@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text_basics import as_col, collapse_ws, has_text, present, trim_all, utf16_prefix
+from .text_basics import as_col, collapse_ws, present, trim_all, utf16_prefix
 
 # Names, limits and tables that results must agree on.
 ILLEGAL_FILENAME_CHARS = r'[/\\:*?"<>|]'
@@ -142,6 +142,3 @@ def path_prefixes(path: Column | str) -> Column:
         F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")),
     ).otherwise(F.array().cast("array<string>"))
 
-
-def is_named(value: Column | str) -> Column:
-    return has_text(value)

@@ -81,9 +81,8 @@ def download_outcome(status: Column | str) -> Column:
 
 def looks_like_html(text: Column | str) -> Column:
     """A block-level tag near the beginning of the text."""
-    head = F.lower(utf16_prefix(as_col(text), HTML_PROBE_UNITS))
-    at_start = head.rlike(rf"^{WS}*<({BLOCK_TAGS_AT_START}){TAG_END}")
-    return at_start | head.rlike(rf"<({BLOCK_TAGS_ANYWHERE}){TAG_END}")
+    at_start, anywhere = rf"^{WS}*<({BLOCK_TAGS_AT_START}){TAG_END}", rf"<({BLOCK_TAGS_ANYWHERE}){TAG_END}"
+    return F.lower(utf16_prefix(as_col(text), HTML_PROBE_UNITS)).rlike(f"{at_start}|{anywhere}")
 
 
 def change_action(known: Column, known_seconds: Column, remote_seconds: Column) -> Column:

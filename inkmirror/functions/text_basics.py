@@ -50,21 +50,32 @@ def leading_int(value: Column | str) -> Column:
     return F.regexp_extract(as_col(value), rf"^{WS}*([+-]?\d+)", 1).try_cast("bigint")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it.
+
+    Columns are trees, so naming a long expression twice doubles the plan; a lambda
+    variable keeps both the plan and the work linear.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def utf16_prefix(value: Column | str, units: int) -> Column:
     """First ``units`` UTF-16 units; a surrogate pair cut in half is dropped.
 
     Strings of at most half as many code points always fit and skip the encoding.
     """
-    value = as_col(value)
-    raw = F.encode(value, "UTF-16BE")
-    last = F.hex(F.substring(raw, 2 * units - 1, 1))
-    split_pair = last.isin("D8", "D9", "DA", "DB")
-    kept = F.when(split_pair, F.substring(raw, 1, 2 * units - 2)).otherwise(F.substring(raw, 1, 2 * units))
-    return F.when(F.length(value) <= units // 2, value).otherwise(F.decode(kept, "UTF-16BE"))
 
+    def cut_off(raw: Column) -> Column:
+        last = F.hex(F.substring(raw, 2 * units - 1, 1))
+        size = F.when(last.isin("D8", "D9", "DA", "DB"), 2 * units - 2).otherwise(2 * units)
+        return F.decode(F.substring(raw, F.lit(1), size), "UTF-16BE")
 
-def utf16_length(value: Column | str) -> Column:
-    return (F.octet_length(F.encode(as_col(value), "UTF-16BE")) / 2).cast("int")
+    def shortened(text: Column) -> Column:
+        # more code points than units: the rest is out of reach of the prefix
+        near = F.substring(text, 1, units)
+        return F.when(F.length(text) <= units // 2, text).otherwise(bind(F.encode(near, "UTF-16BE"), cut_off))
+
+    return bind(as_col(value), shortened)
 
 
 def replace_each_match(text: Column, pattern: str, replacement, may_fail: bool = False) -> Column:
@@ -74,12 +85,15 @@ def replace_each_match(text: Column, pattern: str, replacement, may_fail: bool =
     come from data (a map, a computed code point) and needs no Python. With
     ``may_fail`` a NULL replacement makes the whole result NULL.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    # zip_with evaluates both arrays once; indexing them inside a lambda would not
-    tail = F.slice(pieces, F.lit(2), F.size(pieces))
-    joined = F.zip_with(matches, tail, lambda match, piece: F.concat(replacement(match), piece))
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(joined, ""))
-    if not may_fail:
-        return whole
-    return F.when(~F.exists(joined, lambda s: s.isNull()), whole)
+
+    def pieces(source: Column) -> Column:
+        matches = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
+        # the n-th piece follows the n-th match; the first piece follows nothing
+        heads = F.concat(F.array(F.lit("")), F.transform(matches, replacement))
+        return F.zip_with(F.split(source, pattern, -1), heads, lambda piece, head: F.concat(head, piece))
+
+    def checked(parts: Column) -> Column:
+        return F.when(~F.exists(parts, lambda part: part.isNull()), F.array_join(parts, ""))
+
+    parts = bind(text, pieces)
+    return bind(parts, checked) if may_fail else F.array_join(parts, "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html_pass import article_pass, markdown_pass
+from ..functions.html_pass import BODY_MIN_LENGTH, article_pass, markdown_pass
 from ..functions.markdown import (
     article_body,
     clean_markdown,
@@ -72,7 +72,7 @@ def extract_articles(pages: DataFrame, html: str = "text", title: str = "title",
     linked = absolute_image_urls(parts, "_markdown", url)
     # no Markdown: too short, the parser failed, or an entity was out of range
     degraded = F.col("_markdown").isNull()
-    too_short = F.col("_error").isNull() & (F.col("clean_length") < 80)
+    too_short = F.col("_error").isNull() & (F.col("clean_length") < BODY_MIN_LENGTH)
     summary = F.when(too_short, F.col("_summary"))
     body = F.when(degraded, degraded_body(F.col(title), F.col(url), summary)).otherwise(
         article_body(F.col(title), F.col(url), F.col("_markdown"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.html_pass import absolute_urls
 from ..functions.names import image_ext, image_file_name, join_path
 from ..functions.rules import download_outcome
-from ..functions.text_basics import TAG_END, WS, has_text, replace_each_match
+from ..functions.text_basics import TAG_END, WS, replace_each_match
+from ..session import cut
 
 # The reference forms.
 _NOT_WS = WS.replace("[", "[^)", 1)
@@ -50,24 +51,27 @@ def absolute_image_urls(docs: DataFrame, content: str, base_url: str) -> DataFra
     The URL arithmetic runs in Arrow batches on the short list of references; the
     text itself is rewritten by column code.
     """
-    step = docs
-    for pattern in (RELATIVE_MARKDOWN_IMAGE, RELATIVE_HTML_IMAGE):
-        relative = F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(2))
-        step = step.withColumn("_relative", F.array_distinct(relative))
-        step = step.withColumn("_absolute", absolute_urls(F.col("_relative"), F.col(base_url)))
-        pairs = F.filter(F.arrays_zip("_relative", "_absolute"), lambda p: p["_absolute"].isNotNull())
-        step = step.withColumn("_known", F.map_from_entries(pairs))
-
-        def swapped(match: Column, pattern: str = pattern) -> Column:
+    text = F.col(content)
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(2)) for p in (RELATIVE_MARKDOWN_IMAGE, RELATIVE_HTML_IMAGE)]
+    step = docs.withColumn("_relative", F.array_distinct(F.concat(*found)))
+    step = step.withColumn("_absolute", absolute_urls(F.col("_relative"), F.col(base_url)))
+    pairs = F.filter(F.arrays_zip("_relative", "_absolute"), lambda p: p["_absolute"].isNotNull())
+    step = step.withColumn("_known", F.map_from_entries(pairs))
+
+    def swapped(pattern: str, at_end: bool):
+        def replacement(match: Column) -> Column:
             old = F.regexp_extract(match, pattern, 2)
-            new = F.try_element_at(F.col("_known"), old)
             # in Markdown the URL closes the match; in HTML its first occurrence in the tag counts
-            at = F.length(match) - F.length(old) if pattern == RELATIVE_MARKDOWN_IMAGE else F.position(old, match)
-            return F.coalesce(_spliced(match, at, old, new), match)
+            at = F.length(match) - F.length(old) if at_end else F.position(old, match)
+            return F.coalesce(_spliced(match, at, old, F.try_element_at(F.col("_known"), old)), match)
 
-        rewritten = replace_each_match(F.col(content), pattern, swapped)
-        step = step.withColumn(content, F.when(F.size("_relative") > 0, rewritten).otherwise(F.col(content)))
-    return step.drop("_relative", "_absolute", "_known")
+        return replacement
+
+    in_markdown = replace_each_match(text, RELATIVE_MARKDOWN_IMAGE, swapped(RELATIVE_MARKDOWN_IMAGE, True))
+    step = step.withColumn("_step", F.when(F.size("_relative") > 0, in_markdown))
+    in_html = replace_each_match(F.col("_step"), RELATIVE_HTML_IMAGE, swapped(RELATIVE_HTML_IMAGE, False))
+    step = step.withColumn(content, F.when(F.size("_relative") > 0, in_html).otherwise(text))
+    return step.drop("_relative", "_absolute", "_known", "_step")
 
 
 def _spliced(text: Column, at: Column, old: Column, new: Column) -> Column:
@@ -140,9 +144,11 @@ def rewrite_refs(content: Column, names: Column) -> Column:
 def localize(docs: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with embedded images, and the images to store.
 
-    ``docs`` has ``doc_id, content, image_dir``, one row per document. Texts
-    without a reference stay where they are; only the others meet the join.
+    ``docs`` has ``doc_id, content, image_dir`` and maybe ``seq``, one row per document. Texts
+    without a reference stay where they are; only the others meet the join. The
+    texts are written once, because three branches read them.
     """
+    docs = cut(docs)
     with_images = docs.where(F.col("content").rlike(HAS_IMAGE))
     plain = docs.where(~F.coalesce(F.col("content").rlike(HAS_IMAGE), F.lit(False)))
     images = numbered(resolve_refs(image_refs(with_images), blobs))
@@ -153,11 +159,11 @@ def localize(docs: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
         *docs.columns, "downloaded", "failed"
     )
     nothing = plain.select(*docs.columns, F.lit(0).alias("downloaded"), F.lit(0).alias("failed"))
-    dirs = with_images.select("doc_id", "image_dir")
-    files = images.join(dirs, "doc_id").select(
-        "doc_id", "image_dir", F.explode("images").alias("image")
+    carried = [c for c in ("seq", "doc_id", "image_dir") if c in docs.columns]
+    files = images.join(with_images.select(*carried), "doc_id").select(
+        *carried, F.explode("images").alias("image")
     ).select(
-        "doc_id",
+        *carried,
         F.col("image.url").alias("url"),
         F.col("image.image_no").alias("image_no"),
         join_path(F.col("image_dir"), F.col("image.file_name")).alias("path"),
@@ -187,7 +193,3 @@ def attachment_bytes(attachments: DataFrame, blobs: DataFrame) -> DataFrame:
     inline = data_uri_bytes(F.col("url"))
     return joined.select("path", "doc_id", F.when(F.col("url").startswith("data:"), inline).otherwise(F.col("body")).alias("body"))
 
-
-def has_images(content: Column | str) -> Column:
-    content = F.col(content) if isinstance(content, str) else content
-    return has_text(content) & content.rlike(HAS_IMAGE)

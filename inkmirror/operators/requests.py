@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +46,14 @@ def resolve(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     )
 
 
-def pacing(requests: DataFrame, client: str, time: str, qps: int = DEFAULT_QPS) -> DataFrame:
+def pacing(requests: DataFrame, client: str, time: str, qps: float = DEFAULT_QPS) -> DataFrame:
     """Requests per client that follow the previous one in less than the minimum gap.
 
     Within a slot one gap wide every request after the first is too close; the
     first of a slot is compared with the last of the slot before. So per-slot
     aggregates suffice, and a busy client is spread over its slots.
     """
-    gap_micros = -(-1000 // qps) * 1000
+    gap_micros = math.ceil(1000 / qps) * 1000
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     slots = (
         requests.select(F.col(client).alias("client"), micros.alias("at"))

@@ -116,6 +116,19 @@ FX: dict[str, str] = {
         FROM {documents}""",
 }
 
+# Answers a whole run needs beside the listings: a note text or a fetched page where
+# the customer number finds one, otherwise nothing or a file.
+FX["fx_contents"] = """
+        SELECT concat('nb_',o_orderkey) AS doc_id, d.text AS content
+        FROM {orders} JOIN {documents} d ON d.doc_id=o_custkey WHERE o_orderkey%4=0"""
+FX["fx_downloads"] = """
+        SELECT concat('https://h',o_custkey%10,'.example.com/f/',o_orderkey,'.PDF') AS url,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 404 WHEN '2-HIGH' THEN 503 ELSE 200 END AS status,
+               CASE WHEN p.page_id IS NOT NULL THEN 'Text/HTML; charset=utf-8'
+                    WHEN o_orderstatus='F' THEN 'application/pdf' ELSE 'application/octet-stream' END AS content_type,
+               coalesce(p.html, '') AS text
+        FROM {orders} LEFT JOIN {pages} p ON p.page_id=o_custkey WHERE o_orderkey%4 IN (1,2)"""
+
 
 def _spelled_out(name: str, table_of, epoch: str) -> str:
     names = {t: table_of(t) for t in TABLES}

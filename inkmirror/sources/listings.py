@@ -85,11 +85,28 @@ def assemble_notes(envelopes: DataFrame, keys: list[str], group_rows: int = GROU
     return notes.where(has_text("docid")).join(heads, [*keys, "page_no"])
 
 
-def as_level_envelopes(rows: DataFrame, keys: list[str], item_columns: dict[str, Column]) -> DataFrame:
-    """Flat listing rows back in the landed form, one response per page."""
-    # a page holds PAGE_ROWS entries, so the list is bounded
-    page = rows.groupBy(*keys, "page_no").agg(
-        F.array_sort(F.collect_list(F.struct("pos", *[c.alias(n) for n, c in item_columns.items()]))).alias("items"),
-        F.max("is_end").alias("is_end"),
+def land_pages(
+    rows: DataFrame, keys: list[str], list_name: str, entry: Column, page_fields: dict[str, Column]
+) -> DataFrame:
+    """Flat listing rows (keys, page_no, pos) as landed responses, one per page.
+
+    The inverse of the readers above; a page's list is bounded by the page size.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry"))))
+    pages = rows.groupBy(*keys, "page_no").agg(
+        F.transform(entries, lambda e: e["entry"]).alias(list_name),
+        *[F.any_value(value).alias(name) for name, value in page_fields.items()],
+    )
+    data = F.struct(list_name, *page_fields)
+    payload = F.to_json(F.struct(F.lit(0).alias("code"), F.lit("ok").alias("msg"), data.alias("data")))
+    return pages.select(*keys, "page_no", payload.alias("payload"))
+
+
+def paginate(rows: DataFrame, keys: list[str], order: str, page_rows: int = PAGE_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Page number and place of each row within its listing, in ``order``."""
+    ranked = running_before(rows, keys, order, {"_rank": ("sum", F.lit(1).cast("bigint"))}, group_rows)
+    return ranked.select(
+        *rows.columns,
+        F.floor(F.col("_rank") / page_rows).cast("int").alias("page_no"),
+        (F.col("_rank") % page_rows).cast("int").alias("pos"),
     )
-    return page.select(*keys, "page_no", "is_end", "items")
