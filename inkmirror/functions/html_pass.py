@@ -18,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .text_basics import WS_CHARS
+
 # Selectors, tag names, lengths.
 MAIN_CONTENT_SELECTORS = (
     "article",
@@ -36,9 +38,7 @@ SUMMARY_META = "og:description"
 MAIN_MIN_LENGTH = 200
 BODY_MIN_LENGTH = 80
 MARKERS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "a": "["}
-JS_SPACE = "".join(
-    map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
-)
+JS_SPACE = WS_CHARS
 
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK_TAGS = frozenset(

@@ -61,7 +61,8 @@ def decode_entities(text: Column | str) -> Column:
 
     A code point out of range gives NULL, which callers report as a failed row.
     """
-    named = _numeric_entities(as_col(text), "&#x", HEX_ENTITY, 16)
+    text = as_col(text)
+    named = _numeric_entities(text, "&#x", HEX_ENTITY, 16)
     named = _numeric_entities(named, "&#", DECIMAL_ENTITY, 10)
     # numeric forms that the first two passes uncovered, still part of the last pass
     for entity, char in NUMERIC_IN_LAST_PASS.items():
@@ -69,17 +70,28 @@ def decode_entities(text: Column | str) -> Column:
     # `&amp;` goes last, so the text it uncovers is not decoded a second time
     for name in ("nbsp", "lt", "gt", "quot", "apos", "amp"):
         named = F.replace(named, F.lit(f"&{name};"), F.lit(NAMED_ENTITIES[name]))
-    return named
+    return F.when(text.contains("&"), named).otherwise(text)
 
 
 def strip_style_tags(text: Column | str) -> Column:
     """Line breaks become line feeds; style wrappers go, their text stays."""
-    broken = F.regexp_replace(as_col(text), rf"(?i)<br{WS}*/?>\n?", "\n")
-    return F.regexp_replace(broken, rf"(?i)</?({STYLE_TAGS}){TAG_END}[^>]*>", "")
+    text = as_col(text)
+    broken = F.regexp_replace(text, rf"(?i)<br{WS}*/?>\n?", "\n")
+    bare = F.regexp_replace(broken, rf"(?i)</?({STYLE_TAGS}){TAG_END}[^>]*>", "")
+    return F.when(text.contains("<"), bare).otherwise(text)
 
 
 def clean_markdown(text: Column | str) -> Column:
-    return trim_all(F.regexp_replace(decode_entities(strip_style_tags(text)), r"\n{3,}", "\n\n"))
+    """Style tags, entities, runs of empty lines and outer white space.
+
+    Each step looks for its characters first, so a plain text is only scanned.
+    """
+
+    def tidied(decoded: Column) -> Column:
+        squeezed = F.regexp_replace(decoded, r"\n{3,}", "\n\n")
+        return trim_all(F.when(decoded.contains("\n\n\n"), squeezed).otherwise(decoded))
+
+    return bind(bind(strip_style_tags(text), decode_entities), tidied)
 
 
 def paragraphs(text: Column | str) -> Column:

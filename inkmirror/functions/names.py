@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text_basics import as_col, collapse_ws, present, trim_all, utf16_prefix
+from .text_basics import WS_CHARS, as_col, present, trim_all, utf16_prefix
 
 # Names, limits and tables that results must agree on.
-ILLEGAL_FILENAME_CHARS = r'[/\\:*?"<>|]'
+ILLEGAL_FILENAME_CHARS = '/\\:*?"<>|'
 MAX_NAME_UNITS = 120
 ID_PREFIX_UNITS = 8
 UNTITLED = "untitled"
@@ -58,11 +58,14 @@ IMAGE_CONTENT_TYPE_EXT = {
 FILE_URL_EXT = r"\.([a-zA-Z0-9]{2,5})\z"
 IMAGE_URL_EXT = r"\.([a-zA-Z0-9]{2,4})(?:\z|\?|#)"
 
+MAPPED_CHARS = "_" * len(ILLEGAL_FILENAME_CHARS) + " " * len(WS_CHARS)
+
 
 def safe_file_name(title: Column | str, max_units: int = MAX_NAME_UNITS) -> Column:
     """A title as a file name; never empty."""
-    cleaned = F.regexp_replace(F.coalesce(as_col(title), F.lit("")), ILLEGAL_FILENAME_CHARS, "_")
-    cleaned = F.regexp_replace(trim_all(collapse_ws(cleaned)), r"^\.+|\.+\z", "")
+    # one pass maps illegal characters and every kind of white space
+    mapped = F.translate(F.coalesce(as_col(title), F.lit("")), ILLEGAL_FILENAME_CHARS + WS_CHARS, MAPPED_CHARS)
+    cleaned = F.trim(F.trim(F.regexp_replace(mapped, " {2,}", " ")), F.lit("."))
     return F.coalesce(present(trim_all(utf16_prefix(cleaned, max_units))), F.lit(UNTITLED))
 
 

@@ -82,7 +82,8 @@ def download_outcome(status: Column | str) -> Column:
 def looks_like_html(text: Column | str) -> Column:
     """A block-level tag near the beginning of the text."""
     at_start, anywhere = rf"^{WS}*<({BLOCK_TAGS_AT_START}){TAG_END}", rf"<({BLOCK_TAGS_ANYWHERE}){TAG_END}"
-    return F.lower(utf16_prefix(as_col(text), HTML_PROBE_UNITS)).rlike(f"{at_start}|{anywhere}")
+    probe = F.lower(utf16_prefix(as_col(text), HTML_PROBE_UNITS)).rlike(f"{at_start}|{anywhere}")
+    return F.when(as_col(text).contains("<"), probe).otherwise(as_col(text).contains("<"))
 
 
 def change_action(known: Column, known_seconds: Column, remote_seconds: Column) -> Column:

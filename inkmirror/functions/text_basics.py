@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 # The same without the line feed, for rules that look at one line.
 WS_IN_LINE = r"[\t\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# All of them as one string of characters.
+WS_CHARS = "".join(
+    map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+)
 # ASCII word boundary after a tag name.
 TAG_END = r"(?![A-Za-z0-9_])"
 
@@ -24,15 +28,11 @@ def as_col(value: Column | str) -> Column:
 
 
 def trim_all(value: Column | str) -> Column:
-    return F.regexp_replace(as_col(value), rf"^{WS}+|{WS}+\z", "")
+    return F.trim(as_col(value), F.lit(WS_CHARS))
 
 
 def trim_start(value: Column | str) -> Column:
-    return F.regexp_replace(as_col(value), rf"^{WS}+", "")
-
-
-def collapse_ws(value: Column | str) -> Column:
-    return F.regexp_replace(as_col(value), rf"{WS}+", " ")
+    return F.ltrim(as_col(value), F.lit(WS_CHARS))
 
 
 def present(value: Column | str) -> Column:

@@ -22,14 +22,14 @@ def to_seconds(timestamp: Column | str) -> Column:
     number = leading_int(as_col(timestamp).cast("string"))
     return (
         F.when(number.isNull() | (number <= 0), F.lit(0).cast("bigint"))
-        .when(number > MILLIS_ABOVE, F.expr("0L") + F.floor(number / 1000))
+        .when(number > MILLIS_ABOVE, F.floor(number / 1000))
         .otherwise(number)
     )
 
 
 def seconds_to_iso(seconds: Column | str) -> Column:
     seconds = F.coalesce(as_col(seconds), F.lit(0))
-    shown = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
+    shown = F.date_format(F.timestamp_seconds(seconds), "y-MM-dd'T'HH:mm:ss")
     return F.when(seconds == 0, F.lit("")).otherwise(shown)
 
 
@@ -38,7 +38,7 @@ def timestamp_to_iso(timestamp: Column | str) -> Column:
 
 
 def millis_to_date(millis: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(as_col(millis)), "yyyy-MM-dd")
+    return F.date_format(F.timestamp_millis(as_col(millis)), "y-MM-dd")
 
 
 def retry_delay_ms(attempt: Column | str, base: int = BACKOFF_BASE_MS, cap: int = BACKOFF_CAP_MS) -> Column:

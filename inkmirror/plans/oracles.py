@@ -250,9 +250,10 @@ def stored_name(url: str) -> str:
 
 
 def text_of(html: str) -> str:
+    """Text of a fragment; browsers read these old entities without ``;`` too."""
     bare = f"regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        bare = f"replace({bare}, '{entity}', '{char}')"
+    for entity, char in (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        bare = f"regexp_replace({bare}, '{entity}', '{char}', 'g')"
     return bare
 
 

@@ -212,6 +212,12 @@ def settle(staged: DataFrame, inputs: SyncInputs, params: SyncParams) -> tuple[D
             "path": F.when(F.col("in_place"), F.col("index_path")).otherwise(F.col("claimed_path")),
             "writes": F.col("writes") & ~clash,
         }
+    )
+    settled = settled.withColumns(
+        {
+            "path": F.when(F.col("writes"), F.col("path")),
+            "in_place": F.col("in_place") & F.col("writes"),
+        }
     ).drop("path_exists", "claimed_path")
     return settled, claims
 
