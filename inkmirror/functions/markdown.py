@@ -32,7 +32,7 @@ def _code_point_text(number: Column) -> Column:
     def text_of(number: Column) -> Column:
         # lone surrogates have no UTF-8 form, so they show as the replacement character
         shown = F.when((number == 0) | number.between(0xD800, 0xDFFF), REPLACEMENT_CODE_POINT).otherwise(number)
-        text = F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32BE")
+        text = F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32")
         return F.when(number <= MAX_CODE_POINT, text)
 
     return bind(number, text_of)

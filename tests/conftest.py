@@ -1,0 +1,27 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from inkmirror.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session("4", shuffle_partitions=2)
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def evaluate(spark):
+    """Value of a column expression over literal rows: ``evaluate(expr, schema, rows)``."""
+
+    def run(expression, schema, rows):
+        data = [(i, *(row if isinstance(row, tuple) else (row,))) for i, row in enumerate(rows)]
+        frame = spark.createDataFrame(data, f"row_no INT, {schema}")
+        return [r[0] for r in frame.orderBy("row_no").select(expression.alias("out")).collect()]
+
+    return run
