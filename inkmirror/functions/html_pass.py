@@ -37,6 +37,7 @@ MARKDOWN_DROPPED_TAGS = frozenset("style script nav header footer noscript".spli
 SUMMARY_META = "og:description"
 MAIN_MIN_LENGTH = 200
 BODY_MIN_LENGTH = 80
+MAX_EQUAL_MARKS = 3
 MARKERS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "a": "["}
 JS_SPACE = WS_CHARS
 
@@ -88,7 +89,9 @@ class PageTokens(HTMLParser):
         while len(self._open) > slot:
             start = self._shut(len(self._open) - 1)
             if len(self._open) > slot and self.tokens[start][1] in INLINE_FORMAT:
-                self._pending.insert(0, start)
+                # of equal open marks at most three go on, as in browsers
+                if sum(self.tokens[p][1:] == self.tokens[start][1:] for p in self._pending) < MAX_EQUAL_MARKS:
+                    self._pending.insert(0, start)
 
     def _end_open(self, tags: set, borders: set) -> None:
         for slot in range(len(self._open) - 1, -1, -1):
@@ -173,7 +176,7 @@ def _matcher(selector: str):
 
 
 def utf16_len(text: str) -> int:
-    return len(text) + sum(ord(c) > 0xFFFF for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def main_block(page: PageTokens) -> tuple[str, int, int]:
@@ -218,7 +221,12 @@ ESCAPES = [
 ]
 
 
+MAY_NEED_ESCAPE = re.compile(r"[\\*`\[\]_]|^[-+=#~>\d]")
+
+
 def _escaped(text: str) -> str:
+    if not MAY_NEED_ESCAPE.search(text):
+        return text
     for pattern, replacement in ESCAPES:
         text = pattern.sub(replacement, text)
     return text

@@ -19,6 +19,8 @@ RELATIVE_MARKDOWN_IMAGE = rf"!\[([^\]]*)\]\(((?!https?:|data:){_NOT_WS}+)\)"
 RELATIVE_HTML_IMAGE = rf'(?i)<img{TAG_END}([^>]*)(?<![A-Za-z0-9_])src="((?!https?:|data:)[^"]+)"'
 DATA_URI = r"^data:([\w/+.-]+);base64,([^\n\r\u2028\u2029]*)\z"
 HAS_IMAGE = rf"{MARKDOWN_IMAGE}|{HTML_IMAGE}"
+# Longest data URI that serves as its own key.
+KEY_LENGTH = 256
 
 
 def image_urls(content: Column | str) -> Column:
@@ -79,6 +81,15 @@ def _spliced(text: Column, at: Column, old: Column, new: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, after, F.length(text)))
 
 
+def short_key(url: Column) -> Column:
+    """The URL itself, or a digest where it is a long data URI.
+
+    Shuffles and maps then carry short keys; the bytes stay in the document.
+    """
+    long = url.startswith("data:") & (F.length(url) > KEY_LENGTH)
+    return F.when(long, F.concat(F.lit("data:"), F.sha2(url, 256))).otherwise(url)
+
+
 def image_refs(docs: DataFrame) -> DataFrame:
     """One row per document and distinct URL: ``doc_id, pos, url``."""
     listed = docs.select("doc_id", image_urls("content").alias("urls"))
@@ -89,15 +100,23 @@ def resolve_refs(refs: DataFrame, blobs: DataFrame) -> DataFrame:
     """References with ``ok`` and ``ext``; only the blobs' heads are joined, never
     their bytes. ``blobs`` is unique per URL, so a much used URL is a hot key of
     one side only and the adaptive skew join can split it."""
+    is_data = F.col("url").startswith("data:")
+    # data URIs are judged where they are, before anything is shuffled
+    local = refs.select(
+        "doc_id",
+        "pos",
+        short_key(F.col("url")).alias("url"),
+        F.when(is_data, data_uri_bytes(F.col("url")).isNotNull()).alias("inline_ok"),
+        F.when(is_data, data_uri_ext(F.col("url"))).alias("inline_ext"),
+    )
     heads = blobs.select(
         "url",
         F.col("content_type"),
         (download_outcome("status") == "success" if "status" in blobs.columns else F.lit(True)).alias("fetched"),
     )
-    is_data = F.col("url").startswith("data:")
-    joined = refs.join(heads, "url", "left")
-    ok = F.when(is_data, data_uri_bytes(F.col("url")).isNotNull()).otherwise(F.coalesce("fetched", F.lit(False)))
-    ext = F.when(is_data, data_uri_ext(F.col("url"))).otherwise(image_ext("content_type", "url"))
+    joined = local.join(heads, "url", "left")
+    ok = F.coalesce("inline_ok", "fetched", F.lit(False))
+    ext = F.coalesce(F.col("inline_ext"), image_ext("content_type", "url"))
     return joined.select("doc_id", "pos", "url", ok.alias("ok"), F.when(ok, ext).alias("ext"))
 
 
@@ -130,12 +149,12 @@ def rewrite_refs(content: Column, names: Column) -> Column:
 
     def embed_markdown(match: Column) -> Column:
         alt = F.regexp_extract(match, MARKDOWN_IMAGE, 1)
-        file_name = F.try_element_at(names, F.regexp_extract(match, MARKDOWN_IMAGE, 2))
+        file_name = F.try_element_at(names, short_key(F.regexp_extract(match, MARKDOWN_IMAGE, 2)))
         shown = F.when(alt != "", F.concat(F.lit("|"), alt)).otherwise("")
         return F.coalesce(F.concat(F.lit("![["), file_name, shown, F.lit("]]")), match)
 
     def embed_html(match: Column) -> Column:
-        file_name = F.try_element_at(names, F.regexp_extract(match, HTML_IMAGE, 1))
+        file_name = F.try_element_at(names, short_key(F.regexp_extract(match, HTML_IMAGE, 1)))
         return F.coalesce(F.concat(F.lit("![["), file_name, F.lit("]]")), match)
 
     return replace_each_match(replace_each_match(content, MARKDOWN_IMAGE, embed_markdown), HTML_IMAGE, embed_html)
@@ -186,10 +205,13 @@ def new_attachments(files: DataFrame, existing: DataFrame, order: list[str]) ->
     )
 
 
-def attachment_bytes(attachments: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Bytes of each new attachment: decoded from its data URI, or from the fetched blob."""
-    bodies = blobs.select("url", "body")
-    joined = attachments.join(bodies, "url", "left")
-    inline = data_uri_bytes(F.col("url"))
-    return joined.select("path", "doc_id", F.when(F.col("url").startswith("data:"), inline).otherwise(F.col("body")).alias("body"))
-
+def attachment_bytes(attachments: DataFrame, blobs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Bytes of each new attachment: of the fetched blob, or decoded from the data
+    URI that still stands in its document (doc_id, content)."""
+    inline = F.col("url").startswith("data:")
+    fetched = attachments.where(~inline).join(blobs.select("url", "body"), "url").select("path", "doc_id", "body")
+    wanted = attachments.where(inline).select("path", "doc_id", "url")
+    holders = docs.where(F.col("content").contains("data:")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    uris = image_refs(holders).where(inline)
+    decoded = uris.select("doc_id", short_key(F.col("url")).alias("url"), data_uri_bytes(F.col("url")).alias("body"))
+    return fetched.unionByName(wanted.join(decoded, ["doc_id", "url"]).select("path", "doc_id", "body"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import id_prefix, join_path
 from ..session import cut
+from .joins import lookup
 
 CANDIDATES = 3
 
@@ -117,9 +118,10 @@ def path_owners(candidates: DataFrame, index: DataFrame) -> DataFrame:
 def write_targets(actions: DataFrame, documents: DataFrame) -> DataFrame:
     """``in_place`` for updates whose indexed document still exists.
 
-    ``actions`` carries ``index_path``; all other writes need a path of their own.
+    ``actions`` carries ``doc_id`` and ``index_path``, ``documents`` is unique per path;
+    all other writes need a path of their own.
     """
-    existing = documents.select(F.col("path").alias("index_path"), F.lit(True).alias("_there")).distinct()
-    joined = actions.join(existing, "index_path", "left")
+    existing = documents.select(F.col("path").alias("index_path"), F.lit(True).alias("_there"))
+    joined = lookup(actions, existing, "index_path", "doc_id")
     in_place = (F.col("action") == "update") & F.coalesce("_there", F.lit(False))
     return joined.withColumn("in_place", in_place).drop("_there")

@@ -550,6 +550,7 @@ ORACLES: dict[str, str] = {
     "kb_probe": with_("fx_tree")
     + """SELECT kb_id, media_type, count(*) AS items, count(*) FILTER (parent_folder_id = '') AS first_level
          FROM fx_tree GROUP BY kb_id, media_type""",
+    "media_answers": with_("fx_media") + "SELECT media_id, media_type, notebook_id, url, update_time FROM fx_media",
     "export_url": with_("fx_media")
     + """SELECT media_id, CASE WHEN update_time IS NOT NULL THEN url || '?export=1' END AS export_url,
                 coalesce(CASE WHEN update_time IS NOT NULL THEN url || '?export=1' END, url) AS best_url FROM fx_media""",

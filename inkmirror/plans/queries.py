@@ -314,8 +314,8 @@ def write_plan(load):
     items = decided_items(load).where("result IN ('created', 'updated')")
     documents = load("fx_index").where("update_time <> ''").select("path")
     targets = cut(
-        naming.write_targets(items, documents).select(
-            F.col("pos").alias("seq"), F.col("media_id").alias("doc_id"), "action", "in_place", "index_path",
+        naming.write_targets(items.withColumn("doc_id", F.col("media_id")), documents).select(
+            F.col("pos").alias("seq"), "doc_id", "action", "in_place", "index_path",
             F.col("parent_folder_id").alias("parent"), nm.safe_file_name("title").alias("base"),
         )
     )
@@ -677,3 +677,18 @@ def stream_fold(load):
 def report_line(load):
     return with_summary(decide.run_counts(decided_items(load)))
 
+
+
+@query
+def media_answers(load):
+    """Media information parsed from landed answers."""
+    media = load("fx_media")
+    info = F.struct(
+        "media_type",
+        F.when(F.col("url").isNotNull(), F.struct("url")).alias("url_info"),
+        F.when(F.col("notebook_id").isNotNull(), F.struct("notebook_id")).alias("notebook_ext_info"),
+        "update_time",
+    )
+    payload = F.to_json(F.struct(F.lit(0).alias("code"), info.alias("data")))
+    landed = media.select("media_id", payload.alias("payload"))
+    return landing.media_info(landed).select("media_id", "media_type", "notebook_id", "url", "update_time")

@@ -25,6 +25,7 @@ from ..functions.times import to_seconds
 from ..operators.bodies import convert_bodies, extract_articles, stored_originals
 from ..operators.decide import before_quota, error_lines, fold_actions, run_counts, run_result
 from ..operators.images import localize, new_attachments
+from ..operators.joins import lookup, settings_table
 from ..operators.naming import claim_paths, name_seen_by, write_targets
 from ..operators.scans import GROUP_ROWS, with_order_number
 from ..operators.tree import expand_folders, folders_needed, place_items
@@ -95,8 +96,7 @@ def check_scope(inputs: SyncInputs) -> None:
 
 def change_feed(inputs: SyncInputs, root: str, folders: DataFrame) -> DataFrame:
     """All items in processing order: knowledge bases first, then notes."""
-    names = inputs.bases.select("kb_id", "kb_name")
-    feed = place_items(inputs.items, folders).join(names, "kb_id").select(
+    feed = place_items(inputs.items, folders).select(
         F.lit(False).alias("standalone"), "order_key", "kb_id", "kb_name",
         F.col("media_id").alias("doc_id"), "title", F.col("parent_path").alias("parent"),
         F.lit(None).cast("bigint").alias("note_t"),
@@ -149,7 +149,7 @@ def with_answers(feed: DataFrame, inputs: SyncInputs) -> DataFrame:
         F.when(route == "note", F.when(F.col("standalone"), F.col("doc_id")).otherwise(F.coalesce("notebook_id", "doc_id"))).alias("content_key"),
         F.when(route == "url", F.col("url")).alias("url"),
     )
-    joined = joined.join(contents, "content_key", "left").join(fetched, "url", "left")
+    joined = lookup(lookup(joined, contents, "content_key", "seq"), fetched, "url", "seq")
     note_ready = F.coalesce(F.col("has_content") & ~F.col("content_quota"), F.lit(False))
     url_ready = F.coalesce(F.col("fetch_outcome") == "success", F.lit(False))
     ready = F.when(F.col("route") == "note", note_ready).when(F.col("route") == "url", url_ready).otherwise(F.lit(False))
@@ -177,6 +177,7 @@ def settle(staged: DataFrame, inputs: SyncInputs, params: SyncParams) -> tuple[D
     far settles; without clashes one pass is enough.
     """
     clashed = None
+    may_stop = not staged.where("media_quota OR content_quota").isEmpty()
     while True:
         ok = F.col("has_media") & F.col("ready")
         feed = staged
@@ -184,7 +185,9 @@ def settle(staged: DataFrame, inputs: SyncInputs, params: SyncParams) -> tuple[D
             feed = staged.join(clashed.withColumn("clashed", F.lit(True)), "seq", "left")
             ok = ok & F.col("clashed").isNull()
         acted = fold_actions(feed.withColumn("ok", ok), inputs.index, params.group_rows)
-        acted = before_quota(acted, "seq", F.col("media_quota") | ((F.col("action") != "skip") & F.col("content_quota")))
+        if may_stop:
+            asked = (F.col("action") != "skip") & F.col("content_quota")
+            acted = before_quota(acted, "seq", F.col("media_quota") | asked)
         result = run_result(F.col("has_media"), F.col("action"), F.col("ready"))
         targets = write_targets(acted.withColumn("result", result), inputs.documents)
         in_place = F.col("in_place") | ((F.col("action") == "update") & F.col("prior_ok").isNotNull())
@@ -371,7 +374,7 @@ def catalog_probe(items: DataFrame) -> DataFrame:
 
 def selected_scope(items: DataFrame, bases: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """Items of the selected bases with the base position, plus notes if they are on."""
-    chosen = bases.where("selected").select("kb_id", "kb_pos")
+    chosen = settings_table(bases.where("selected").select("kb_id", "kb_pos"))
     feed = items.join(chosen, "kb_id").select("kb_id", "kb_pos", F.col("media_id").alias("doc_id"), "title")
     if notes is None:
         return feed

@@ -15,6 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # streaming state has one row per document and outgrows the heap
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # HTML bodies can be megabytes each, so keep the Arrow batches short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }

@@ -81,7 +81,7 @@ def sync_feed(
         if number <= store.last_run():
             return
         rows = cut(batch)
-        folded = fold_actions(rows, store.load(), group_rows)
+        folded = fold_actions(rows, store.load(rows.select("doc_id").distinct()), group_rows)
         stopped = "quota" in rows.columns and not rows.where("quota").isEmpty()
         if stopped:
             folded = before_quota(folded, "seq", F.col("quota"))

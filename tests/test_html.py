@@ -23,6 +23,7 @@ LONG = "word " * 60
         ('<pre><code class="language-py">a\n  b_c\n</code></pre>', "```py\na\n  b_c\n```"),
         ("<blockquote><p>q</p><p>r</p></blockquote>", "> q\n>\n> r"),
         ("<p><b>z<p>w</b>q", "**z**\n\n**w**q"),
+        ("<p><b>1<p><b>2<p><b>3<p><b>4<p>5", "**1**\n\n****2****\n\n******3******\n\n********4********\n\n******5******"),
         ("a<hr>b", "a\n\n* * *\n\nb"),
         ('<img src="s" alt="k"><img>', "![k](s)"),
         ('<img data-src="lazy" src="wait">', "![](lazy)"),

@@ -1,5 +1,6 @@
 """Operators against sequential models on random small inputs."""
 
+import base64
 import random
 
 import pytest
@@ -242,9 +243,13 @@ def test_image_urls(evaluate):
     assert evaluate(images.image_urls("s"), "s STRING", [text, "none"]) == [["u1", "u2", "u5", "u3", "u4"], []]
 
 
+LONG = base64.b64encode(b"hello" * 100).decode()
+
+
 def test_localize(spark, tmp_path):
     docs = [
         ("a_1", '![x](h/1.jpg) ![](h/1.jpg) ![n](h/2.png) <img src="h/3.gif"> ![d](data:image/png;base64,aGk=) ![$1](h/4.jpg)', "att"),
+        ("l_9", f"![long](data:image/png;base64,{LONG})", "att"),
         ("a_2", "no image here", "att"),
         ("b_1", "![k](h/1.jpg)", "att"),
         ("c_3", "![bad](data:image/png;base64,!!)", "att"),
@@ -259,16 +264,17 @@ def test_localize(spark, tmp_path):
         "a_2": ("no image here", 0, 0),
         "b_1": ("![[1-1.webp|k]]", 1, 0),
         "c_3": ("![bad](data:image/png;base64,!!)", 0, 1),
+        "l_9": ("![[9-1.png|long]]", 1, 0),
     }
     stored = {(r["doc_id"], r["image_no"]): r["path"] for r in files.collect()}
-    assert stored == {("a_1", 1): "att/1-1.webp", ("a_1", 2): "att/1-2.png", ("a_1", 3): "att/1-3.jpg", ("a_1", 4): "att/1-4.gif", ("b_1", 1): "att/1-1.webp"}
+    assert stored == {("a_1", 1): "att/1-1.webp", ("a_1", 2): "att/1-2.png", ("a_1", 3): "att/1-3.jpg", ("a_1", 4): "att/1-4.gif", ("b_1", 1): "att/1-1.webp", ("l_9", 1): "att/9-1.png"}
     have = spark.createDataFrame([("att/1-4.gif",)], "path STRING")
     new = {r["path"]: (r["doc_id"], r["collided"]) for r in images.new_attachments(files, have, []).collect()}
-    assert new == {"att/1-1.webp": ("a_1", 1), "att/1-2.png": ("a_1", 0), "att/1-3.jpg": ("a_1", 0)}
+    assert new == {"att/1-1.webp": ("a_1", 1), "att/1-2.png": ("a_1", 0), "att/1-3.jpg": ("a_1", 0), "att/9-1.png": ("l_9", 0)}
     bodies = spark.createDataFrame([("h/1.jpg", bytearray(b"one")), ("h/4.jpg", bytearray(b"four"))], "url STRING, body BINARY")
     chosen = images.new_attachments(files, have, [])
-    data = {r["path"]: bytes(r["body"]) for r in images.attachment_bytes(chosen, bodies).collect()}
-    assert data == {"att/1-1.webp": b"one", "att/1-2.png": b"hi", "att/1-3.jpg": b"four"}
+    data = {r["path"]: bytes(r["body"]) for r in images.attachment_bytes(chosen, bodies, frame).collect()}
+    assert data == {"att/1-1.webp": b"one", "att/1-2.png": b"hi", "att/1-3.jpg": b"four", "att/9-1.png": b"hello" * 100}
 
 
 def test_absolute_image_urls(spark):

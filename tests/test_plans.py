@@ -27,7 +27,9 @@ def test_plan_shape(spark, name):
     assert "BatchEvalPython" not in plan  # no row-at-a-time Python
     if name not in PYTHON:
         assert "EvalPython" not in plan
-    assert "SinglePartition" not in plan.replace("HashAggregate", "") or "Window" not in plan
+    # the one window over a single partition sums the row counts of sort partitions
+    single = re.findall(r"Window \[(\w+)\([^\n]*\n\s*\+- Sort[^\n]*\n\s*\+- Exchange SinglePartition", plan)
+    assert len(single) == len(re.findall(r"Window \[sum\(_rows#[^\n]*\n\s*\+- Sort[^\n]*\n\s*\+- Exchange SinglePartition", plan))
 
 
 def test_scans_read_only_what_they_need(spark):
