@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text_basics import WS_CHARS, as_col, present, trim_all, utf16_prefix
+from .text_basics import WS_CHARS, as_col, bind, present, trim_all, utf16_prefix
 
 # Names, limits and tables that results must agree on.
 ILLEGAL_FILENAME_CHARS = '/\\:*?"<>|'
@@ -140,8 +140,9 @@ def image_file_name(doc_id: Column | str, index: Column, ext: Column) -> Column:
 def path_prefixes(path: Column | str) -> Column:
     """Every folder that must exist for ``path``, shortest first."""
     parts = F.filter(F.split(clean_path(path), "/", -1), lambda p: p != "")
-    return F.when(
-        F.size(parts) > 0,
-        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")),
-    ).otherwise(F.array().cast("array<string>"))
 
+    def prefixes(parts: Column) -> Column:
+        counts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
+        return F.transform(counts, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+    return bind(parts, prefixes)
