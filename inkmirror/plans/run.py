@@ -58,7 +58,8 @@ class SyncInputs:
     ``bases`` are the selected knowledge bases in order, ``notes`` is None when
     standalone notes are off. ``contents`` is unique per doc_id, ``fetched`` and
     ``image_blobs`` per url, ``documents`` per path, ``index`` per doc_id. Tables of
-    answers may carry ``outcome`` to report a quota answer.
+    answers may carry ``outcome`` to report a quota answer, ``fetched`` may carry
+    ``has_text`` to spare the decision from reading the pages.
     """
 
     bases: DataFrame
@@ -130,11 +131,13 @@ def with_answers(feed: DataFrame, inputs: SyncInputs) -> DataFrame:
     contents = inputs.contents.select(
         F.col("doc_id").alias("content_key"), F.lit(True).alias("has_content"), _quota(inputs.contents).alias("content_quota")
     )
+    # with a landed has_text flag the decision does not read the pages at all
+    text = F.when(F.col("has_text"), "x") if "has_text" in inputs.fetched.columns else F.col("text")
     fetched = inputs.fetched.select(
         "url",
         F.col("status").alias("fetch_status"),
         download_outcome("status").alias("fetch_outcome"),
-        url_kind("content_type", "text").alias("kind"),
+        url_kind("content_type", text).alias("kind"),
         file_ext("content_type", "url").alias("fetch_ext"),
     )
     joined = feed.join(media, "doc_id", "left")

@@ -23,6 +23,9 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
+# Temporary folder of each local application.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
@@ -58,9 +61,10 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="inkmirror-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[application] = tempfile.mkdtemp(prefix="inkmirror-")
+    return _LOCAL_SCRATCH[application]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -22,6 +22,10 @@ from ..session import cut
 from ..sources.index_store import ENTRY, IndexStore
 
 
+# Micro-batches whose changes wait before they are folded into the snapshot.
+RUNS_BEFORE_COMPACTION = 64
+
+
 class QuotaReached(RuntimeError):
     """Ends the stream after the part before the quota answer is committed."""
 
@@ -49,6 +53,7 @@ def keep_newest(feed: DataFrame, store: IndexStore, checkpoint: str, trigger: di
 
     def save(changed: DataFrame, batch: int) -> None:
         store.append(cut(changed), batch)
+        store.compact(RUNS_BEFORE_COMPACTION)
 
     return (
         newest_entries(feed)
@@ -89,6 +94,7 @@ def sync_feed(
         labelled.write.mode("overwrite").parquet(f"{actions_folder}/run={number}")
         written = labelled.where("action <> 'skip' AND ok")
         store.append(last_per_document(written), number)
+        store.compact(RUNS_BEFORE_COMPACTION)
         if stopped:
             if on_quota:
                 on_quota()

@@ -208,6 +208,8 @@ def test_index_store(spark, tmp_path):
     assert not store.append(frame(), 1)
     assert store.append(frame(entry("a", "new")), 2)
     assert {r["doc_id"]: r["path"] for r in store.load().collect()} == {"a": "new", "b": "p"}
+    store.compact(more_than=5)
+    assert store.versions() == (None, [0, 2])
     store.compact()
     assert store.versions() == (2, []) and {r["doc_id"]: r["path"] for r in store.load().collect()} == {"a": "new", "b": "p"}
     (tmp_path / "index" / "run=3").mkdir()  # a broken run has no success mark

@@ -100,7 +100,7 @@ class World:
         )
 
 
-@pytest.mark.parametrize("seed,quota", [(1, False), (2, False), (3, True)])
+@pytest.mark.parametrize("seed,quota", [(1, False), (3, True)])
 def test_run_equals_the_loop(spark, seed, quota):
     world = World(spark, seed, quota)
     want, index = model.run(world.feed(), world.media, world.contents, world.fetched, world.index, world.documents, world.safe())
