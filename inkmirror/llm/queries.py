@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import mixing
-from .common import table
+from . import mixing, quality, simhash, toxicity
+from .common import fold_of, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,28 @@ def op9_mix_sources(spark, sf_dir):
     """Words each document gives to a mix of sources with target weights."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op5_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and near-duplicate component of each document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_byte_quality(spark, sf_dir):
+    """Quality of each document, learnt from two thirds of the labels."""
+    documents, held = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 3) == 1
+    net = quality.fit(documents, table(spark, sf_dir, "labels"), ~held)
+    scored = quality.score(documents, net)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_toxic_windows(spark, sf_dir):
+    """Toxicity of each document, learnt from two thirds of the labels."""
+    documents, held = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 3) == 1
+    net = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held)
+    scored = toxicity.score(documents, net)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
