@@ -36,6 +36,11 @@ def byte_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, "<u2"), halves
 
 
+def past_end(halves: np.ndarray) -> np.ndarray:
+    """Positions from which a filter would reach into the next text."""
+    return (np.cumsum(halves)[:, None] * HALF - np.arange(PAIRS - 1, 0, -1)).ravel()
+
+
 def chunk_ends(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and second half of each chunk, and the first chunk of each text."""
     starts = np.cumsum(halves) - halves
@@ -66,9 +71,9 @@ class ByteNet:
         # the low byte of a little-endian pair comes first
         return [(per_byte[2 * k + 1][:, None, :] + per_byte[2 * k][None, :, :]).reshape(65536, FILTERS) for k in range(PAIRS)]
 
-    def halves(self, pairs: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    def halves(self, pairs: np.ndarray, counts: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """Strongest response of each filter in each half chunk."""
-        n = len(pairs) - PAIRS
+        n, outside = len(pairs) - PAIRS, past_end(counts)
         out = np.empty((n // HALF, FILTERS), np.float32)
         step = 256 * HALF
         for a in range(0, n, step):
@@ -76,6 +81,7 @@ class ByteNet:
             response = tables[0][pairs[a:b]]
             for k in range(1, PAIRS):
                 response += tables[k][pairs[a + k : b + k]]
+            response[outside[np.searchsorted(outside, a) : np.searchsorted(outside, b)] - a] = -np.inf
             out[a // HALF : b // HALF] = response.reshape(-1, HALF, FILTERS).max(axis=1)
         return out
 
@@ -94,7 +100,7 @@ class ByteNet:
         if self.tables is None:
             self.tables = self.pair_tables()
         pairs, counts = byte_pairs(texts)
-        features, _ = self.pooled(self.halves(pairs, self.tables), counts)
+        features, _ = self.pooled(self.halves(pairs, counts, self.tables), counts)
         return sigmoid(self.logits(features)[0])
 
     def __getstate__(self):
@@ -107,7 +113,9 @@ class ByteNet:
         embedded = w["bytes"][data]
         windows = np.lib.stride_tricks.sliding_window_view(embedded, 2 * PAIRS, axis=0)[: len(data) - 2 * PAIRS : 2]
         kernel = w["filters"].transpose(1, 0, 2).reshape(-1, FILTERS)
-        response = (windows.reshape(len(windows), -1) @ kernel).reshape(-1, HALF, FILTERS)
+        response = windows.reshape(len(windows), -1) @ kernel
+        response[past_end(counts)] = -np.inf
+        response = response.reshape(-1, HALF, FILTERS)
         best = response.argmax(axis=1)
         half = np.take_along_axis(response, best[:, None, :], 1)[:, 0]
         features, chunk = self.pooled(half, counts)
