@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import mixing, quality, simhash, toxicity
+from . import decontaminate, fingerprints, language, main_text, mixing, quality, sharding, simhash, toxicity, url_templates
 from .common import fold_of, table
 
 QUERIES: dict = {}
@@ -52,3 +52,47 @@ def op6_toxic_windows(spark, sf_dir):
     net = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held)
     scored = toxicity.score(documents, net)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op3_language_chain(spark, sf_dir):
+    """Language of each document, learnt from three quarters of the labelled texts."""
+    documents, held = table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 4) == 2
+    chain = language.fit(documents, ~held)
+    return language.identify(documents, chain).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_weighted_fingerprints(spark, sf_dir):
+    """Fingerprints of each document, of its edited text, and how alike they are."""
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_kd_shards(spark, sf_dir):
+    """Shard and place of each document; shards are near equal in bytes."""
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), leaves=8)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op8_template_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, also with other names, numbers or units."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "item_windows", "coverage")
+
+
+@query
+def op4_url_templates(spark, sf_dir):
+    """Verdict on each page's address, by rule or by path template."""
+    return url_templates.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op2_main_text(spark, sf_dir):
+    """Main text of each page."""
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.fit(pages))
