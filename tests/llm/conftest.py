@@ -1,0 +1,45 @@
+"""Small tables with the cases that every text operator must stand."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from tests_llm_texts import ENGLISH, GERMAN, prose  # noqa: E402
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+# names that the operators use inside
+CLASHING = ["size", "key", "row", "copies", "fp", "shard", "score", "h", "hash", "node", "_text", "of", "slots", "place"]
+
+def edge_rows():
+    long_text = prose(ENGLISH, 20_000, 1)
+    return [
+        (1, prose(ENGLISH, 60, 2), "en", "a"),
+        (2, prose(GERMAN, 60, 3), "de", "b"),
+        (3, prose(ENGLISH, 60, 2), "en", "b"),  # a copy under another id
+        (3, prose(ENGLISH, 60, 2), "en", "b"),  # a repeated row
+        (4, None, "en", "a"),
+        (5, "", None, None),
+        (6, " \t\n", "de", None),
+        (7, "1234 !!! --", None, "a"),
+        (8, long_text, "en", "a"),
+        (9, "Straße", "de", "b"),
+        (None, prose(GERMAN, 40, 4), "de", "a"),
+        (None, prose(GERMAN, 40, 4), "de", "a"),
+        (None, None, None, None),
+    ]
+
+
+@pytest.fixture(scope="session")
+def edge_documents(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(*r, len(r[1]) if r[1] else None) for r in edge_rows()], SCHEMA)
+    return frame.select("*", *[F.lit("x").alias(c) for c in CLASHING])
+
+
+@pytest.fixture(scope="session")
+def no_documents(edge_documents):
+    return edge_documents.limit(0)
