@@ -97,8 +97,9 @@ def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) ->
 def _one_to_one(pairs: Column) -> Column:
     """Each value on either side has one partner."""
     distinct = F.array_distinct(pairs)
-    sides = [F.size(F.array_distinct(F.transform(distinct, lambda p, s=side: p[s]))) for side in ("mine", "theirs")]
-    return (F.size(distinct) == sides[0]) & (F.size(distinct) == sides[1])
+    mine = F.array_distinct(F.transform(distinct, lambda p: p["mine"]))
+    theirs = F.array_distinct(F.transform(distinct, lambda p: p["theirs"]))
+    return (F.size(distinct) == F.size(mine)) & (F.size(distinct) == F.size(theirs))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -3,8 +3,8 @@
 Rules decide first and label what they decide. For each host the path segments form a
 tree. Level by level, segments that look like numbers, hex strings or mixed codes become
 their shape, and a node with many rare children turns them into one wildcard. Sibling
-branches whose next segments and labels are distributed alike (a chi-square statistic
-against the siblings together) are merged. A template is rejected if the share of block
+branches whose next segments and labels are distributed alike (their chi-square
+statistic against the siblings together is no more than its mean) are merged. A template is rejected if the share of block
 among its labelled addresses, smoothed towards the share over all, is high enough.
 
 Addresses are counted once per distinct host and path before anything is joined, and all
@@ -34,7 +34,7 @@ RULES = [
 LEVELS = 4
 # A node's children are a wildcard from so many distinct ones, if they are this rare.
 MANY, RARE = 8, 0.3
-PURITY, PRIOR_WEIGHT = 0.8, 4.0
+PURITY, PRIOR_WEIGHT = 0.9, 4.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -108,7 +108,7 @@ def path_templates(addresses: DataFrame, levels: int = LEVELS) -> DataFrame:
         none, node_none = (F.col("n") - F.col("blocked") - F.col("allowed"), F.col("node_n") - F.col("node_blocked") - F.col("node_allowed"))
         statistic = by_kind + by_label(F.col("blocked"), F.col("node_blocked")) + by_label(F.col("allowed"), F.col("node_allowed")) + by_label(none, node_none)
         freedom = F.col("kinds") + 1
-        alike = statistic <= freedom + 2 * F.sqrt(2 * freedom)
+        alike = statistic <= freedom
         step = (
             F.when(F.startswith("part", F.lit("{")), F.col("part"))
             .when(F.col("wild"), F.lit("*"))
@@ -136,9 +136,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, levels: int =
     templates = cut(path_templates(addresses, levels))
     blocked, labelled = templates.agg(F.sum("blocked"), F.sum(F.col("blocked") + F.col("allowed"))).first()
     prior = (blocked or 0) / labelled if labelled else 0.0
-    purity = templates.groupBy("host", "template").agg(
-        ((F.sum("blocked") + PRIOR_WEIGHT * prior) / (F.sum(F.col("blocked") + F.col("allowed")) + PRIOR_WEIGHT)).alias("purity")
-    )
+    labels = F.sum(F.col("blocked") + F.col("allowed"))
+    # a template without labels has no purity
+    smoothed = F.when(labels > 0, (F.sum("blocked") + PRIOR_WEIGHT * prior) / (labels + PRIOR_WEIGHT))
+    purity = templates.groupBy("host", "template").agg(smoothed.alias("purity"))
     # a rule decides all rows of an address or none
     open_ = templates.where("blocked + allowed = 0").select("host", "path", "template")
     judged = open_.join(purity, ["host", "template"])

@@ -51,16 +51,26 @@ def test_parts_and_rules_by_hand(spark):
         assert got[i]["verdict"] in ("allow", "block")
 
 
-def test_templates_learn_from_labels(spark):
-    """Pages below a blocked section's twin are alike and go with it; others stay."""
+def test_branches_with_other_labels_stay_apart(spark):
     urls = [f"http://bad.net/{lang}/{i}" for lang in ("es", "fr") for i in range(40)]
     urls += [f"http://bad.net/en/{i}" for i in range(40)] + [f"http://fine.org/en/{i}.html" for i in range(40)]
     got = judged(spark, urls)
-    assert all(got[i]["verdict"] == "block" for i in range(80))
-    assert {got[i]["verdict"] for i in range(120, 160)} == {"allow"}
+    assert all(got[i]["verdict"] == "block" and got[i]["rule"] for i in range(80))
+    assert {got[i]["verdict"] for i in range(80, 160)} == {"allow"}
     assert {got[i]["template"] for i in range(120, 160)} == {"/en/{n}.html"}
 
 
+def test_templates_learn_from_labels(spark):
+    """One wildcard holds all names; most of its labelled addresses are blocked."""
+    names = [f"{a}{b}" for a in "abcdefgh" for b in ("ant", "bee", "cat")]
+    urls = [f"http://bad.org/{n}/1" for n in names] + [f"http://good.org/{n}/1" for n in names]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rules = [("block", f"bad.org/{a}") for a in "abcdef"] + [("allow", "good.org/a")]
+    got = {urls[r["page_id"]]: r for r in url_templates.judge(frame, rules).collect()}
+    assert got["http://bad.org/hcat/1"]["rule"] is None and got["http://bad.org/hcat/1"]["verdict"] == "block"
+    assert got["http://good.org/hcat/1"]["verdict"] == "allow"
+
+
 def test_rare_children_become_a_wildcard(spark):
     urls = [f"http://shop.org/item/{quote(word)}/" for word in "ant bee cat dog eel fox gnu hen ibis jay".split()]
     templates = {r["template"] for r in judged(spark, urls).values()}
