@@ -66,10 +66,6 @@ def fold_actions(
     index as the earlier successful occurrences left it. Those enter as two
     running maxima, because a skipped row never carries a later time.
     """
-    if index is not None:
-        feed = with_index(feed, index, "doc_id")
-    else:
-        feed = feed.withColumns({"known": F.lit(False), "known_t": F.lit(0).cast("bigint")})
     prior = running_before(
         feed,
         ["doc_id"],
@@ -80,6 +76,11 @@ def fold_actions(
         },
         group_rows,
     )
+    # the index is joined once and last, so the maxima are taken over the feed alone
+    if index is not None:
+        prior = with_index(prior, index, "doc_id")
+    else:
+        prior = prior.withColumns({"known": F.lit(False), "known_t": F.lit(0).cast("bigint")})
     seen = F.col("known") | F.col("prior_ok").isNotNull()
     newest = F.greatest(F.col("known_t"), F.coalesce("prior_t", F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
     return prior.withColumn("action", change_action(seen, newest, F.col("t")))

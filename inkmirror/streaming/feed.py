@@ -8,14 +8,15 @@ nothing, and the state holds one row per document.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import clamp_schedule, schedule_ms
-from ..operators.decide import before_quota, fold_actions
+from ..operators.decide import NO_CUT, fold_actions, index_seconds, with_index
 from ..operators.scans import GROUP_ROWS
 from ..operators.state import INDEX_COLUMNS, last_per_document
 from ..session import cut
@@ -27,7 +28,14 @@ RUNS_BEFORE_COMPACTION = 64
 
 
 class QuotaReached(RuntimeError):
-    """Ends the stream after the part before the quota answer is committed."""
+    """Ends the stream after the part before the quota answer is committed; a restart
+    goes on behind it."""
+
+
+def batch_key(spark: SparkSession, checkpoint: str, number: int) -> str:
+    """Name of a micro-batch that no other stream has: the id its checkpoint keeps."""
+    stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+    return f"{stream}-{number}"
 
 
 def schedule_trigger(value: float, unit: str) -> dict:
@@ -51,8 +59,15 @@ def newest_entries(feed: DataFrame) -> DataFrame:
 def keep_newest(feed: DataFrame, store: IndexStore, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Streaming state: every batch appends the documents whose newest entry changed."""
 
-    def save(changed: DataFrame, batch: int) -> None:
-        store.append(cut(changed), batch)
+    def save(changed: DataFrame, number: int) -> None:
+        key = batch_key(store.spark, checkpoint, number)
+        if store.progress(key) is not None:
+            return
+        entries = cut(changed)
+        # the store may know a later event of the document than this stream has seen
+        known = with_index(entries, store.load(entries.select("doc_id")), "doc_id")
+        newer = ~F.col("known") | (index_seconds("update_time") > F.col("known_t"))
+        store.append_batch(known.where(newer), key, NO_CUT)
         store.compact(RUNS_BEFORE_COMPACTION)
 
     return (
@@ -76,26 +91,32 @@ def sync_feed(
 ) -> StreamingQuery:
     """Label each event with its action and bring the index up to date.
 
-    ``feed`` has the index columns and ``seq, t, ok``, maybe ``quota``. The number
-    of the micro-batch is the run number of the index, so a repeated batch writes
-    the same folders again. One checkpoint location allows one active query, which
-    keeps runs from overlapping.
+    ``feed`` has the index columns and ``seq, t, ok``, maybe ``quota``. Each part of a
+    micro-batch is a run of the index of its own, under the next free number; the
+    folder of its actions is named after the part, so a repeated part writes the same
+    folder again. A quota answer ends the stream; the part before it is committed with
+    the border, also if it is empty, and a restart goes on with the event behind it.
+    One checkpoint location allows one active query, which keeps runs from overlapping.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        if number <= store.last_run():
+        key = batch_key(store.spark, checkpoint, number)
+        done = store.progress(key)
+        if done == NO_CUT:
             return
-        rows = cut(batch)
-        folded = fold_actions(rows, store.load(rows.select("doc_id").distinct()), group_rows)
-        stopped = "quota" in rows.columns and not rows.where("quota").isEmpty()
-        if stopped:
-            folded = before_quota(folded, "seq", F.col("quota"))
+        rows = cut(batch if done is None else batch.where(F.col("seq") > done))
+        border = None
+        if "quota" in rows.columns:
+            border = rows.where("quota").agg(F.min("seq")).first()[0]
+        before = rows if border is None else rows.where(F.col("seq") < border)
+        folded = fold_actions(before, store.load(before.select("doc_id").distinct()), group_rows)
         labelled = cut(folded.select(*rows.columns, "action"))
-        labelled.write.mode("overwrite").parquet(f"{actions_folder}/run={number}")
+        part = key if done is None else f"{key}-after-{done}"
+        labelled.write.mode("overwrite").parquet(f"{actions_folder}/batch={part}")
         written = labelled.where("action <> 'skip' AND ok")
-        store.append(last_per_document(written), number)
+        store.append_batch(last_per_document(written), key, NO_CUT if border is None else border)
         store.compact(RUNS_BEFORE_COMPACTION)
-        if stopped:
+        if border is not None:
             if on_quota:
                 on_quota()
             raise QuotaReached(f"quota answer in micro-batch {number}")

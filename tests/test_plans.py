@@ -55,6 +55,22 @@ def test_windows_never_take_a_whole_frequent_key(spark):
     assert any("_part" in w.split("ASC")[0] for w in windows)
 
 
+def test_the_fold_deals_a_frequent_document_by_range(spark):
+    """With an index joined by shuffle, the window still stands on (document, range)."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(decide.fold_actions(relation(spark, SF_DIR, "fx_items_dup"), relation(spark, SF_DIR, "fx_index"), 50))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_range = (
+        r"Window \[[^\n]*windowspecdefinition\(doc_id#\d+, _part#\d+L?, seq[^\n]*\n[\s:]*\+- Sort[^\n]*\n"
+        r"[\s:]*\+- Exchange hashpartitioning\(doc_id#\d+, _part#\d+L?, \d+\), REPARTITION"
+    )
+    assert re.search(by_range, plan)
+    assert plan.count("FileScan parquet [o_orderkey") == 1  # the index is read once
+
+
 def test_aggregates_combine_before_the_shuffle(spark):
     log = relation(spark, SF_DIR, "fx_requests")
     plan = plan_of(requests.resolve(requests.classify(log)))

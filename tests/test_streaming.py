@@ -68,6 +68,44 @@ def test_quota_stops_after_commit(spark, tmp_path):
     assert {r["doc_id"]: r["update_time"] for r in store.load().collect()} == batch_state(spark, [r[:4] for r in rows[:70]])
 
 
+def test_restart_goes_on_behind_a_quota_answer(spark, tmp_path):
+    """Answers in the middle of a batch and at the first event of one; no event is lost."""
+    for name, hits in {"middle": {5}, "first": {0}, "both": {0, 3, 61}}.items():
+        rows = [(*row, row[1] in hits) for row in rows_of(5, 90)]
+        feed = streams.as_index_changes(spark.createDataFrame(rows, FEED + ", quota BOOLEAN"), "root", "now")
+        store = IndexStore(spark, str(tmp_path / name / "index"))
+        actions, checkpoint = str(tmp_path / name / "actions"), str(tmp_path / name / "cp")
+        source = replay.as_stream(feed, "seq", batches=3)
+        for _ in hits:
+            with pytest.raises(StreamingQueryException):
+                streams.sync_feed(source, store, actions, checkpoint).awaitTermination()
+        streams.sync_feed(source, store, actions, checkpoint).awaitTermination()
+        kept = [r[:4] for r in rows if r[1] not in hits]
+        want = fold_actions(streams.as_index_changes(spark.createDataFrame(kept, FEED), "root", "now"))
+        got = spark.read.parquet(actions).orderBy("seq").select("seq", "action").collect()
+        assert got == want.orderBy("seq").select("seq", "action").collect(), name
+        assert {r["doc_id"]: r["update_time"] for r in store.load().collect()} == batch_state(spark, kept)
+
+
+def test_a_store_that_is_in_use(spark, tmp_path):
+    """Earlier runs and other streams take no batch away; an older event changes nothing."""
+    feed = streams.as_index_changes(
+        spark.createDataFrame([("d0", 0, 100, True), ("d1", 1, 100, True), ("d2", 2, 950, True)], FEED), "root", "now"
+    )
+    held = streams.as_index_changes(spark.createDataFrame([("d0", 0, 900, True), ("d2", 1, 900, True)], FEED), "root", "then")
+    for name, start in (
+        ("state", lambda source, store, cp: streams.keep_newest(source, store, cp)),
+        ("fold", lambda source, store, cp: streams.sync_feed(source, store, f"{cp}-actions", cp)),
+    ):
+        store = IndexStore(spark, str(tmp_path / name))
+        store.append(held, 0)
+        for n in range(2):  # the second stream starts anew on what the first has left
+            start(replay.as_stream(feed, "seq", batches=2), store, str(tmp_path / f"{name}-cp{n}")).awaitTermination()
+            assert {r["doc_id"]: r["update_time"] for r in store.load().collect()} == {"d0": "900", "d1": "100", "d2": "950"}
+        store.append(held.where("doc_id = 'd0'"), store.last_run() + 1)
+        assert store.load().count() == 3
+
+
 def test_schedule():
     assert streams.schedule_trigger(3, "minutes") == {"processingTime": "300000 milliseconds"}
     assert streams.schedule_trigger(2, "hours") == {"processingTime": "7200000 milliseconds"}
