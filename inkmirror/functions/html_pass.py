@@ -203,7 +203,8 @@ def main_block(page: PageTokens) -> tuple[str, int, int]:
 
 # ---- Markdown ---------------------------------------------------------------
 
-# Markdown characters in plain text get a backslash.
+# The escapes that CommonMark asks for where plain text would be read as
+# markup (https://spec.commonmark.org, backslash escapes), as common converters apply them.
 ESCAPES = [
     (re.compile(r"\\"), r"\\\\"),
     (re.compile(r"\*"), r"\\*"),
@@ -267,8 +268,9 @@ def _inline(runs: list[tuple[str, tuple]], attrs_of) -> str:
 
 
 class _Writer:
-    def __init__(self, page: PageTokens):
+    def __init__(self, page: PageTokens, lazy: bool = False):
         self.page = page
+        self.lazy = lazy  # images of articles may name their address in data-src
         self.runs: list[tuple[str, tuple]] = []
         self.marks: list[int] = []
         self.heading = 0
@@ -350,7 +352,7 @@ class _Writer:
         if tag == "br":
             self.runs.append(("  \n", tuple(self.marks)))
         elif tag == "img":
-            source = attrs.get("data-src") or attrs.get("src", "")
+            source = self.lazy and attrs.get("data-src") or attrs.get("src", "")
             if source:
                 title = f' "{attrs["title"]}"' if attrs.get("title") else ""
                 self.add(f"![{re.sub(chr(10) + '+', chr(10), attrs.get('alt', ''))}]({source}{title})", collapse=False)
@@ -391,7 +393,7 @@ def article(html: str) -> tuple:
     meta = page.first(lambda tag, attrs: tag == "meta" and SUMMARY_META in (attrs.get("property"), attrs.get("name")))
     summary = "" if meta is None else page.tokens[meta][2].get("content", "")
     enough = clean >= BODY_MIN_LENGTH
-    return selector, length, clean, summary, _Writer(page).write(start, stop, JUNK_TAGS) if enough else None
+    return selector, length, clean, summary, _Writer(page, lazy=True).write(start, stop, JUNK_TAGS) if enough else None
 
 
 def absolute_url(relative: str, base: str) -> str | None:

@@ -111,12 +111,15 @@ def degraded_body(title: Column, url: Column, summary: Column) -> Column:
 
 
 def _titled_link(title: Column, url: Column) -> Column:
-    return F.concat(F.lit("# "), title, F.lit(f"\n\n[{LINK_TEXT}]("), url, F.lit(")\n\n"))
+    empty = F.lit("")
+    return F.concat(
+        F.lit("# "), F.coalesce(title, empty), F.lit(f"\n\n[{LINK_TEXT}]("), F.coalesce(url, empty), F.lit(")\n\n")
+    )
 
 
 def file_stub_body(title: Column, ext: Column, file_name: Column) -> Column:
     return F.concat(
-        F.lit("# "), title, F.lit(f"\n\n> {FILE_TYPE_TEXT}"), F.upper(ext),
+        F.lit("# "), F.coalesce(title, F.lit("")), F.lit(f"\n\n> {FILE_TYPE_TEXT}"), F.upper(ext),
         F.lit("\n\n["), file_name, F.lit("]("), file_name, F.lit(")\n"),
     )
 

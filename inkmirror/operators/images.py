@@ -19,8 +19,6 @@ RELATIVE_MARKDOWN_IMAGE = rf"!\[([^\]]*)\]\(((?!https?:|data:){_NOT_WS}+)\)"
 RELATIVE_HTML_IMAGE = rf'(?i)<img{TAG_END}([^>]*)(?<![A-Za-z0-9_])src="((?!https?:|data:)[^"]+)"'
 DATA_URI = r"^data:([\w/+.-]+);base64,([^\n\r\u2028\u2029]*)\z"
 HAS_IMAGE = rf"{MARKDOWN_IMAGE}|{HTML_IMAGE}"
-# Longest data URI that serves as its own key.
-KEY_LENGTH = 256
 
 
 def image_urls(content: Column | str) -> Column:
@@ -81,13 +79,9 @@ def _spliced(text: Column, at: Column, old: Column, new: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, after, F.length(text)))
 
 
-def short_key(url: Column) -> Column:
-    """The URL itself, or a digest where it is a long data URI.
-
-    Shuffles and maps then carry short keys; the bytes stay in the document.
-    """
-    long = url.startswith("data:") & (F.length(url) > KEY_LENGTH)
-    return F.when(long, F.concat(F.lit("data:"), F.sha2(url, 256))).otherwise(url)
+def url_key(url: Column) -> Column:
+    """What names a URL in maps and joins: a digest for data URIs, else the URL."""
+    return F.when(url.startswith("data:"), F.concat(F.lit("data:"), F.sha2(url, 256))).otherwise(url)
 
 
 def image_refs(docs: DataFrame) -> DataFrame:
@@ -105,7 +99,7 @@ def resolve_refs(refs: DataFrame, blobs: DataFrame) -> DataFrame:
     local = refs.select(
         "doc_id",
         "pos",
-        short_key(F.col("url")).alias("url"),
+        "url",
         F.when(is_data, data_uri_bytes(F.col("url")).isNotNull()).alias("inline_ok"),
         F.when(is_data, data_uri_ext(F.col("url"))).alias("inline_ext"),
     )
@@ -145,16 +139,16 @@ def numbered(resolved: DataFrame) -> DataFrame:
 
 
 def rewrite_refs(content: Column, names: Column) -> Column:
-    """References to stored images as embeds; ``names`` maps URL to file name."""
+    """References to stored images as embeds; ``names`` maps the key of a URL to a file name."""
 
     def embed_markdown(match: Column) -> Column:
         alt = F.regexp_extract(match, MARKDOWN_IMAGE, 1)
-        file_name = F.try_element_at(names, short_key(F.regexp_extract(match, MARKDOWN_IMAGE, 2)))
+        file_name = F.try_element_at(names, url_key(F.regexp_extract(match, MARKDOWN_IMAGE, 2)))
         shown = F.when(alt != "", F.concat(F.lit("|"), alt)).otherwise("")
         return F.coalesce(F.concat(F.lit("![["), file_name, shown, F.lit("]]")), match)
 
     def embed_html(match: Column) -> Column:
-        file_name = F.try_element_at(names, short_key(F.regexp_extract(match, HTML_IMAGE, 1)))
+        file_name = F.try_element_at(names, url_key(F.regexp_extract(match, HTML_IMAGE, 1)))
         return F.coalesce(F.concat(F.lit("![["), file_name, F.lit("]]")), match)
 
     return replace_each_match(replace_each_match(content, MARKDOWN_IMAGE, embed_markdown), HTML_IMAGE, embed_html)
@@ -172,7 +166,7 @@ def localize(docs: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = docs.where(~F.coalesce(F.col("content").rlike(HAS_IMAGE), F.lit(False)))
     images = numbered(resolve_refs(image_refs(with_images), blobs))
     joined = with_images.join(images, "doc_id", "left")
-    names = F.map_from_entries(F.transform("images", lambda r: F.struct(r["url"], r["file_name"])))
+    names = F.map_from_entries(F.transform("images", lambda r: F.struct(url_key(r["url"]), r["file_name"])))
     named = joined.withColumn("_names", names)
     rewritten = named.withColumn("content", rewrite_refs(F.col("content"), F.col("_names"))).select(
         *docs.columns, "downloaded", "failed"
@@ -205,13 +199,9 @@ def new_attachments(files: DataFrame, existing: DataFrame, order: list[str]) ->
     )
 
 
-def attachment_bytes(attachments: DataFrame, blobs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Bytes of each new attachment: of the fetched blob, or decoded from the data
-    URI that still stands in its document (doc_id, content)."""
+def attachment_bytes(attachments: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Bytes of each new attachment: of the fetched blob, or decoded from its data URI."""
     inline = F.col("url").startswith("data:")
     fetched = attachments.where(~inline).join(blobs.select("url", "body"), "url").select("path", "doc_id", "body")
-    wanted = attachments.where(inline).select("path", "doc_id", "url")
-    holders = docs.where(F.col("content").contains("data:")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    uris = image_refs(holders).where(inline)
-    decoded = uris.select("doc_id", short_key(F.col("url")).alias("url"), data_uri_bytes(F.col("url")).alias("body"))
-    return fetched.unionByName(wanted.join(decoded, ["doc_id", "url"]).select("path", "doc_id", "body"))
+    decoded = attachments.where(inline).select("path", "doc_id", data_uri_bytes(F.col("url")).alias("body"))
+    return fetched.unionByName(decoded)

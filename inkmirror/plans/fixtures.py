@@ -82,12 +82,14 @@ FX: dict[str, str] = {
         FROM {documents} d
         JOIN (SELECT user_id, EPOCH(max(ts)) AS s FROM {events} GROUP BY user_id) m ON m.user_id=d.doc_id%15""",
     "fx_pages20": """
-        SELECT listing_id, page_no, docid, pos, page_no>=1+listing_no%3 AS is_end
-        FROM (SELECT source AS listing_id,
+        SELECT listing_id, page_no, docid, pos, page_no>=last_page-listing_no%3 AS is_end,
+               page_no>=last_page-listing_no%2 AS no_cursor
+        FROM (SELECT source AS listing_id, CAST(floor((n-1)/20) AS INT) AS last_page,
                      CAST(length(source)+ascii(substring(source,4,1)) AS INT) AS listing_no,
                      concat('',doc_id) AS docid, CAST(floor((rn-1)/20) AS INT) AS page_no,
                      CAST((rn-1)%20 AS INT) AS pos
-              FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn
+              FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
+                           count(*) OVER (PARTITION BY source) AS n
                     FROM {documents}) a) b""",
     "fx_fetched": """
         SELECT page_id, url, CASE page_id%20 WHEN 7 THEN 404 WHEN 13 THEN 503 ELSE 200 END AS status,

@@ -110,7 +110,7 @@ DECIDED = f"""decided AS (
 DECIDED_FROM = "fx_items fx_media fx_index"
 
 
-def folded(index: bool) -> str:
+def folded(index: bool, feed: str = "fx_items_dup") -> str:
     """The repeated feed decided in order, with the index or with an empty one."""
     join = "LEFT JOIN fx_index x USING (doc_id)" if index else ""
     known = "x.doc_id IS NOT NULL" if index else "false"
@@ -120,7 +120,7 @@ def folded(index: bool) -> str:
         FROM (SELECT f.doc_id, seq, t, ok, {known} AS known, {known_t} AS known_t,
                      coalesce(bool_or(ok) OVER before, false) AS prior_ok,
                      max(CASE WHEN ok THEN t END) OVER before AS prior_t
-              FROM fx_items_dup f {join}
+              FROM {feed} f {join}
               WINDOW before AS (PARTITION BY f.doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) p)"""
 
 
@@ -289,6 +289,20 @@ ORACLES: dict[str, str] = {
     + """SELECT doc_id, 'vault/' || doc_id || '.md' AS path, CASE WHEN t > 0 THEN CAST(t AS VARCHAR) ELSE '' END AS update_time
          FROM (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rn
                FROM folded WHERE ok AND action <> 'skip') w WHERE rn = 1""",
+    "stream_used_store": with_("fx_items_dup fx_index", folded(True))
+    + """SELECT doc_id, path, update_time FROM fx_index
+         WHERE doc_id NOT IN (SELECT doc_id FROM folded WHERE ok AND action <> 'skip')
+         UNION ALL
+         SELECT doc_id, 'vault/' || doc_id || '.md', CASE WHEN t > 0 THEN CAST(t AS VARCHAR) ELSE '' END
+         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rn
+               FROM folded WHERE ok AND action <> 'skip') w WHERE rn = 1""",
+    "stream_quota_resume": with_(
+        "fx_items_dup",
+        "feed AS (SELECT * FROM fx_items_dup WHERE seq <> (SELECT min(seq) FROM fx_items_dup) "
+        "AND seq <> (SELECT (min(seq) + max(seq)) // 2 FROM fx_items_dup))",
+        folded(False, "feed"),
+    )
+    + "SELECT doc_id, seq, t, action FROM folded",
     "quota_cut": with_("fx_items fx_requests", OUTCOME, RESOLVED)
     + """SELECT media_id, -pos AS seq FROM fx_items
          WHERE -pos < coalesce((SELECT min(-i.pos) FROM fx_items i JOIN resolved r ON r.request_id = i.pos
@@ -324,14 +338,15 @@ ORACLES: dict[str, str] = {
          FROM named n LEFT JOIN taken t ON t.parent = n.parent AND t.name = n.name""",
     "paged_catalog": with_(
         "fx_pages20",
-        "borders AS (SELECT listing_id, min(page_no) AS border FROM fx_pages20 WHERE is_end OR page_no % 5 = 4 GROUP BY listing_id)",
+        "borders AS (SELECT listing_id, min(page_no) AS border FROM fx_pages20 WHERE is_end OR no_cursor GROUP BY listing_id)",
     )
     + """SELECT listing_id, page_no, pos, docid AS kb_id, 'base ' || docid AS kb_name FROM fx_pages20
          LEFT JOIN borders USING (listing_id) WHERE border IS NULL OR page_no <= border""",
     "paged_levels": """SELECT kb_id, folder_id, CAST(rn // 20 AS INT) AS page_no, CAST(rn % 20 AS INT) AS pos, media_id, 11 AS media_type
         FROM (SELECT 'kb_' || lang AS kb_id, source AS folder_id, 'doc_' || doc_id AS media_id,
-                     row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS rn FROM documents) d
-        WHERE rn // 20 <= 2""",
+                     row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS rn,
+                     (count(*) OVER (PARTITION BY lang, source) - 1) // 20 AS last_page FROM documents) d
+        WHERE rn // 20 <= greatest(last_page - 1, 0)""",
     "paged_notes": with_(
         "fx_pages20",
         "borders AS (SELECT listing_id, min(page_no) AS border FROM fx_pages20 WHERE is_end GROUP BY listing_id)",
@@ -524,7 +539,10 @@ ORACLES: dict[str, str] = {
     + """SELECT path, doc_id, url, wanted - 1 AS collided
          FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n, doc_id, url) AS rn, count(*) OVER (PARTITION BY path) AS wanted
                FROM files) f
-         WHERE rn = 1 AND path NOT IN (SELECT 'shared/' || lang || '-2.png' FROM documents WHERE lang LIKE 'd%')""",
+         WHERE rn = 1 AND path NOT IN (SELECT 'shared/' || lang || '-2.png' FROM documents WHERE lang IS NOT NULL)""",
+    "run_attachments": with_("fx_images fx_image_blobs", IMAGES)
+    + """SELECT 'vault/Notes/attachments/' || file_name AS path, 'pic_' || doc_id AS doc_id,
+                md5(CASE WHEN starts_with(url, 'data:') THEN 'hi' ELSE 'image ' || url END) AS digest FROM stored""",
     "run_report": with_(RUN_FROM, placed("selected"), RUN, recursive=True)
     + f"SELECT *, {SUMMARY} FROM (SELECT {COUNTS} FROM done) c",
     "run_results": with_(RUN_FROM, placed("selected"), RUN, recursive=True)

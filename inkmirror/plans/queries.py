@@ -3,6 +3,9 @@ derived from them, over all of their rows."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,7 +163,7 @@ def _page_fields(is_end, cursor=None) -> dict:
 def paged_catalog(load):
     rows = load("fx_pages20")
     entry = F.struct(F.col("docid").alias("kb_id"), F.concat(F.lit("base "), "docid").alias("kb_name"))
-    cursor = F.when(F.col("page_no") % 5 == 4, "").otherwise((F.col("page_no") + 1).cast("string"))
+    cursor = F.when(F.col("no_cursor"), "").otherwise((F.col("page_no") + 1).cast("string"))
     landed = listings.land_pages(
         rows, ["listing_id"], "info_list", entry, _page_fields(F.col("is_end"), cursor)
     )
@@ -169,15 +172,17 @@ def paged_catalog(load):
 
 @query
 def paged_levels(load):
-    """Documents as folder levels of 20 rows per page; the third page is the last that counts."""
+    """Documents as folder levels of 20 rows per page; the page before the last is the last that counts."""
     rows = load("documents").select(
         F.concat(F.lit("kb_"), "lang").alias("kb_id"), F.col("source").alias("folder_id"), "doc_id"
     )
-    chunks = listings.paginate(rows, ["kb_id", "folder_id"], "doc_id")
+    last_page = F.floor((F.count(F.lit(1)) - 1) / 20).cast("int").alias("last_page")
+    sizes = rows.groupBy("kb_id", "folder_id").agg(last_page)
+    chunks = listings.paginate(rows, ["kb_id", "folder_id"], "doc_id").join(sizes, ["kb_id", "folder_id"])
     entry = F.struct(F.concat(F.lit("doc_"), "doc_id").alias("media_id"), F.lit(11).alias("media_type"))
     landed = listings.land_pages(
         chunks, ["kb_id", "folder_id"], "knowledge_list", entry,
-        _page_fields(F.col("page_no") == 2, (F.col("page_no") + 1).cast("string")),
+        _page_fields(F.col("page_no") >= F.col("last_page") - 1, (F.col("page_no") + 1).cast("string")),
     )
     items = listings.assemble_levels(landed, ["kb_id", "folder_id"])
     return items.select("kb_id", "folder_id", "page_no", "pos", "media_id", "media_type")
@@ -552,7 +557,7 @@ def attachments_new(load):
     )
     _, files = images.localize(named, load("fx_image_blobs"))
     existing = load("documents").select(F.concat(F.lit("shared/"), "lang", F.lit("-2.png")).alias("path"))
-    return images.new_attachments(files, existing.where("path LIKE 'shared/d%'"), ["seq"])
+    return images.new_attachments(files, existing, ["seq"])
 
 
 # ---- whole runs -------------------------------------------------------------------------
@@ -604,6 +609,31 @@ def run_index(load):
     return state.upsert(inputs.index, run_sync(inputs, SyncParams(ROOT, RUN_DATE, SYNCED_AT)).index_changes)
 
 
+@query
+def run_attachments(load):
+    """Images the run stores, with a digest of their bytes."""
+    inputs = sync_inputs(load)
+    blobs = inputs.image_blobs.withColumn("body", F.encode(F.concat(F.lit("image "), "url"), "UTF-8"))
+    notes = inputs.notes
+    shown = load("fx_images").select(F.concat(F.lit("pic_"), "doc_id").alias("doc_id"), "content")
+    listed = load("documents").select(
+        F.concat_ws("_", F.lit("pic_wiki"), (F.col("doc_id") % 3).cast("string"), F.col("doc_id").cast("string")).alias("docid"),
+        F.concat(F.lit("picture "), "doc_id").alias("title"), F.lit("1700000000").alias("modify_time"), F.col("doc_id").alias("pos"),
+    )
+    pictured = replace(inputs, contents=inputs.contents.unionByName(shown), notes=notes.limit(0).unionByName(listed), image_blobs=blobs)
+    result = run_sync(pictured, SyncParams(ROOT, RUN_DATE, SYNCED_AT))
+    return result.attachment_files.where("doc_id LIKE 'pic%'").select("path", "doc_id", F.md5("body").alias("digest"))
+
+
+@query
+def run_originals(load):
+    """Files the run stores, with a digest of their bytes."""
+    inputs = sync_inputs(load)
+    bodied = replace(inputs, fetched=inputs.fetched.withColumn("body", F.encode(F.concat(F.lit("file "), "url"), "UTF-8")))
+    result = run_sync(bodied, SyncParams(ROOT, RUN_DATE, SYNCED_AT))
+    return result.original_files.select("path", "doc_id", "seq", F.md5("body").alias("digest"))
+
+
 @query
 def run_documents(load):
     """Documents the run writes, with their whole text."""
@@ -673,6 +703,36 @@ def stream_fold(load):
     return source.sparkSession.read.parquet(actions).select("doc_id", "seq", "t", "action")
 
 
+@query
+def stream_used_store(load):
+    """Index after a stream of older and newer events over a store that holds a run."""
+    source, store = streamed(load)
+    store.append(load("fx_index"), 0)
+    streams.keep_newest(source, store, f"{store.root}-checkpoint").awaitTermination()
+    return store.load().select("doc_id", "path", "update_time")
+
+
+@query
+def stream_quota_resume(load):
+    """Actions of a stream that meets a quota answer at its first event and one in the
+    middle, and goes on behind each."""
+    feed = streams.as_index_changes(load("fx_items_dup"), ROOT, SYNCED_AT)
+    first, last = feed.agg(F.min("seq"), F.max("seq")).first()
+    feed = feed.withColumn("quota", F.col("seq").isin(first, (first + last) // 2))
+    source = replay.as_stream(feed, "seq", batches=3)
+    store = index_store.IndexStore(feed.sparkSession, replay.new_folder(feed, "index"))
+    actions, met = f"{store.root}-actions", []
+    while True:
+        before = len(met)
+        try:
+            streams.sync_feed(source, store, actions, f"{store.root}-checkpoint", on_quota=lambda: met.append(1)).awaitTermination()
+        except StreamingQueryException:
+            if len(met) == before:
+                raise
+        if len(met) == before:
+            return source.sparkSession.read.parquet(actions).select("doc_id", "seq", "t", "action")
+
+
 @query
 def report_line(load):
     return with_summary(decide.run_counts(decided_items(load)))

@@ -24,7 +24,7 @@ from ..functions.rules import content_route, download_outcome, url_kind
 from ..functions.times import to_seconds
 from ..operators.bodies import convert_bodies, extract_articles, stored_originals
 from ..operators.decide import before_quota, error_lines, fold_actions, run_counts, run_result
-from ..operators.images import localize, new_attachments
+from ..operators.images import attachment_bytes, localize, new_attachments
 from ..operators.joins import lookup, settings_table
 from ..operators.naming import claim_paths, name_seen_by, write_targets
 from ..operators.scans import GROUP_ROWS, with_order_number
@@ -57,7 +57,8 @@ class SyncInputs:
 
     ``bases`` are the selected knowledge bases in order, ``notes`` is None when
     standalone notes are off. ``contents`` is unique per doc_id, ``fetched`` and
-    ``image_blobs`` per url, ``documents`` per path, ``index`` per doc_id. Tables of
+    ``image_blobs`` per url, ``documents`` per path, ``index`` per doc_id. ``body`` has the
+    bytes of fetched files and of images; without it a file's text counts. Tables of
     answers may carry ``outcome`` to report a quota answer, ``fetched`` may carry
     ``has_text`` to spare the decision from reading the pages.
     """
@@ -81,7 +82,9 @@ class SyncResult:
     results: DataFrame
     documents: DataFrame
     attachments: DataFrame
+    attachment_files: DataFrame
     originals: DataFrame
+    original_files: DataFrame
     folders: DataFrame
     index_changes: DataFrame
     report: DataFrame
@@ -89,6 +92,13 @@ class SyncResult:
     refused_folders: DataFrame
 
 
+# Tables of a run that are written beside the index.
+RUN_TABLES = (
+    "documents", "attachments", "attachment_files", "originals", "original_files", "folders", "results", "errors",
+    "report", "refused_folders",
+)
+
+
 def check_scope(inputs: SyncInputs) -> None:
     """A run needs a knowledge base or the notes."""
     if inputs.notes is None and inputs.bases.isEmpty():
@@ -283,6 +293,23 @@ def settle_and_convert(
         )
 
 
+def blocked_originals(settled: DataFrame, inputs: SyncInputs) -> DataFrame:
+    """Originals typed as Markdown: stored under the path that their document needed,
+    which then failed."""
+    own = (F.col("error") == PATH_EXISTS) & (F.col("kind") == "file") & (F.col("fetch_ext") == "md")
+    files = settled.where(own & F.col("claimed_name").isNotNull()).withColumn("name", F.col("claimed_name"))
+    types = inputs.fetched.select("url", "content_type")
+    return stored_originals(files.join(types, "url")).select("seq", "doc_id", "url", "file_path", "ext")
+
+
+def file_bytes(originals: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Path and bytes of stored originals; only files that are written are joined."""
+    body = F.col("body") if "body" in fetched.columns else F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return originals.join(fetched.select("url", body.alias("body")), "url").select(
+        F.col("file_path").alias("path"), "doc_id", "seq", "body"
+    )
+
+
 def file_bodies(writes: DataFrame, inputs: SyncInputs, claims: DataFrame) -> DataFrame:
     """Stub body, path and extension of items kept as their original bytes."""
     files = writes.where("kind = 'file'")
@@ -331,6 +358,11 @@ def run_sync(inputs: SyncInputs, params: SyncParams) -> SyncResult:
         F.when(F.col("t") > 0, F.col("t").cast("string")).otherwise("").alias("update_time"),
         F.lit(params.synced_at).alias("synced_at"),
     )
+    attachments = new_attachments(files, inputs.attachments, ["seq"])
+    blobs = inputs.image_blobs
+    if "body" not in blobs.columns:
+        blobs = blobs.withColumn("body", F.lit(None).cast("binary"))
+    originals = stubs.drop("body").unionByName(blocked_originals(settled, inputs))
     results = settled.select(
         "seq", "doc_id", "kb_id", "title", "route", "kind", "action", "result", "error", "path", "in_place"
     )
@@ -341,8 +373,10 @@ def run_sync(inputs: SyncInputs, params: SyncParams) -> SyncResult:
     return SyncResult(
         results=results,
         documents=documents,
-        attachments=new_attachments(files, inputs.attachments, ["seq"]),
-        originals=stubs.drop("body"),
+        attachments=attachments,
+        attachment_files=attachment_bytes(attachments, blobs),
+        originals=originals,
+        original_files=file_bytes(originals, inputs.fetched),
         folders=folders_needed(needed, "path"),
         index_changes=index_changes,
         report=with_summary(run_counts(results)),
@@ -360,10 +394,8 @@ def commit_run(result: SyncResult, store: IndexStore, folder: str, run: int) ->
     never happened, and repeating a committed run changes nothing."""
     if run <= store.last_run():
         return False
-    result.documents.write.mode("overwrite").parquet(f"{folder}/documents/run={run}")
-    result.attachments.write.mode("overwrite").parquet(f"{folder}/attachments/run={run}")
-    result.originals.write.mode("overwrite").parquet(f"{folder}/originals/run={run}")
-    result.folders.write.mode("overwrite").parquet(f"{folder}/folders/run={run}")
+    for name in RUN_TABLES:
+        getattr(result, name).write.mode("overwrite").parquet(f"{folder}/{name}/run={run}")
     return store.append(result.index_changes, run)
 
 

@@ -26,7 +26,7 @@ LONG = "word " * 60
         ("<p><b>1<p><b>2<p><b>3<p><b>4<p>5", "**1**\n\n****2****\n\n******3******\n\n********4********\n\n******5******"),
         ("a<hr>b", "a\n\n* * *\n\nb"),
         ('<img src="s" alt="k"><img>', "![k](s)"),
-        ('<img data-src="lazy" src="wait">', "![](lazy)"),
+        ('<img data-src="lazy" src="wait">', "![](wait)"),
         ("<script>x</script><style>y</style><nav>n</nav><header>h</header><footer>f</footer><noscript>o</noscript>k", "k"),
         ("1. x_y *z* [l] `c`", "1\\. x\\_y \\*z\\* \\[l\\] \\`c\\`"),
         ("<code>a*b_</code> <code>`t`</code>", "`a*b_` `` `t` ``"),
@@ -142,3 +142,10 @@ def test_image_regex_sees_only_images(spark):
     frame = spark.createDataFrame([("![a](b)",), ("<img src='b'>",), ('<IMG  src="b">',), ("!(b)",), (None,)], "s STRING")
     got = [r[0] for r in frame.select(F.col("s").rlike(images.HAS_IMAGE)).collect()]
     assert got == [True, False, True, False, None]
+
+
+def test_notes_read_src_and_articles_data_src(spark):
+    image = '<img data-src="a.png" src="b.png">'
+    assert hp.html_to_markdown(f"<p>{image}</p>") == "![](b.png)"
+    article = f"<article><p>{'word ' * 60}</p>{image}</article>"
+    assert "![](a.png)" in hp.article(article)[4]

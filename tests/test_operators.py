@@ -102,6 +102,19 @@ def test_tree_with_loops_and_orphans(spark):
     assert order == ["d1", "d3", "d2", "d5"]
 
 
+def test_trees_as_deep_as_they_are(spark):
+    """140 levels, and items whose parent is missing belong to the first level."""
+    rows = [("k", f"folder_{i}", f"folder_{i - 1}" if i else None, f"f{i}", 99, 0) for i in range(140)]
+    rows += [("k", "deep", "folder_139", "d", 6, 1), ("k", "loose", None, "l", 6, 2), ("k", "top", "", "t", 6, 3)]
+    items = spark.createDataFrame(rows, "kb_id STRING, media_id STRING, parent_folder_id STRING, title STRING, media_type INT, pos BIGINT")
+    bases = spark.createDataFrame([("k", "K", 0)], "kb_id STRING, kb_name STRING, kb_pos INT")
+    folders, refused = tree.expand_folders(items, bases, "root")
+    placed = {r["media_id"]: (r["parent_path"], r["depth"]) for r in tree.place_items(items, folders).collect()}
+    deep = "root/K/" + "/".join(f"f{i}" for i in range(140))
+    assert placed == {"deep": (deep, 141), "loose": ("root/K", 1), "top": ("root/K", 1)}
+    assert refused.count() == 0
+
+
 def test_folder_plan(spark):
     paths = spark.createDataFrame([("a/b/c",), ("a/d",), ("f/x/y",)], "p STRING")
     existing = spark.createDataFrame([("a",), ("a",)], "path STRING")
@@ -275,10 +288,21 @@ def test_localize(spark, tmp_path):
     assert new == {"att/1-1.webp": ("a_1", 1), "att/1-2.png": ("a_1", 0), "att/1-3.jpg": ("a_1", 0), "att/9-1.png": ("l_9", 0)}
     bodies = spark.createDataFrame([("h/1.jpg", bytearray(b"one")), ("h/4.jpg", bytearray(b"four"))], "url STRING, body BINARY")
     chosen = images.new_attachments(files, have, [])
-    data = {r["path"]: bytes(r["body"]) for r in images.attachment_bytes(chosen, bodies, frame).collect()}
+    data = {r["path"]: bytes(r["body"]) for r in images.attachment_bytes(chosen, bodies).collect()}
     assert data == {"att/1-1.webp": b"one", "att/1-2.png": b"hi", "att/1-3.jpg": b"four", "att/9-1.png": b"hello" * 100}
 
 
+def test_references_keep_their_address(spark):
+    """Also where it is a long data URI; the key alone is a digest."""
+    uri = "data:image/png;base64," + "aGk=" * 400
+    docs = spark.createDataFrame([("a_1", f"![x]({uri}) ![y](h/1.jpg)", "att")], "doc_id STRING, content STRING, image_dir STRING")
+    blobs = spark.createDataFrame([("h/1.jpg", "image/jpeg")], "url STRING, content_type STRING")
+    resolved = images.resolve_refs(images.image_refs(docs), blobs)
+    assert {r["url"] for r in resolved.collect()} == {uri, "h/1.jpg"}
+    _, files = images.localize(docs, blobs)
+    assert {r["url"] for r in images.new_attachments(files, files.select("path").limit(0), []).collect()} <= {uri, "h/1.jpg"}
+
+
 def test_absolute_image_urls(spark):
     rows = [
         ("![a](/x/y z.png) ![a](/x/ä.png) ![b](http://o/p) ![c](../q.gif?v=1) ![d](data:x)", "https://H.com/a/b/c"),

@@ -164,3 +164,45 @@ def test_global_attachment_folder(spark):
     result = run_sync(world.inputs(), SyncParams("root", "2024-06-01", "s", per_kb_attachments=False, global_folder=" /media/ "))
     paths = [r["path"] for r in result.attachments.collect()]
     assert paths and all(p.startswith("media/") for p in paths)
+
+
+def one_item_run(spark, title, fetched, url="http://h/a.md", media_type=6):
+    """A run over one link item."""
+    empty = spark.createDataFrame
+    return run_sync(
+        SyncInputs(
+            bases=empty([("k", "K", 0)], "kb_id STRING, kb_name STRING, kb_pos INT"),
+            items=empty([("k", "d1", None, title, media_type, 0)], ITEM),
+            media=empty([("d1", media_type, None, url, "100", "success")], MEDIA),
+            contents=empty([], "doc_id STRING, content STRING, outcome STRING"),
+            fetched=empty([(url, 200, *fetched)], FETCHED),
+            image_blobs=empty([], "url STRING, content_type STRING"),
+            index=empty([], index_store.INDEX),
+            documents=empty([], "path STRING, content STRING"),
+            attachments=empty([], "path STRING"),
+        ),
+        PARAMS,
+    )
+
+
+def test_an_original_typed_as_markdown_is_kept(spark):
+    result = one_item_run(spark, "same", ("text/markdown", "# m"))
+    assert [(r["result"], r["error"]) for r in result.results.collect()] == [("failed", "path exists")]
+    assert [r["file_path"] for r in result.originals.collect()] == ["root/K/same.md"]
+    assert [(r["path"], bytes(r["body"])) for r in result.original_files.collect()] == [("root/K/same.md", b"# m")]
+    assert result.documents.count() == 0 and result.index_changes.count() == 0
+
+
+@pytest.mark.parametrize("fetched", [("application/pdf", "b"), ("text/html", "<div>short</div>")])
+def test_a_missing_title_gives_a_document(spark, fetched):
+    result = one_item_run(spark, None, fetched)
+    content = result.documents.first()["content"]
+    assert result.documents.count() == 1 and "\n# \n" in content
+
+
+def test_a_run_writes_all_of_its_tables(spark, tmp_path):
+    result = one_item_run(spark, "t", ("application/pdf", "b"))
+    store = IndexStore(spark, str(tmp_path / "index"))
+    assert commit_run(result, store, str(tmp_path), 0)
+    for name in ("results", "errors", "report", "refused_folders", "attachment_files", "original_files"):
+        assert spark.read.parquet(str(tmp_path / name)).count() == getattr(result, name).count()
