@@ -7,12 +7,52 @@ cannot state (HTML to Markdown) have no entry and are tested by their properties
 
 from __future__ import annotations
 
-from ..functions import markdown as md
-from ..functions import names as nm
 from .fixtures import check_cte
 
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOT_WS_PAREN = WS.replace("[", "[^)", 1)
+# Fixed values, stated here again so that a slip in the tested tables shows.
+FILE_CONTENT_TYPE_EXT = {
+    "application/pdf": "pdf",
+    "application/msword": "doc",
+    "application/vnd.ms-excel": "xls",
+    "application/vnd.ms-powerpoint": "ppt",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.template": "dotx",
+    "application/vnd.openxmlformats-officedocument.presentationml.slideshow": "ppsx",
+    "application/vnd.ms-xpsdocument": "xps",
+    "application/vnd.ms-visio.drawing": "vsdx",
+    "text/plain": "txt",
+    "text/markdown": "md",
+    "text/html": "html",
+    "application/zip": "zip",
+    "application/x-zip-compressed": "zip",
+    "application/vnd.rar": "rar",
+    "application/x-7z-compressed": "7z",
+    "application/octet-stream": "",
+    "video/mp4": "mp4",
+    "video/quicktime": "mov",
+    "audio/mpeg": "mp3",
+    "image/png": "png",
+    "image/jpeg": "jpg",
+    "image/gif": "gif",
+    "image/webp": "webp",
+    "image/svg+xml": "svg",
+    "image/bmp": "bmp",
+}
+IMAGE_CONTENT_TYPE_EXT = {
+    "image/png": "png",
+    "image/jpeg": "jpg",
+    "image/jpg": "jpg",
+    "image/gif": "gif",
+    "image/webp": "webp",
+    "image/svg+xml": "svg",
+    "image/bmp": "bmp",
+    "image/x-icon": "ico",
+    "image/tiff": "tiff",
+}
 RUN_DATE = "2024-06-01"
 SYNCED_AT = "2024-06-01T00:00:00Z"
 
@@ -72,12 +112,12 @@ def type_ext(content_type: str, table: dict[str, str]) -> str:
 
 
 def file_ext(content_type: str, url: str) -> str:
-    return f"coalesce(nullif({type_ext(content_type, nm.FILE_CONTENT_TYPE_EXT)}, ''), nullif({url_ext(url, 5)}, ''), 'bin')"
+    return f"coalesce(nullif({type_ext(content_type, FILE_CONTENT_TYPE_EXT)}, ''), nullif({url_ext(url, 5)}, ''), 'bin')"
 
 
 def image_ext(content_type: str, url: str) -> str:
     from_url = f"lower(regexp_extract({url}, '\\.([a-zA-Z0-9]{{2,4}})($|\\?|#)', 1))"
-    return f"coalesce(nullif({type_ext(content_type, nm.IMAGE_CONTENT_TYPE_EXT)}, ''), nullif({from_url}, ''), 'png')"
+    return f"coalesce(nullif({type_ext(content_type, IMAGE_CONTENT_TYPE_EXT)}, ''), nullif({from_url}, ''), 'png')"
 
 
 def route(media_type: str, notebook: str, url: str) -> str:
@@ -323,7 +363,8 @@ ORACLES: dict[str, str] = {
     "index_lookup": with_("fx_index fx_media")
     + f"SELECT {INDEX_ROW} FROM fx_index WHERE doc_id IN (SELECT media_id FROM fx_media WHERE url IS NOT NULL)",
     "index_json_roundtrip": with_("fx_index") + f"SELECT {INDEX_ROW} FROM fx_index",
-    "index_size": with_("fx_index") + "SELECT count(*) AS entries, CAST(0 AS BIGINT) AS index_corrupt FROM fx_index",
+    "index_size": with_("fx_index")
+    + """SELECT count(*) AS entries, (SELECT count(*) FROM documents WHERE trim(text, ' ') <> '') AS index_corrupt FROM fx_index""",
     "index_clear": with_(
         "fx_items",
         f"wanted AS (SELECT pos AS seq, media_id AS doc_id, parent_folder_id AS parent, {safe_name('title')} AS base FROM fx_items)",
@@ -454,7 +495,7 @@ ORACLES: dict[str, str] = {
          WHERE rn = 1 UNION ALL SELECT 'old/' || c_name, c_mktsegment FROM customer""",
     "file_download": with_("fx_fetched", f"typed AS (SELECT *, {file_ext('content_type', 'url')} AS ext FROM fx_fetched WHERE status < 400)")
     + f"""SELECT url, 'files/f' || page_id || '.' || ext AS file_path, ext,
-                 '# File ' || page_id || chr(10) || chr(10) || '> {md.FILE_TYPE_TEXT}' || upper(ext) || chr(10) || chr(10)
+                 '# File ' || page_id || chr(10) || chr(10) || '> 文件类型：' || upper(ext) || chr(10) || chr(10)
                  || '[f' || page_id || '.' || ext || '](f' || page_id || '.' || ext || ')' || chr(10) AS stub FROM typed""",
     "frontmatter_build": f"""SELECT doc_id, '---' || chr(10) || 'title: ' || {yaml_string("'He said \"' || source || '\" \\ done'")} || chr(10)
             || CASE WHEN lang <> 'fr' THEN 'created: {RUN_DATE}' || chr(10) ELSE '' END
@@ -496,8 +537,8 @@ ORACLES: dict[str, str] = {
     )
     + f"""SELECT page_id, selector, CAST(block_length AS INT) AS block_length, CAST(block_length AS INT) AS clean_length,
                  block_length < 80 AS degraded,
-                 CASE WHEN block_length < 80 THEN '# Page ' || page_id || chr(10) || chr(10) || '[{md.LINK_TEXT}](' || url || ')'
-                      || chr(10) || chr(10) || '> {md.NO_BODY_TEXT}' END AS degraded_body
+                 CASE WHEN block_length < 80 THEN '# Page ' || page_id || chr(10) || chr(10) || '[原文链接](' || url || ')'
+                      || chr(10) || chr(10) || '> 正文抓取失败，仅保留链接。' END AS degraded_body
           FROM parts""",
     "lazy_images": with_("fx_fetched", page_parts("pages", "html"))
     + """SELECT page_id, selector, CASE WHEN selector = 'article'

@@ -130,7 +130,9 @@ def index_json_roundtrip(load):
 
 @query
 def index_size(load):
-    rows, corrupt = index_store.parse_json(index_store.json_lines(load("fx_index")))
+    """Entries of an index file in which texts stand between the maps as corrupt lines."""
+    lines = index_store.json_lines(load("fx_index")).unionByName(load("documents").select(F.col("text").alias("value")))
+    rows, corrupt = index_store.parse_json(lines)
     return rows.agg(F.count(F.lit(1)).alias("entries")).withColumn("index_corrupt", corrupt.scalar())
 
 
