@@ -11,12 +11,11 @@ from __future__ import annotations
 import re
 import sys
 from html.parser import HTMLParser
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .text_basics import WS_CHARS
 
@@ -268,9 +267,8 @@ def _inline(runs: list[tuple[str, tuple]], attrs_of) -> str:
 
 
 class _Writer:
-    def __init__(self, page: PageTokens, lazy: bool = False):
+    def __init__(self, page: PageTokens):
         self.page = page
-        self.lazy = lazy  # images of articles may name their address in data-src
         self.runs: list[tuple[str, tuple]] = []
         self.marks: list[int] = []
         self.heading = 0
@@ -352,7 +350,7 @@ class _Writer:
         if tag == "br":
             self.runs.append(("  \n", tuple(self.marks)))
         elif tag == "img":
-            source = self.lazy and attrs.get("data-src") or attrs.get("src", "")
+            source = attrs.get("src", "")
             if source:
                 title = f' "{attrs["title"]}"' if attrs.get("title") else ""
                 self.add(f"![{re.sub(chr(10) + '+', chr(10), attrs.get('alt', ''))}]({source}{title})", collapse=False)
@@ -385,27 +383,13 @@ def html_to_markdown(html: str) -> str:
 
 
 def article(html: str) -> tuple:
-    """selector, length of the block, length without junk, summary, Markdown."""
+    """selector, length of the block, length without junk, Markdown."""
     page = PageTokens(html)
     selector, start, stop = main_block(page)
     length = utf16_len(page.text(start, stop).strip(JS_SPACE))
     clean = utf16_len(page.text(start, stop, JUNK_TAGS).strip(JS_SPACE))
-    meta = page.first(lambda tag, attrs: tag == "meta" and SUMMARY_META in (attrs.get("property"), attrs.get("name")))
-    summary = "" if meta is None else page.tokens[meta][2].get("content", "")
     enough = clean >= BODY_MIN_LENGTH
-    return selector, length, clean, summary, _Writer(page, lazy=True).write(start, stop, JUNK_TAGS) if enough else None
-
-
-def absolute_url(relative: str, base: str) -> str | None:
-    """``relative`` against ``base`` with unsafe characters percent-encoded; None if it has no meaning."""
-    try:
-        if not urlsplit(base).netloc:
-            return None
-        scheme, host, path, query, fragment = urlsplit(urljoin(base, relative))
-        safe = "/:@!$&'()*+,;=-._~%[]|^\\"
-        return urlunsplit((scheme, host.lower(), quote(path, safe), quote(query, safe + "?`{}"), quote(fragment, safe + "?")))
-    except ValueError:
-        return None
+    return selector, length, clean, _Writer(page).write(start, stop, JUNK_TAGS) if enough else None
 
 
 # ---- Arrow batches ------------------------------------------------------------
@@ -431,7 +415,6 @@ ARTICLE_RESULT = StructType(
         StructField("selector", StringType()),
         StructField("block_length", IntegerType()),
         StructField("clean_length", IntegerType()),
-        StructField("summary", StringType()),
         StructField("markdown", StringType()),
         StructField("error", StringType()),
     ]
@@ -446,11 +429,5 @@ def markdown_pass(html: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(ARTICLE_RESULT)
 def article_pass(html: pd.Series) -> pd.DataFrame:
-    rows = [_guarded(article, value, 5) for value in html]
+    rows = [_guarded(article, value, 4) for value in html]
     return pd.DataFrame(rows, columns=ARTICLE_RESULT.names, dtype=object)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def absolute_urls(relative: pd.Series, base: pd.Series) -> pd.Series:
-    pairs = zip(relative, base)
-    return pd.Series([None if r is None else [absolute_url(u, b or "") for u in r] for r, b in pairs])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html_pass import BODY_MIN_LENGTH, article_pass, markdown_pass
+from ..functions.html_pass import BODY_MIN_LENGTH, SUMMARY_META, article_pass, markdown_pass
 from ..functions.markdown import (
     article_body,
     clean_markdown,
@@ -17,6 +17,7 @@ from ..functions.markdown import (
 from ..functions.names import file_ext, join_path
 from ..functions.rules import download_outcome, looks_like_html, url_kind
 from ..functions.text_basics import trim_all
+from ..functions.urls import page_meta, promote_lazy_images
 from .images import absolute_image_urls
 
 BAD_ENTITY = "character reference out of range"
@@ -61,11 +62,11 @@ def extract_articles(pages: DataFrame, html: str = "text", title: str = "title",
     A map-only job: equal pages are converted again rather than shuffled by
     content, because moving whole pages costs more than parsing them.
     """
-    passed = pages.withColumn("_article", article_pass(F.col(html)))
+    passed = pages.withColumn("_article", article_pass(promote_lazy_images(html)))
     parts = passed.select(
         *pages.columns,
         *[F.col(f"_article.{name}").alias(name) for name in ("selector", "block_length", "clean_length")],
-        F.col("_article.summary").alias("_summary"),
+        page_meta(html, SUMMARY_META).alias("_summary"),
         F.col("_article.error").alias("_error"),
         trim_all(decode_entities("_article.markdown")).alias("_markdown"),
     )

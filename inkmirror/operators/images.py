@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html_pass import absolute_urls
 from ..functions.names import image_ext, image_file_name, join_path
 from ..functions.rules import download_outcome
 from ..functions.text_basics import TAG_END, WS, replace_each_match
+from ..functions.urls import absolute_url
 from ..session import cut
 
 # The reference forms.
@@ -48,13 +48,12 @@ def data_uri_ext(uri: Column) -> Column:
 def absolute_image_urls(docs: DataFrame, content: str, base_url: str) -> DataFrame:
     """Relative image references made absolute; what cannot be resolved stays.
 
-    The URL arithmetic runs in Arrow batches on the short list of references; the
-    text itself is rewritten by column code.
+    Addresses are worked out on the short list of references, then the text is rewritten.
     """
     text = F.col(content)
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(2)) for p in (RELATIVE_MARKDOWN_IMAGE, RELATIVE_HTML_IMAGE)]
     step = docs.withColumn("_relative", F.array_distinct(F.concat(*found)))
-    step = step.withColumn("_absolute", absolute_urls(F.col("_relative"), F.col(base_url)))
+    step = step.withColumn("_absolute", F.transform("_relative", lambda r: absolute_url(r, F.coalesce(base_url, F.lit("")))))
     pairs = F.filter(F.arrays_zip("_relative", "_absolute"), lambda p: p["_absolute"].isNotNull())
     step = step.withColumn("_known", F.map_from_entries(pairs))
 

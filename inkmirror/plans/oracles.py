@@ -540,9 +540,9 @@ ORACLES: dict[str, str] = {
                  CASE WHEN block_length < 80 THEN '# Page ' || page_id || chr(10) || chr(10) || '[原文链接](' || url || ')'
                       || chr(10) || chr(10) || '> 正文抓取失败，仅保留链接。' END AS degraded_body
           FROM parts""",
-    "lazy_images": with_("fx_fetched", page_parts("pages", "html"))
-    + """SELECT page_id, selector, CASE WHEN selector = 'article'
-                THEN lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || '/i/' || page_id || '.png' END AS first_image FROM parts""",
+    "lazy_images": """SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || '/i/' || page_id || '.png' AS first_image
+        FROM pages""",
+    "page_meta": "SELECT page_id, 'Sum &lt; ' || page_id AS summary, '' AS missing FROM pages",
     "image_refs": with_("fx_images", refs("fx_images")) + "SELECT doc_id, pos, url FROM refs",
     "image_join": with_("fx_images fx_image_blobs", IMAGES) + "SELECT doc_id, pos, url, ok, ext FROM resolved_refs",
     "image_names": with_("fx_images fx_image_blobs", IMAGES) + "SELECT doc_id, url, image_no, file_name FROM stored",

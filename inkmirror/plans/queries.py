@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import names as nm
-from ..functions import rules, times
+from ..functions import rules, times, urls
 from ..operators import bodies, decide, images, naming, requests, scans, state, tree
 from ..session import configure, cut
 from ..sources import index_store, landing, listings
@@ -496,11 +496,20 @@ def html_to_markdown(load):
 
 @query
 def lazy_images(load):
-    """Lazy images promoted, made absolute and listed from the article body."""
+    """First image of each page after lazy images are promoted and made absolute."""
     lazy = F.concat(F.lit('<article><img data-src="/i/'), F.col("page_id").cast("string"), F.lit('.png" src="wait.gif">'))
-    pages = load("pages").select("page_id", "url", F.lit("T").alias("title"), F.replace("html", F.lit("<article>"), lazy).alias("text"))
-    done = bodies.extract_articles(pages)
-    return done.select("page_id", "selector", F.get(images.image_urls("body"), F.lit(0)).alias("first_image"))
+    pages = load("pages").select("page_id", "url", F.replace("html", F.lit("<article>"), lazy).alias("html"))
+    promoted = pages.withColumn("html", urls.promote_lazy_images("html"))
+    done = images.absolute_image_urls(promoted, "html", "url")
+    return done.select("page_id", F.get(images.image_urls("html"), F.lit(0)).alias("first_image"))
+
+
+@query
+def page_meta(load):
+    """Summary that a page's meta tag gives."""
+    tag = F.concat(F.lit('<head><META content="Sum &amp;lt; '), F.col("page_id").cast("string"), F.lit("\" property='og:description'/>"))
+    pages = load("pages").select("page_id", F.replace("html", F.lit("<head>"), tag).alias("html"))
+    return pages.select("page_id", urls.page_meta("html", "og:description").alias("summary"), urls.page_meta("html", "og:title").alias("missing"))
 
 
 # ---- images ---------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkmirror.functions import html_pass as hp
+from inkmirror.functions import urls
 from inkmirror.operators import bodies, images
 
 LONG = "word " * 60
@@ -147,5 +148,24 @@ def test_image_regex_sees_only_images(spark):
 def test_notes_read_src_and_articles_data_src(spark):
     image = '<img data-src="a.png" src="b.png">'
     assert hp.html_to_markdown(f"<p>{image}</p>") == "![](b.png)"
-    article = f"<article><p>{'word ' * 60}</p>{image}</article>"
-    assert "![](a.png)" in hp.article(article)[4]
+    page = f"<article><p>{'word ' * 60}</p>{image}</article>"
+    frame = spark.createDataFrame([("t", "http://h/p", page)], "title STRING, url STRING, text STRING")
+    assert "![](http://h/a.png)" in bodies.extract_articles(frame).first()["body"]
+
+
+def test_addresses_and_tags_are_column_code(evaluate):
+    cases = [
+        ("../q.gif?v=1", "https://H.com/a/b/c", "https://h.com/a/q.gif?v=1"),
+        ("//cdn/s.png", "http://h.com", "http://cdn/s.png"),
+        ("?k=v", "http://h.com/a?x=1#f", "http://h.com/a?k=v"),
+        ("ä b.png?ö", "http://h.com", "http://h.com/%C3%A4%20b.png?%C3%B6"),
+        ("HTTPS://O.org/P/../q", "http://h.com", "https://o.org/q"),
+        ("a/./b/..", "http://h.com/x/", "http://h.com/x/a/"),
+        ("x.png", "no address", None),
+    ]
+    got = evaluate(urls.absolute_url("r", "b"), "r STRING, b STRING", [c[:2] for c in cases])
+    assert got == [c[2] for c in cases]
+    tags = ['<img data-src="a" src="b">', "<IMG src=w data-src='l'/>", '<img data-src="" src="k">', '<img src="only">', None]
+    assert evaluate(urls.promote_lazy_images("h"), "h STRING", tags) == [
+        '<img src="a" >', "<IMG  src='l'/>", '<img data-src="" src="k">', '<img src="only">', None,
+    ]
