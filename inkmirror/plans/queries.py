@@ -18,7 +18,9 @@ from ..sources import index_store, landing, listings
 from ..streaming import feed as streams
 from ..streaming import replay
 from .fixtures import relation
-from .run import SyncInputs, SyncParams, SyncResult, catalog_probe, run_sync, selected_scope, with_summary
+from .run import (
+    SyncInputs, SyncParams, SyncResult, catalog_probe, commit_run, run_sync, selected_scope, vault, with_summary,
+)
 
 ROOT = "vault"
 RUN_DATE = "2024-06-01"
@@ -620,6 +622,21 @@ def run_index(load):
     return state.upsert(inputs.index, run_sync(inputs, SyncParams(ROOT, RUN_DATE, SYNCED_AT)).index_changes)
 
 
+@query
+def run_twice(load):
+    """Counters of a second run over the state that the first one left."""
+    inputs, params = sync_inputs(load), SyncParams(ROOT, RUN_DATE, SYNCED_AT)
+    store = index_store.IndexStore(inputs.items.sparkSession, replay.new_folder(inputs.items, "index"))
+    store.append(inputs.index, 0)
+    folder = f"{store.root}-vault"
+    commit_run(run_sync(inputs, params), store, folder, 1)
+    left = replace(
+        inputs, index=store.load(), documents=vault(store, folder, "documents", inputs.documents),
+        attachments=vault(store, folder, "attachments", inputs.attachments),
+    )
+    return run_sync(left, params).report
+
+
 @query
 def run_attachments(load):
     """Images the run stores, with a digest of their bytes."""

@@ -399,6 +399,20 @@ def commit_run(result: SyncResult, store: IndexStore, folder: str, run: int) ->
     return store.append(result.index_changes, run)
 
 
+def vault(store: IndexStore, folder: str, name: str, before: DataFrame) -> DataFrame:
+    """A table of all committed runs, unique per path, over what stood there ``before``.
+
+    The newest run of a path is found on narrow columns. Runs whose index part is
+    missing never happened, so their rows do not count.
+    """
+    rows = store.spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}")
+    rows = rows.where(F.col("run") <= store.last_run())
+    newest = rows.groupBy("path").agg(F.max("run").alias("run"))
+    written = rows.join(newest, ["path", "run"]).drop("run")
+    kept = before.join(newest.select("path"), "path", "left_anti")
+    return kept.unionByName(written.select(*before.columns))
+
+
 def catalog_probe(items: DataFrame) -> DataFrame:
     """Items per knowledge base and type, in all and at the first level."""
     return items.groupBy("kb_id", "media_type").agg(
