@@ -586,6 +586,8 @@ ORACLES: dict[str, str] = {
                 md5(CASE WHEN starts_with(url, 'data:') THEN 'hi' ELSE 'image ' || url END) AS digest FROM stored""",
     "run_report": with_(RUN_FROM, placed("selected"), RUN, recursive=True)
     + f"SELECT *, {SUMMARY} FROM (SELECT {COUNTS} FROM done) c",
+    "run_from_pages": with_(RUN_FROM, placed("selected"), RUN, recursive=True)
+    + f"SELECT *, {SUMMARY} FROM (SELECT {COUNTS} FROM done) c",
     "run_twice": with_(RUN_FROM, placed("selected"), RUN, recursive=True)
     + f"""SELECT *, {SUMMARY} FROM (SELECT CAST(0 AS BIGINT) AS created, CAST(0 AS BIGINT) AS updated,
             count(*) FILTER (result <> 'failed') AS skipped, count(*) FILTER (result = 'failed') AS failed FROM done) c""",

@@ -622,6 +622,27 @@ def run_index(load):
     return state.upsert(inputs.index, run_sync(inputs, SyncParams(ROOT, RUN_DATE, SYNCED_AT)).index_changes)
 
 
+@query
+def run_from_pages(load):
+    """Counters of a run whose folder levels come as landed pages; two pages of another
+    read are left behind the last one of each level."""
+    keys = ["kb_id", "parent_folder_id"]
+    pages = listings.paginate(load("fx_tree").withColumnRenamed("pos", "place"), keys, "place")
+    last_page = pages.groupBy(*keys).agg(F.max("page_no").alias("last_page"))
+    rows = pages.select(*keys, "media_id", "title", "media_type", "page_no", "pos").join(last_page, keys)
+    stale = rows.where("page_no = last_page").withColumn("later", F.explode(F.array(F.lit(1), F.lit(2))))
+    stale = stale.withColumns({"page_no": F.col("page_no") + F.col("later"), "media_id": F.concat(F.lit("stale_"), "media_id")})
+    every = rows.unionByName(stale.drop("later"))
+    entry = F.struct("media_id", "media_type", "title", "parent_folder_id")
+    landed = listings.land_pages(
+        every, keys, "knowledge_list", entry,
+        _page_fields(F.col("page_no") >= F.col("last_page"), (F.col("page_no") + 1).cast("string")),
+    )
+    levels = listings.assemble_levels(landed.withColumnRenamed("parent_folder_id", "level"), ["kb_id", "level"])
+    inputs = replace(sync_inputs(load), items=cut(listings.tree_items(levels, folder="level")))
+    return run_sync(inputs, SyncParams(ROOT, RUN_DATE, SYNCED_AT)).report
+
+
 @query
 def run_twice(load):
     """Counters of a second run over the state that the first one left."""

@@ -70,6 +70,19 @@ def assemble_levels(envelopes: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "page_no", "pos", "entry.*")
 
 
+def tree_items(levels: DataFrame, kb: str = "kb_id", folder: str = "folder_id") -> DataFrame:
+    """Assembled folder levels as the adjacency list of a run: an item belongs to the
+    folder whose level lists it, at its place in that level."""
+    return levels.select(
+        F.col(kb).alias("kb_id"),
+        "media_id",
+        F.coalesce(F.col(folder), F.lit("")).alias("parent_folder_id"),
+        "title",
+        "media_type",
+        (F.col("page_no").cast("bigint") * PAGE_ROWS + F.col("pos")).alias("pos"),
+    )
+
+
 def assemble_notes(envelopes: DataFrame, keys: list[str], group_rows: int = GROUP_ROWS) -> DataFrame:
     """Notes of each listing, unwrapped; entries without an id are dropped but
     still count in the offset at which their page was asked for."""
