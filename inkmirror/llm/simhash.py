@@ -12,6 +12,12 @@ fingerprints ``wide`` keys are stricter: either all three segments have at most
 segment as it is and one index, 30 to 35 bits). Both find every pair; all pairs met are
 verified by counting differing bits.
 
+Several fingerprints of a text, each under its own seed, make a longer one: every one
+of them gives keys, and a pair is verified by the differing bits of all together.
+``keep_one`` takes two and links at 22 of 128 bits, so that most texts whose 5-word
+shingles are alike by 0.8 (19 bits on average) link; pairs within 4 bits on a half always
+meet, others where two segments of a half are as close as the keys reach.
+
 Links are sought between distinct fingerprints only, and a bucket gives a spanning
 forest of its links, so copies never become pairs.
 
@@ -38,8 +44,12 @@ from .components import components
 
 SHINGLE = 4
 DISTANCE = 4  # the pigeonhole above holds for 4
-SEED = 42
+SEEDS = (42,)
+# What ``keep_one`` takes: words of a shingle, seeds, bits that may differ in all.
+STAGE_SHINGLE, STAGE_SEEDS, STAGE_DISTANCE = 5, (42, 43), 22
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # shift, width
+# Fingerprints with more than a part in so many of all rows do not meet their rows by shuffle.
+FREQUENT = 2000
 # Above so many distinct fingerprints the wide keys keep buckets short.
 WIDE_FROM = 1 << 30
 
@@ -48,36 +58,57 @@ GOLAY = 0b110001110101
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a whole text."""
+def fingerprint(
+    text: bytes | None, shingle: int = SHINGLE, seeds: tuple[int, ...] = SEEDS, even: bool = False
+) -> list[int]:
+    """The 64-bit SimHash of a whole text under each seed. ``even`` lets the smallest
+    hash decide the bits that just half of the shingles set; else they are 0, and texts
+    of few shingles come near the fingerprint of none."""
     found = (text or b"").translate(_LOWER).split()
     if not found:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: max(1, len(found) - shingle + 1)].tolist()
     ends = ends[min(shingle, len(found)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(starts)
-    return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(documents: DataFrame, keys: dict[str, Column], shingle: int = SHINGLE) -> DataFrame:
-    """The columns ``keys`` (name -> expression) and ``fp`` (bigint) of each row of ``documents``."""
+    out = []
+    for seed in seeds:
+        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(starts))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        twice = 2 * bits.sum(axis=0, dtype=np.int64)
+        majority = twice > len(starts)
+        if even:
+            majority |= (twice == len(starts)) & bits[hashes.argmin()].astype(bool)
+        out.append(int(np.packbits(majority, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def columns_of(seeds: tuple[int, ...]) -> list[str]:
+    """Names of the fingerprints: fp, fp1, ..."""
+    return ["fp", *[f"fp{i}" for i in range(1, len(seeds))]]
+
+
+def fingerprints(
+    documents: DataFrame,
+    keys: dict[str, Column],
+    shingle: int = SHINGLE,
+    seeds: tuple[int, ...] = SEEDS,
+    even: bool = False,
+) -> DataFrame:
+    """The columns ``keys`` (name -> expression) and the fingerprints (bigint) of each row of ``documents``."""
     source = documents.select(*[c.alias(name) for name, c in keys.items()], F.col("text").cast("binary").alias("_text"))
-    schema = source.drop("_text").withColumn("fp", F.lit(0).cast("bigint")).schema
-
+    prints = columns_of(seeds)
+    schema = source.drop("_text").withColumns({name: F.lit(0).cast("bigint") for name in prints}).schema
     names = list(keys)  # columns themselves cannot travel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text")
-            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            columns = [batch.column(name) for name in names] + [pa.array(prints.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "fp"])
+            found = [fingerprint(t.as_py(), shingle, seeds, even) for t in batch.column("_text")]
+            values = np.array(found, np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            columns = [batch.column(name) for name in names] + [pa.array(values[:, i]) for i in range(len(seeds))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *prints])
 
     return source.mapInArrow(run, schema)
 
@@ -141,7 +172,7 @@ def bucket_keys(prints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.
 
 
 def bucket_links(key: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarray:
-    """Spanning forest of the links in each bucket; rows are sorted by key."""
+    """Spanning forest of the links in each bucket; rows (one column a fingerprint) are sorted by key."""
     label = np.arange(len(key))
     links = []
     at, lag = np.arange(len(key)), 0
@@ -151,7 +182,8 @@ def bucket_links(key: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarr
         at = at[key[at] == key[at + lag]]
         if not len(at):
             break
-        close = at[np.bitwise_count(prints[at] ^ prints[at + lag]) <= distance]
+        differ = np.bitwise_count(prints[at] ^ prints[at + lag]).sum(axis=1, dtype=np.int64)
+        close = at[differ <= distance]
         close = close[label[close] != label[close + lag]]
         for i in close.tolist():
             a, b = i, i + lag
@@ -168,63 +200,97 @@ def bucket_links(key: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarr
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, wide: bool = False) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints ``fp`` that connect all within ``distance``."""
+def links(distinct: DataFrame, prints: list[str], distance: int = DISTANCE, wide: bool = False) -> DataFrame:
+    """Edges ``a, b`` between ``node`` (bigint) of distinct fingerprints that connect all met within ``distance``."""
+    many = len(prints)
+    fields = ", ".join(f"{name} bigint" for name in ("node", *prints))
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        """Node and fingerprints as unsigned numbers."""
+        columns = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("node", *prints)]
+        return np.stack(columns, axis=1).view(np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                prints = batch.column("fp").slice(start, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
-                rows, keys = bucket_keys(prints, wide)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[rows].view(np.int64))], names=["key", "fp"])
+            every = matrix(batch)
+            for start in range(0, len(every), 4096):
+                part = every[start : start + 4096]
+                for i in range(many):
+                    rows, keys = bucket_keys(np.ascontiguousarray(part[:, 1 + i]), wide)
+                    chosen = part[rows].view(np.int64)
+                    columns = [pa.array(keys * many + i)] + [pa.array(chosen[:, c]) for c in range(1 + many)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "node", *prints])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+        key, held = np.empty(0, np.int64), np.empty((0, 1 + many), np.uint64)
 
         def found(until: int) -> pa.RecordBatch:
-            pairs = bucket_links(key[:until], prints[:until], distance)
-            ends = [pa.array(prints[pairs[:, side]].view(np.int64)) for side in (0, 1)]
+            pairs = bucket_links(key[:until], held[:until, 1:], distance)
+            ends = [pa.array(held[pairs[:, side], 0].view(np.int64)) for side in (0, 1)]
             return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
         for batch in batches:
             key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
-            prints = np.concatenate([prints, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
+            held = np.concatenate([held, matrix(batch)])
             if len(key) >= 1 << 16 and key[0] != key[-1]:
                 until = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
                 yield found(until)
-                key, prints = key[until:], prints[until:]
+                key, held = key[until:], held[until:]
         if len(key):
             yield found(len(key))
 
-    dealt = distinct.select("fp").mapInArrow(deal, "key bigint, fp bigint")
-    met = dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a bigint, b bigint")
+    dealt = distinct.select("node", *prints).mapInArrow(deal, f"key bigint, {fields}")
+    met = dealt.repartition("key").sortWithinPartitions("key", *prints).mapInArrow(meet, "a bigint, b bigint")
     return met.distinct()
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, wide: bool | None = None) -> DataFrame:
+def near_duplicates(
+    documents: DataFrame,
+    shingle: int = SHINGLE,
+    seeds: tuple[int, ...] = SEEDS,
+    distance: int = DISTANCE,
+    even: bool = False,
+    wide: bool | None = None,
+) -> DataFrame:
     """``doc_id, text_hash, fp, component_id, keeper`` for each row of ``documents``
     (``doc_id, text``). ``keeper`` marks the smallest (doc_id, text_hash) of a component."""
+    prints = columns_of(seeds)
     printed = cut(
-        fingerprints(documents, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64("text")}, shingle)
+        fingerprints(documents, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64("text")}, shingle, seeds, even)
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    distinct = cut(printed.groupBy("fp").agg(first.alias("first")))
+    counted = printed.groupBy(*prints).agg(first.alias("first"), F.count(F.lit(1)).alias("rows"))
+    # numbered once: the table is written with its numbers
+    distinct = cut(counted.withColumn("node", F.monotonically_increasing_id()))
     if wide is None:
         wide = distinct.count() > WIDE_FROM
-    edges = cut(links(distinct, DISTANCE, wide))
-    grouped = cut(components(edges, "a", "b").withColumnRenamed("node", "fp"))
-    of_root = distinct.join(grouped, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    of_print = grouped.join(of_root, "root").select("fp", "least")
-    named = distinct.join(of_print, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    edges = cut(links(distinct, prints, distance, wide))
+    grouped = cut(components(edges, "a", "b"))
+    of_root = distinct.join(grouped, "node").groupBy("root").agg(F.min("first").alias("least"))
+    of_print = grouped.join(of_root, "root").select("node", "least")
+    named = distinct.join(of_print, "node", "left").select(*prints, "rows", F.coalesce("least", "first").alias("least"))
+    named = cut(named)
+    # fewer than FREQUENT fingerprints can hold so large a share of the rows; they are sent to all
+    share = (named.agg(F.sum("rows")).first()[0] or 0) / FREQUENT
+    frequent = F.broadcast(named.where(F.col("rows") > share).drop("rows"))
+    rare = named.where(F.col("rows") <= share).drop("rows")
+    others = printed.join(frequent.select(*prints), prints, "left_anti").join(rare, prints)
+    together = printed.join(frequent, prints).unionByName(others)
     keeper = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("text_hash").eqNullSafe(F.col("least.text_hash"))
-    return printed.join(named, "fp").select(
+    return together.select(
         "doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), keeper.alias("keeper")
     )
 
 
-def keep_one(documents: DataFrame, **settings) -> DataFrame:
+def keep_one(
+    documents: DataFrame,
+    shingle: int = STAGE_SHINGLE,
+    seeds: tuple[int, ...] = STAGE_SEEDS,
+    distance: int = STAGE_DISTANCE,
+) -> DataFrame:
     """The rows of ``documents`` that stay: the smallest of each component, once."""
-    staying = near_duplicates(documents, **settings).where("keeper").select("doc_id", "text_hash").distinct()
+    found = near_duplicates(documents, shingle, seeds, distance, even=True)
+    staying = found.where("keeper").select("doc_id", "text_hash").distinct()
     staying = staying.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("of"))
     packed = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash"))
     joined = packed.join(staying, packed["row_id"].eqNullSafe(staying["id"]) & (packed["row_hash"] == staying["of"]))

@@ -62,9 +62,10 @@ def test_pairs_within_distance_share_a_key(wide):
 @pytest.mark.parametrize("wide", [False, True])
 def test_components_against_all_pairs(spark, wide):
     prints = sorted(set(family(5)))
-    frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp bigint").repartition(4)
-    found = components(simhash.links(frame, wide=wide), "a", "b").collect()
-    root = {int(np.int64(r["node"]).view(np.uint64)): r["root"] for r in found}
+    rows = [(i, int(np.uint64(p).view(np.int64))) for i, p in enumerate(prints)]
+    frame = spark.createDataFrame(rows, "node bigint, fp bigint").repartition(4)
+    found = components(simhash.links(frame, ["fp"], wide=wide), "a", "b").collect()
+    root = {prints[r["node"]]: r["root"] for r in found}
     want = roots(prints)
     groups = {}
     for p, r in zip(prints, want):
@@ -94,6 +95,22 @@ def test_fingerprints_and_edge_rows(spark, edge_documents, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
 
 
+def test_edited_texts_are_dropped(spark):
+    """One word in sixty changed: 5-word shingles alike by 0.85 and more; others stay."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(60):
+        text = draw.choices(words, k=draw.randint(150, 600))
+        rows.append((i, " ".join(text)))
+        for place in draw.sample(range(len(text)), len(text) // 60):
+            text[place] = "changed"
+        rows.append((1000 + i, " ".join(text)))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(range(60)) <= kept
+    assert len(kept) <= 60 + 15
+
+
 def test_keep_one(spark, edge_documents, no_documents):
     kept = simhash.keep_one(edge_documents)
     assert kept.columns == edge_documents.columns
