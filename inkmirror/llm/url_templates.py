@@ -35,6 +35,7 @@ LEVELS = 4
 # A node's children are a wildcard from so many distinct ones, if they are this rare.
 MANY, RARE = 8, 0.3
 PURITY, PRIOR_WEIGHT = 0.9, 4.0
+FREQUENT = 2000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,6 +71,17 @@ def _labels(prefix: str = "") -> list[Column]:
     return [F.sum(c).alias(prefix + c) for c in ("n", "blocked", "allowed")]
 
 
+def _looked_up(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``found``, one row per key with its number of rows
+    ``n``. Fewer than FREQUENT keys can hold more than a part in so many of all rows;
+    they are sent to all executors, so no task gets the rows of one of them."""
+    share = (found.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+    frequent = F.broadcast(found.where(F.col("n") > share).drop("n"))
+    rare = found.where(F.col("n") <= share).drop("n")
+    others = rows.join(frequent.select(*keys), keys, "left_anti").join(rare, keys, "left")
+    return rows.join(frequent, keys).unionByName(others)
+
+
 def path_templates(addresses: DataFrame, levels: int = LEVELS) -> DataFrame:
     """``host, path, template`` for distinct ``host, path, n, blocked, allowed``."""
     parts = F.slice(F.split("path", "/"), 2, 1 << 30)
@@ -115,8 +127,8 @@ def path_templates(addresses: DataFrame, levels: int = LEVELS) -> DataFrame:
             .when(alike & (F.col("children") > 1), F.lit("~"))
             .otherwise(F.col("part"))
         )
-        steps = judged.select("host", "prefix", "part", step.alias("step"))
-        moved = here.join(steps, ["host", "prefix", "part"], "left")
+        steps = cut(judged.select("host", "prefix", "part", step.alias("step"), "n"))
+        moved = _looked_up(here, steps, ["host", "prefix", "part"])
         longer = F.when(F.col("step").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "step"))
         here = moved.withColumn("prefix", longer).drop("step", "part", "kind")
     deepest = F.coalesce(F.concat(F.lit("/"), F.get("parts", F.lit(levels))), F.lit(""))
@@ -139,10 +151,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, levels: int =
     labels = F.sum(F.col("blocked") + F.col("allowed"))
     # a template without labels has no purity
     smoothed = F.when(labels > 0, (F.sum("blocked") + PRIOR_WEIGHT * prior) / (labels + PRIOR_WEIGHT))
-    purity = templates.groupBy("host", "template").agg(smoothed.alias("purity"))
+    purity = cut(templates.groupBy("host", "template").agg(smoothed.alias("purity"), F.count(F.lit(1)).alias("n")))
     # a rule decides all rows of an address or none
     open_ = templates.where("blocked + allowed = 0").select("host", "path", "template")
-    judged = open_.join(purity, ["host", "template"])
+    judged = _looked_up(open_, purity, ["host", "template"])
     by_rule = ruled.where("rule is not null").select(
         "page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("purity")
     )
