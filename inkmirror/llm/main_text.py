@@ -312,9 +312,12 @@ def fit(pages: DataFrame) -> Extractor:
     """An extractor trained on layouts filled with words of at most ``SAMPLE_PAGES`` pages."""
     from .layouts import laid_out
 
-    chosen = pages.where(F.length("html") <= SAMPLE_CHARACTERS).select("page_id", "html")
-    chosen = chosen.orderBy(F.xxhash64(F.lit(23), "page_id"), "page_id").limit(SAMPLE_PAGES)
-    words = [w for r in chosen.collect() for _, t in Page(r["html"]).blocks for w in t.split()]
+    short = pages.where(F.length("html") <= SAMPLE_CHARACTERS).select("page_id", "html")
+    # ids first, so that only chosen pages reach the driver
+    ids = short.select("page_id").orderBy(F.xxhash64(F.lit(23), "page_id"), "page_id").limit(SAMPLE_PAGES)
+    chosen = short.join(F.broadcast(ids.distinct()), "page_id").limit(SAMPLE_PAGES)
+    rows = sorted(chosen.collect(), key=lambda r: (r["page_id"], r["html"]))
+    words = [w for r in rows for _, t in Page(r["html"]).blocks for w in t.split()]
     return train(laid_out(words, LAYOUTS))
 
 
