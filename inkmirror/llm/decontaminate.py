@@ -42,56 +42,63 @@ UNITS = [
 ]
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
 _MARK = "\ue001"  # stands before a name until it is replaced
-_PUNCTUATION = ".,;:!?\"'()[]{}*|`´“”‘’«»¿¡…"
+_PUNCTUATION = r"""[.,;:!?"'()\[\]{}*|`´“”‘’«»¿¡…]+"""
 
 
 def base_text(text: Column) -> Column:
     """Lower-cased words without punctuation; names carry a mark, numbers and units stand apart."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _MARK, "")
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(""))
     spaced = F.regexp_replace(plain, rf"(?i)(?<=[0-9])(?={_UNIT}(?![\p{{L}}\p{{N}}]))", " ")
-    named = F.regexp_replace(spaced, r"(?<=[\p{L}\p{N},;:)][\x20\x09-\x0D])(?=\p{Lu})", _MARK)
     # points and commas inside numbers stay
-    joined = F.regexp_replace(named, r"(?<=[0-9])[.,:](?=[0-9])", "·")
-    return F.trim(F.regexp_replace(F.lower(F.translate(joined, _PUNCTUATION, "")), GAP, " "))
+    joined = F.regexp_replace(spaced, r"[.,:](?<=[0-9].)(?=[0-9])", "·")
+    # most texts have no digit and skip the two passes above
+    counted = F.when(plain.rlike("[0-9]"), joined).otherwise(plain)
+    named = F.regexp_replace(counted, r"(?=\p{Lu})(?<=[\p{L}\p{N},;:)][\x20\x09-\x0D])", _MARK)
+    return F.btrim(F.lower(F.regexp_replace(named, _PUNCTUATION, "")), F.lit(" \t\n\x0b\f\r"))
 
 
 def canonical_text(base: Column) -> Column:
     """Typed placeholders for names, numbers and units; as many words as before."""
     numbers = F.regexp_replace(base, r"[0-9]+(?:[·/-][0-9]+)*", "<num>")
-    units = F.regexp_replace(numbers, rf"(?<=<num> ){_UNIT}(?=[ ]|$)", "<unit>")
-    return F.regexp_replace(units, rf"{_MARK}[^ ]+", "<name>")
+    units = F.regexp_replace(numbers, rf"(?<=<num>[\x20\x09-\x0D]){_UNIT}(?=[\x20\x09-\x0D]|$)", "<unit>")
+    counted = F.when(base.rlike("[0-9]"), units).otherwise(base)
+    named = F.regexp_replace(counted, rf"{_MARK}[^\x20\x09-\x0D]+", "<name>")
+    return F.when(F.contains(base, F.lit(_MARK)), named).otherwise(counted)
 
 
 def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
     """``keys, pos, hash, slots`` for each window; ``slots`` has the words behind the
-    placeholders in order, null without any."""
-    based = texts.select(*keys, base_text(F.col("text")).alias("base"))
-    split = based.where(F.col("base") != "").select(
-        *keys, F.split("base", " ").alias("b"), F.split(canonical_text(F.col("base")), " ").alias("c")
+    placeholders in order, null without any.
+
+    The word array is zipped with itself, shifted, and exploded, so that all work on a
+    window is plain column code on its words.
+    """
+    based = texts.select(*keys, base_text(F.col("text")).alias("base")).where(F.col("base") != "")
+    canonical = based.select(*keys, "base", canonical_text(F.col("base")).alias("canonical"))
+    slotted = F.col("base") != F.col("canonical")
+    none = F.array().cast("array<string>")
+    # texts without a placeholder carry one array of words
+    split = canonical.select(
+        *keys, F.split("canonical", GAP).alias("c"), F.when(slotted, F.split("base", GAP)).otherwise(none).alias("b")
     )
-    numbered = split.select(
+    rest = F.lit((1 << 31) - 1)
+    shifted = [F.slice(side, F.lit(i + 1), rest).alias(f"{side}{i}") for side in "cb" for i in range(window)]
+    names = [f"{side}{i}" for side in "cb" for i in range(window)]
+    rows = split.select(*keys, F.size("c").alias("many"), *shifted)
+    rows = rows.select(*keys, "many", F.posexplode(F.arrays_zip(*names)).alias("at", "w"))
+    # a window is full, or it is a whole text that is shorter
+    rows = rows.where(F.col(f"w.c{window - 1}").isNotNull() | ((F.col("at") == 0) & (F.col("many") < window)))
+    words, plain = [F.col(f"w.c{i}") for i in range(window)], [F.col(f"w.b{i}") for i in range(window)]
+    opens = [F.coalesce(b != c, F.lit(False)) for b, c in zip(plain, words)]
+    slots = sum((o.cast("int") for o in opens), F.lit(0))
+    size = F.least(F.lit(window), F.col("many"))
+    literal = (slots > 0) & (size - slots < F.least(F.lit(PLAIN), size))
+    return rows.select(
         *keys,
-        "b",
-        "c",
-        F.transform("c", lambda w: F.xxhash64(w)).alias("hc"),
-        (F.col("b") != F.col("c")).alias("slotted"),
+        (F.col("at") + 1).alias("pos"),
+        F.when(literal, F.xxhash64(F.lit("words"), *plain)).otherwise(F.xxhash64(*words)).alias("hash"),
+        F.when((slots > 0) & ~literal, F.array_compact(F.array(*[F.when(o, b) for o, b in zip(opens, plain)]))).alias("slots"),
     )
-    many = F.greatest(F.lit(1), F.size("c") - window + 1)
-
-    def one(i: Column) -> Column:
-        words, plain = F.slice("c", i, window), F.slice("b", i, window)
-        pairs = F.arrays_zip(plain.alias("b"), words.alias("c"))
-        open_ = F.filter(pairs, lambda p: p["b"] != p["c"])
-        template = F.xxhash64(F.slice("hc", i, window))
-        literal = F.size(words) - F.size(open_) < F.least(F.lit(PLAIN), F.size(words))
-        has = F.col("slotted") & (plain != words)
-        return F.struct(
-            i.alias("pos"),
-            F.when(has & literal, F.xxhash64(F.lit("words"), plain)).otherwise(template).alias("hash"),
-            F.when(has & ~literal, F.transform(open_, lambda p: p["b"])).alias("slots"),
-        )
-
-    return numbered.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), many), one)).alias("w")).select(*keys, "w.*")
 
 
 def _one_to_one(pairs: Column) -> Column:
