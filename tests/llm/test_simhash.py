@@ -117,3 +117,22 @@ def test_keep_one(spark, edge_documents, no_documents):
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda i: (i is None, i))
     assert ids == [1, 2, 4, 7, 8, 9, None]
     assert simhash.keep_one(no_documents).count() == 0
+
+
+def test_keep_one_links_at_the_similarity(spark):
+    """Pairs on both sides of 0.8, and chains of them, against the similarity of whole sets."""
+    draw = random.Random(21)
+    rows, linked, apart = [], set(), set()
+    for i in range(300):
+        text = [f"w{draw.randrange(100_000)}" for _ in range(draw.choice([155, 404]))]
+        other = list(text)
+        # one changed word costs 5 of the shingles; between 0.7 and 0.9
+        for place in range(7, len(text) - 7, draw.choice([60, 50, 47, 46, 45, 43, 35, 32])):
+            other[place] = "changed"
+        one, two = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (text, other))
+        (linked if len(one & two) * 5 >= 4 * len(one | two) else apart).add(1000 + i)
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(linked) > 50 and len(apart) > 50
+    assert not linked & kept  # all links
+    assert apart | set(range(300)) <= kept  # and no other
