@@ -4,10 +4,12 @@ are still the passage.
 Words are canonicalised: numbers, units after a number, and capitalised words inside a
 sentence become typed placeholders; punctuation and case go. Windows of 5 template words
 are hashed and joined with those of the benchmark. On one alignment of a document with
-an item, the windows that match must cover half of the item's windows or 13 words, and
-the values in the placeholders must map one to one, so a question with new names and
-numbers is caught, and one that only shares its frame with scrambled values is not. A
-window with fewer than 3 plain words counts by its words as they are.
+an item, the windows that match must cover half of the item's windows or 13 words. The values
+in the placeholders must map one to one: of the partners of a value only the one at the
+most places counts, none on a tie, and a window with another pair is left out unless all
+its values are the item's. So a question with new names and numbers is caught, and one
+that only shares its frame with scrambled values is not. A window with fewer than 3 plain
+words counts by its words as they are.
 
 Defined results: texts and items shorter than a window are one window, whole; null or
 blank ones have none; repeated rows give one result row per id, text and item; an empty
@@ -17,7 +19,7 @@ all).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -68,7 +70,7 @@ def canonical_text(base: Column) -> Column:
 
 def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
     """``keys, pos, hash, slots`` for each window; ``slots`` has the words behind the
-    placeholders in order, null without any.
+    placeholders in order and where in the window they stand, null without any.
 
     The word array is zipped with itself, shifted, and exploded, so that all work on a
     window is plain column code on its words.
@@ -93,20 +95,33 @@ def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) ->
     slots = sum((o.cast("int") for o in opens), F.lit(0))
     size = F.least(F.lit(window), F.col("many"))
     literal = (slots > 0) & (size - slots < F.least(F.lit(PLAIN), size))
+    in_slots = [F.when(o, F.struct(b.alias("word"), F.lit(i).alias("nth"))) for i, (o, b) in enumerate(zip(opens, plain))]
     return rows.select(
         *keys,
         (F.col("at") + 1).alias("pos"),
         F.when(literal, F.xxhash64(F.lit("words"), *plain)).otherwise(F.xxhash64(*words)).alias("hash"),
-        F.when((slots > 0) & ~literal, F.array_compact(F.array(*[F.when(o, b) for o, b in zip(opens, plain)]))).alias("slots"),
+        F.when((slots > 0) & ~literal, F.array_compact(F.array(*in_slots))).alias("slots"),
     )
 
 
-def _one_to_one(pairs: Column) -> Column:
-    """Each value on either side has one partner."""
-    distinct = F.array_distinct(pairs)
-    mine = F.array_distinct(F.transform(distinct, lambda p: p["mine"]))
-    theirs = F.array_distinct(F.transform(distinct, lambda p: p["theirs"]))
-    return (F.size(distinct) == F.size(mine)) & (F.size(distinct) == F.size(theirs))
+def _distinct_windows(met: Column) -> Column:
+    """Item windows among those met."""
+    return F.size(F.array_distinct(F.transform(met, lambda m: m["item_pos"])))
+
+
+def _outvoted(aligned: DataFrame) -> DataFrame:
+    """``alignment, outvoted``: the pairs of slot values for which another partner of either
+    value stands at as many places of the item or more."""
+    each = aligned.select("alignment", F.explode("met").alias("m")).select("alignment", F.explode("m.pairs").alias("p"))
+    each = each.select("alignment", F.struct("p.mine", "p.theirs").alias("pair"), F.col("p.place").alias("place"))
+    votes = each.groupBy("alignment", "pair").agg(F.count_distinct("place").alias("votes"))
+    first = F.lit(True)
+    for side in ("pair.mine", "pair.theirs"):
+        rank = F.rank().over(Window.partitionBy("alignment", side).orderBy(F.desc("votes")))
+        tied = F.count(F.lit(1)).over(Window.partitionBy("alignment", side, "votes"))
+        first = first & (rank == 1) & (tied == 1)
+    judged = votes.withColumn("first", first)
+    return judged.where(~F.col("first")).groupBy("alignment").agg(F.collect_set("pair").alias("outvoted"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -123,19 +138,29 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     mine = template_windows(
         documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id", "text_hash"], window
     )
+    nothing = F.array().cast("array<struct<word:string,nth:int>>")
     pairs = F.zip_with(
-        F.coalesce("slots", F.array().cast("array<string>")),
-        F.coalesce("their_slots", F.array().cast("array<string>")),
-        lambda a, b: F.struct(a.alias("mine"), b.alias("theirs")),
+        F.coalesce("slots", nothing),
+        F.coalesce("their_slots", nothing),
+        lambda a, b: F.struct(a["word"].alias("mine"), b["word"].alias("theirs"), (F.col("item_pos") + b["nth"]).alias("place")),
     )
     met = mine.join(theirs, "hash").select(
         "doc_id", "text_hash", "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), pairs.alias("pairs")
     )
-    aligned = met.where(_one_to_one(F.col("pairs"))).groupBy("doc_id", "text_hash", "item_id", "item_windows", "at").agg(
-        F.count_distinct("item_pos").alias("windows"), F.flatten(F.collect_set("pairs")).alias("pairs")
-    )
     enough = (F.col("windows") >= F.col("item_windows") * COVERAGE) | (F.col("windows") + window - 1 >= LONG_RUN)
-    held = aligned.where(enough & _one_to_one(F.col("pairs")))
+    aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_windows", "at").agg(
+        F.collect_set(F.struct("item_pos", "pairs")).alias("met")
+    )
+    # numbered once: the table is written with its numbers
+    aligned = aligned.withColumn("windows", _distinct_windows(F.col("met"))).where(enough)
+    aligned = cut(aligned.withColumn("alignment", F.monotonically_increasing_id()))
+    judged = aligned.join(_outvoted(aligned), "alignment", "left")
+    verbatim = lambda m: F.forall(m["pairs"], lambda p: p["mine"] == p["theirs"])
+    paired = lambda m: F.transform(m["pairs"], lambda p: F.struct(p["mine"].alias("mine"), p["theirs"].alias("theirs")))
+    counted = F.when(F.col("outvoted").isNull(), F.col("met")).otherwise(
+        F.filter("met", lambda m: verbatim(m) | ~F.arrays_overlap(paired(m), F.col("outvoted")))
+    )
+    held = judged.withColumn("windows", _distinct_windows(counted)).where(enough)
     best = held.groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(F.max("windows").alias("windows"))
     return best.select(
         "doc_id", "text_hash", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage")

@@ -83,3 +83,11 @@ def test_edge_rows(spark, edge_documents, no_documents):
     assert kept.count() == edge_documents.count() - 1
     assert decontaminate.keep_clean(edge_documents, bench.limit(0)).count() == edge_documents.count()
     assert decontaminate.contaminated(no_documents, bench).count() == 0
+
+
+def test_a_slot_conflict_costs_its_windows_only(spark):
+    """A value that occurs twice, one of the two changed; equal numbers for different ones."""
+    second = "Otto".join(QUESTION.rsplit("Anna", 1))
+    numbers = "After Monday the small shop sold {} red boats and then the old woman in blue shoes bought {} more for her son at home"
+    documents = [(1, second), (2, numbers.format(3, 3)), (3, SCRAMBLED)]
+    assert found(spark, documents, [(10, QUESTION), (11, numbers.format(3, 5))]) == {(1, 10), (2, 11)}
