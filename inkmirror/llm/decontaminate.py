@@ -8,8 +8,9 @@ an item, the windows that match must cover half of the item's windows or 13 word
 in the placeholders must map one to one: of the partners of a value only the one at the
 most places counts, none on a tie, and a window with another pair is left out unless all
 its values are the item's. So a question with new names and numbers is caught, and one
-that only shares its frame with scrambled values is not. A window with fewer than 3 plain
-words counts by its words as they are.
+that only shares its frame with scrambled values is not. A window also matches by its
+lower-cased words as they are, names unmarked, so copies in any case are caught; one with
+fewer than 3 plain words matches in this way only.
 
 Defined results: texts and items shorter than a window are one window, whole; null or
 blank ones have none; repeated rows give one result row per id, text and item; an empty
@@ -43,6 +44,7 @@ UNITS = [
     "kw", "v", "a", "j", "kj", "cal", "kcal", "kb", "mb", "gb", "tb", "degree", "degrees",
 ]
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
+_SLOTS = "array<struct<word:string,nth:int>>"
 _MARK = "\ue001"  # stands before a name until it is replaced
 _PUNCTUATION = r"""[.,;:!?"'()\[\]{}*|`´“”‘’«»¿¡…]+"""
 
@@ -69,10 +71,11 @@ def canonical_text(base: Column) -> Column:
 
 
 def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
-    """``keys, pos, hash, slots`` for each window; ``slots`` has the words behind the
-    placeholders in order and where in the window they stand, null without any.
+    """``keys, pos, hash, slots``: a row for the words of each window and, if it has
+    placeholders and enough plain words, one for its template. ``slots`` has the words
+    behind the placeholders in order and where in the window they stand, null without any.
 
-    The word array is zipped with itself, shifted, and exploded, so that all work on a
+    The word arrays are zipped with themselves, shifted, and exploded, so that all work on a
     window is plain column code on its words.
     """
     based = texts.select(*keys, base_text(F.col("text")).alias("base")).where(F.col("base") != "")
@@ -81,27 +84,34 @@ def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) ->
     none = F.array().cast("array<string>")
     # texts without a placeholder carry one array of words
     split = canonical.select(
-        *keys, F.split("canonical", GAP).alias("c"), F.when(slotted, F.split("base", GAP)).otherwise(none).alias("b")
+        *keys,
+        F.split(F.replace("base", F.lit(_MARK), F.lit("")), GAP).alias("v"),
+        F.when(slotted, F.split("canonical", GAP)).otherwise(none).alias("c"),
+        F.when(slotted, F.split("base", GAP)).otherwise(none).alias("b"),
     )
     rest = F.lit((1 << 31) - 1)
-    shifted = [F.slice(side, F.lit(i + 1), rest).alias(f"{side}{i}") for side in "cb" for i in range(window)]
-    names = [f"{side}{i}" for side in "cb" for i in range(window)]
-    rows = split.select(*keys, F.size("c").alias("many"), *shifted)
-    rows = rows.select(*keys, "many", F.posexplode(F.arrays_zip(*names)).alias("at", "w"))
+    shifted = [F.slice(side, F.lit(i + 1), rest).alias(f"{side}{i}") for side in "vcb" for i in range(window)]
+    names = [f"{side}{i}" for side in "vcb" for i in range(window)]
+    rows = split.select(*keys, F.size("v").alias("words"), F.size("c").alias("many"), *shifted)
+    rows = rows.select(*keys, "words", "many", F.posexplode(F.arrays_zip(*names)).alias("at", "w"))
+    first = F.col("at") == 0
+    words, canon, plain = [[F.col(f"w.{side}{i}") for i in range(window)] for side in "vcb"]
     # a window is full, or it is a whole text that is shorter
-    rows = rows.where(F.col(f"w.c{window - 1}").isNotNull() | ((F.col("at") == 0) & (F.col("many") < window)))
-    words, plain = [F.col(f"w.c{i}") for i in range(window)], [F.col(f"w.b{i}") for i in range(window)]
-    opens = [F.coalesce(b != c, F.lit(False)) for b, c in zip(plain, words)]
+    whole = words[-1].isNotNull() | (first & (F.col("words") < window))
+    opens = [F.coalesce(b != c, F.lit(False)) for b, c in zip(plain, canon)]
     slots = sum((o.cast("int") for o in opens), F.lit(0))
     size = F.least(F.lit(window), F.col("many"))
-    literal = (slots > 0) & (size - slots < F.least(F.lit(PLAIN), size))
+    templated = (canon[-1].isNotNull() | (first & (F.col("many") < window))) & (slots > 0) & (
+        size - slots >= F.least(F.lit(PLAIN), size)
+    )
     in_slots = [F.when(o, F.struct(b.alias("word"), F.lit(i).alias("nth"))) for i, (o, b) in enumerate(zip(opens, plain))]
-    return rows.select(
-        *keys,
-        (F.col("at") + 1).alias("pos"),
-        F.when(literal, F.xxhash64(F.lit("words"), *plain)).otherwise(F.xxhash64(*words)).alias("hash"),
-        F.when((slots > 0) & ~literal, F.array_compact(F.array(*in_slots))).alias("slots"),
+    pos = (F.col("at") + 1).alias("pos")
+    as_words = F.struct(pos, F.xxhash64(*words).alias("hash"), F.lit(None).cast(_SLOTS).alias("slots"))
+    as_template = F.struct(
+        pos, F.xxhash64(F.lit("template"), *canon).alias("hash"), F.array_compact(F.array(*in_slots)).alias("slots")
     )
+    both = rows.select(*keys, F.explode(F.array(F.when(whole, as_words), F.when(templated, as_template))).alias("row"))
+    return both.where(F.col("row").isNotNull()).select(*keys, "row.pos", "row.hash", "row.slots")
 
 
 def _distinct_windows(met: Column) -> Column:
@@ -138,7 +148,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     mine = template_windows(
         documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id", "text_hash"], window
     )
-    nothing = F.array().cast("array<struct<word:string,nth:int>>")
+    nothing = F.array().cast(_SLOTS)
     pairs = F.zip_with(
         F.coalesce("slots", nothing),
         F.coalesce("their_slots", nothing),

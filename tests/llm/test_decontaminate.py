@@ -91,3 +91,9 @@ def test_a_slot_conflict_costs_its_windows_only(spark):
     numbers = "After Monday the small shop sold {} red boats and then the old woman in blue shoes bought {} more for her son at home"
     documents = [(1, second), (2, numbers.format(3, 3)), (3, SCRAMBLED)]
     assert found(spark, documents, [(10, QUESTION), (11, numbers.format(3, 5))]) == {(1, 10), (2, 11)}
+
+
+def test_copies_in_another_case(spark):
+    """Names are known by their capitals, copies without regard to them."""
+    documents = [(4, "plain words that say nothing"), (5, QUESTION.upper().lower()), (6, QUESTION.upper()), (7, QUESTION.title())]
+    assert found(spark, documents, [(10, QUESTION)]) == {(5, 10), (6, 10), (7, 10)}
