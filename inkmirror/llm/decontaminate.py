@@ -1,10 +1,11 @@
 """Benchmark decontamination by templates: passages with other names, numbers or units
 are still the passage.
 
-Words are canonicalised: numbers, units after a number, and capitalised words inside a
-sentence become typed placeholders; punctuation and case go. Windows of 5 template words
+Words are canonicalised: numbers, units after a number, and runs of capitalised words inside
+a sentence become typed placeholders; punctuation and case go. Windows of 5 template words
 are hashed and joined with those of the benchmark. On one alignment of a document with
-an item, the windows that match must cover half of the item's windows or 13 words. The values
+an item, or on alignments a few words apart (inserted and missing words, names of other
+length), the windows that match must cover half of the item's windows or 13 words. The values
 in the placeholders must map one to one: of the partners of a value only the one at the
 most places counts, none on a tie, and a window with another pair is left out unless all
 its values are the item's. So a question with new names and numbers is caught, and one
@@ -29,6 +30,7 @@ from .common import GAP
 WINDOW = 5
 PLAIN = 3  # plain words a window needs to count as a template
 COVERAGE, LONG_RUN = 0.5, 13
+BAND = 16  # alignments in one half of so many words are judged together
 # Benchmark windows up to this many are sent to all executors (24 bytes and a few slot
 # words each); beyond, both sides are shuffled by window hash.
 SENT_WINDOWS = 500_000
@@ -46,12 +48,15 @@ UNITS = [
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")"
 _SLOTS = "array<struct<word:string,nth:int>>"
 _MARK = "\ue001"  # stands before a name until it is replaced
+_MORE = "\ue002"  # stands between the words of one name
 _PUNCTUATION = r"""[.,;:!?"'()\[\]{}*|`´“”‘’«»¿¡…]+"""
 
 
 def base_text(text: Column) -> Column:
     """Lower-cased words without punctuation; names carry a mark, numbers and units stand apart."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(""))
+    plain = F.coalesce(text, F.lit(""))
+    for mark in (_MARK, _MORE):
+        plain = F.replace(plain, F.lit(mark), F.lit(""))
     spaced = F.regexp_replace(plain, rf"(?i)(?<=[0-9])(?={_UNIT}(?![\p{{L}}\p{{N}}]))", " ")
     # points and commas inside numbers stay
     joined = F.regexp_replace(spaced, r"[.,:](?<=[0-9].)(?=[0-9])", "·")
@@ -61,6 +66,17 @@ def base_text(text: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(named, _PUNCTUATION, "")), F.lit(" \t\n\x0b\f\r"))
 
 
+def with_whole_names(base: Column) -> Column:
+    """Adjacent name words as one word."""
+    joined = F.regexp_replace(base, rf"({_MARK}[^\x20\x09-\x0D]+){GAP}(?={_MARK})", "$1" + _MORE)
+    return F.when(F.contains(base, F.lit(_MARK)), joined).otherwise(base)
+
+
+def words_apart(joined: Column) -> Column:
+    """The words of ``with_whole_names``; those that go on with a name begin with a mark."""
+    return F.split(F.replace(joined, F.lit(_MORE), F.lit(" " + _MORE)), GAP)
+
+
 def canonical_text(base: Column) -> Column:
     """Typed placeholders for names, numbers and units; as many words as before."""
     numbers = F.regexp_replace(base, r"[0-9]+(?:[·/-][0-9]+)*", "<num>")
@@ -72,28 +88,34 @@ def canonical_text(base: Column) -> Column:
 
 def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
     """``keys, pos, hash, slots``: a row for the words of each window and, if it has
-    placeholders and enough plain words, one for its template. ``slots`` has the words
+    placeholders and enough plain words, one for its template, both at the place of their first word. ``slots`` has the words
     behind the placeholders in order and where in the window they stand, null without any.
 
     The word arrays are zipped with themselves, shifted, and exploded, so that all work on a
     window is plain column code on its words.
     """
     based = texts.select(*keys, base_text(F.col("text")).alias("base")).where(F.col("base") != "")
-    canonical = based.select(*keys, "base", canonical_text(F.col("base")).alias("canonical"))
-    slotted = F.col("base") != F.col("canonical")
+    named = based.select(*keys, "base", with_whole_names(F.col("base")).alias("joined"))
+    canonical = named.select(*keys, "base", "joined", canonical_text(F.col("joined")).alias("canonical"))
+    slotted = F.col("joined") != F.col("canonical")
+    apart = words_apart(F.col("joined"))
+    places = F.filter(F.sequence(F.lit(1), F.size("apart")), lambda i: ~F.startswith(F.element_at("apart", i), F.lit(_MORE)))
     none = F.array().cast("array<string>")
     # texts without a placeholder carry one array of words
     split = canonical.select(
         *keys,
         F.split(F.replace("base", F.lit(_MARK), F.lit("")), GAP).alias("v"),
         F.when(slotted, F.split("canonical", GAP)).otherwise(none).alias("c"),
-        F.when(slotted, F.split("base", GAP)).otherwise(none).alias("b"),
+        F.when(slotted, F.split("joined", GAP)).otherwise(none).alias("b"),
+        F.when(F.contains("joined", F.lit(_MORE)), apart).otherwise(none).alias("apart"),
     )
+    # where the words of a template begin, if some are names of several words
+    begins = F.when(F.size("apart") > 0, places).otherwise(F.array().cast("array<int>")).alias("begins")
     rest = F.lit((1 << 31) - 1)
     shifted = [F.slice(side, F.lit(i + 1), rest).alias(f"{side}{i}") for side in "vcb" for i in range(window)]
     names = [f"{side}{i}" for side in "vcb" for i in range(window)]
-    rows = split.select(*keys, F.size("v").alias("words"), F.size("c").alias("many"), *shifted)
-    rows = rows.select(*keys, "words", "many", F.posexplode(F.arrays_zip(*names)).alias("at", "w"))
+    rows = split.select(*keys, F.size("v").alias("words"), F.size("c").alias("many"), begins, *shifted)
+    rows = rows.select(*keys, "words", "many", F.posexplode(F.arrays_zip("begins", *names)).alias("at", "w"))
     first = F.col("at") == 0
     words, canon, plain = [[F.col(f"w.{side}{i}") for i in range(window)] for side in "vcb"]
     # a window is full, or it is a whole text that is shorter
@@ -107,16 +129,30 @@ def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) ->
     in_slots = [F.when(o, F.struct(b.alias("word"), F.lit(i).alias("nth"))) for i, (o, b) in enumerate(zip(opens, plain))]
     pos = (F.col("at") + 1).alias("pos")
     as_words = F.struct(pos, F.xxhash64(*words).alias("hash"), F.lit(None).cast(_SLOTS).alias("slots"))
+    begin = F.coalesce("w.begins", F.col("at") + 1).alias("pos")
     as_template = F.struct(
-        pos, F.xxhash64(F.lit("template"), *canon).alias("hash"), F.array_compact(F.array(*in_slots)).alias("slots")
+        begin, F.xxhash64(F.lit("template"), *canon).alias("hash"), F.array_compact(F.array(*in_slots)).alias("slots")
     )
     both = rows.select(*keys, F.explode(F.array(F.when(whole, as_words), F.when(templated, as_template))).alias("row"))
     return both.where(F.col("row").isNotNull()).select(*keys, "row.pos", "row.hash", "row.slots")
 
 
+def item_cells(texts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
+    """``keys, pos, cell, item_windows``: the window of template words that each word counts
+    for, and how many there are."""
+    based = texts.select(*keys, base_text(F.col("text")).alias("base")).where(F.col("base") != "")
+    each = based.select(*keys, F.posexplode(words_apart(with_whole_names(F.col("base")))).alias("at", "word"))
+    begun = F.sum((~F.startswith("word", F.lit(_MORE))).cast("int"))
+    counted = each.select(
+        *keys, (F.col("at") + 1).alias("pos"), begun.over(Window.partitionBy(*keys).orderBy("at")).cast("int").alias("nth"),
+        F.greatest(begun.over(Window.partitionBy(*keys)) - window + 1, F.lit(1)).alias("item_windows"),
+    )
+    return counted.select(*keys, "pos", F.least("nth", "item_windows").cast("int").alias("cell"), "item_windows")
+
+
 def _distinct_windows(met: Column) -> Column:
     """Item windows among those met."""
-    return F.size(F.array_distinct(F.transform(met, lambda m: m["item_pos"])))
+    return F.size(F.array_distinct(F.transform(met, lambda m: m["cell"])))
 
 
 def _outvoted(aligned: DataFrame) -> DataFrame:
@@ -137,11 +173,11 @@ def _outvoted(aligned: DataFrame) -> DataFrame:
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text_hash, item_id, windows, item_windows, coverage``: a row for each
     document (``doc_id, text``) and item (``item_id, text``) it holds."""
-    items = cut(template_windows(benchmark.select("item_id", "text").distinct(), ["item_id"], window))
-    sizes = items.groupBy("item_id").agg(F.count_distinct("pos").alias("item_windows"))
-    theirs = items.join(sizes, "item_id").select(
-        "item_id", "item_windows", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("their_slots")
-    ).distinct()
+    keys = ["item_id", "item_hash"]
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), "text").distinct()
+    theirs = template_windows(items, keys, window).join(item_cells(items, keys, window), [*keys, "pos"]).select(
+        *keys, "item_windows", F.col("pos").alias("item_pos"), "cell", "hash", F.col("slots").alias("their_slots")
+    )
     theirs = cut(theirs)
     if theirs.count() <= SENT_WINDOWS:
         theirs = F.broadcast(theirs)
@@ -152,14 +188,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     pairs = F.zip_with(
         F.coalesce("slots", nothing),
         F.coalesce("their_slots", nothing),
-        lambda a, b: F.struct(a["word"].alias("mine"), b["word"].alias("theirs"), (F.col("item_pos") + b["nth"]).alias("place")),
+        lambda a, b: F.struct(a["word"].alias("mine"), b["word"].alias("theirs"), (F.col("cell") + b["nth"]).alias("place")),
     )
+    at = F.col("pos") - F.col("item_pos")
+    # each alignment by itself, and in two grids of bands: any two within half a band share one
+    bands = [F.struct(F.lit(0).alias("grid"), at.alias("at"))]
+    bands += [F.struct(F.lit(1 + i).alias("grid"), F.floor((at + i * (BAND // 2)) / BAND).cast("int").alias("at")) for i in (0, 1)]
     met = mine.join(theirs, "hash").select(
-        "doc_id", "text_hash", "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), pairs.alias("pairs")
+        "doc_id", "text_hash", *keys, "item_windows", "cell", F.explode(F.array(*bands)).alias("band"), pairs.alias("pairs")
     )
     enough = (F.col("windows") >= F.col("item_windows") * COVERAGE) | (F.col("windows") + window - 1 >= LONG_RUN)
-    aligned = met.groupBy("doc_id", "text_hash", "item_id", "item_windows", "at").agg(
-        F.collect_set(F.struct("item_pos", "pairs")).alias("met")
+    aligned = met.groupBy("doc_id", "text_hash", *keys, "item_windows", "band").agg(
+        F.collect_set(F.struct("cell", "pairs")).alias("met")
     )
     # numbered once: the table is written with its numbers
     aligned = aligned.withColumn("windows", _distinct_windows(F.col("met"))).where(enough)
@@ -171,10 +211,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
         F.filter("met", lambda m: verbatim(m) | ~F.arrays_overlap(paired(m), F.col("outvoted")))
     )
     held = judged.withColumn("windows", _distinct_windows(counted)).where(enough)
-    best = held.groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(F.max("windows").alias("windows"))
-    return best.select(
-        "doc_id", "text_hash", "item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage")
-    )
+    coverage = (F.col("windows") / F.col("item_windows")).alias("coverage")
+    best = held.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(coverage, "windows", "item_windows")).alias("best"))
+    return best.select("doc_id", "text_hash", "item_id", "best.windows", "best.item_windows", "best.coverage")
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

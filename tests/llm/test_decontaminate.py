@@ -97,3 +97,28 @@ def test_copies_in_another_case(spark):
     """Names are known by their capitals, copies without regard to them."""
     documents = [(4, "plain words that say nothing"), (5, QUESTION.upper().lower()), (6, QUESTION.upper()), (7, QUESTION.title())]
     assert found(spark, documents, [(10, QUESTION)]) == {(5, 10), (6, 10), (7, 10)}
+
+
+def test_inserted_words_and_names_of_other_length(spark):
+    """Copies in pieces that stand some words apart."""
+    words = [f"{a}{b}" for a in "bdfgklmnpr" for b in ("aba", "ebe", "ibi", "obo")]
+    short, long = words[:24], words[2:38]
+    trip = "the train from {} goes past the old mill and reaches the coast after {} hours"
+    documents = [
+        (1, " ".join([*short[:12], "more", *short[12:]])),
+        (2, " ".join([*long[:12], "more", *long[12:24], "more", *long[24:]])),
+        (3, " ".join([*short[:11], *short[13:]])),
+        (4, "we heard that " + trip.format("New York", 7)),
+        (5, " ".join([*short[:7], *["more"] * 40, *short[17:]])),
+    ]
+    items = [(10, " ".join(short)), (11, " ".join(long)), (12, trip.format("Paris", 3)), (13, "so " + trip.format("Rio de Janeiro", 2))]
+    got = found(spark, documents, items)
+    assert {(1, 10), (2, 11), (3, 10), (4, 12)} <= got
+    assert 5 not in {d for d, _ in got}
+
+
+def test_a_name_of_two_words_is_one(spark):
+    item = "we left Paris by night and saw Rome at dawn"
+    documents = [(1, "we left New York by night and saw San Marino at dawn"), (2, "we left New York by day and then New York at dusk")]
+    assert found(spark, documents, [(10, item)]) == {(1, 10)}
+    assert found(spark, [(3, item), (4, documents[0][1].lower())], [(11, documents[0][1])]) == {(3, 11), (4, 11)}
