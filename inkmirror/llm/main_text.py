@@ -40,7 +40,9 @@ BLOCKS = frozenset(
     "thead tr ul".split()
 )
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())  # their text is no markup
-SILENT = frozenset("head template svg math select button object audio video canvas datalist".split())
+SILENT = frozenset("head template svg select button object audio video canvas datalist".split())
+# What may stand in a head; any other tag ends one that is left open.
+HEAD = RAW | frozenset("head base link meta template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # An element that begins closes these if they are open: within the nearest of the second set.
 CLOSES = {
@@ -82,7 +84,9 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        open_, silent, held, linked, in_link = [0], 0, [], 0, False
+        open_, held, linked, in_link = [0], [], 0, False
+        silent: list[str] = []  # open silent elements
+        inner: list[str] = []  # blocks open inside of them
         at, low = 0, None
 
         def flush() -> None:
@@ -110,16 +114,22 @@ class Page:
             end, start, attributes = found.groups()
             if start:
                 tag = start.lower()
+                if silent == ["head"] and tag not in HEAD:
+                    silent.clear()
                 if tag in RAW:
                     low = low or html.lower()
                     close = low.find("</" + tag, at)
                     at = len(html) if close < 0 else close
                 elif tag in SILENT:
                     if not attributes.endswith("/"):
-                        flush()
-                        silent += 1
+                        if not silent:
+                            flush()
+                        silent.append(tag)
                 elif tag in BLOCKS:
-                    if not silent:
+                    if silent:
+                        if tag not in VOID:
+                            inner.append(tag)
+                    else:
                         flush()
                         in_link = False
                         if self.tags[open_[-1]] == "p":
@@ -144,8 +154,17 @@ class Page:
             elif end:
                 tag = end.lower()
                 if tag in SILENT:
-                    silent = max(0, silent - 1)
+                    if tag in silent:
+                        del silent[len(silent) - 1 - silent[::-1].index(tag) :]
+                    if not silent:
+                        inner.clear()
                 elif tag in BLOCKS:
+                    if silent and tag in inner:
+                        del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                    elif silent and any(self.tags[i] == tag for i in open_[1:]):
+                        # a block around the silent elements closes
+                        silent.clear()
+                        inner.clear()
                     if not silent:
                         for depth in range(len(open_) - 1, 0, -1):
                             if self.tags[open_[depth]] == tag:

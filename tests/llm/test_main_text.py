@@ -91,3 +91,23 @@ def test_edge_rows(spark, extractor):
     assert len(rows) == 4
     assert main_text.extract(pages.limit(0), extractor).count() == 0
     assert main_text.fit(pages.limit(0)).texts([b""]) == [""]
+
+
+def blocks(html):
+    return [text for _, text in main_text.Page(html).blocks]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<html><head><title>No</title><meta charset=x><body><p>a</p><p>b</p>", ["a", "b"]),
+        ("<head><title>No</title><link rel=x><p>a</p>", ["a"]),
+        ("<head><title>No</title></head><body><p>a</p>", ["a"]),
+        *[(f"<div><p>a</p><div><{t}>no</div><p>b</p></div><p>c</p>", ["a", "b", "c"]) for t in ("button", "select", "object", "svg")],
+        ("<div><object><div>no</div><p>no</p></object><p>a</p></div>", ["a"]),
+        ("<div><svg><button>no</svg><p>a</p></div>", ["a"]),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", ["so x=2 holds"]),
+    ],
+)
+def test_silent_elements_end(html, want):
+    assert blocks(html) == want
