@@ -136,3 +136,17 @@ def test_keep_one_links_at_the_similarity(spark):
     assert len(linked) > 50 and len(apart) > 50
     assert not linked & kept  # all links
     assert apart | set(range(300)) <= kept  # and no other
+
+
+def test_keep_one_does_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    """What op5 takes as very many changes no link of the stage."""
+    draw = random.Random(4)
+    rows = []
+    for i in range(60):
+        text = [f"w{draw.randrange(100_000)}" for _ in range(304)]
+        rows.append((i, " ".join(text)))
+        text[20:290:45] = ["changed"] * len(text[20:290:45])
+        rows.append((1000 + i, " ".join(text)))
+    monkeypatch.setattr(simhash, "WIDE_FROM", 0)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == set(range(60))
