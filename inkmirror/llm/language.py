@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .training import Adam, in_slices
+from .training import Adam, in_slices, stretch
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15  # of each n-gram length and place
@@ -41,13 +41,14 @@ SEQUENCES, WORDS, BATCH, EPOCHS = 3000, 48, 64, 3
 def training_texts(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """A bounded sample of (text, lang): each language by the share of hashes it needs."""
     usable = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    usable = usable.where((F.col("lang") != UNKNOWN) & (F.length("text") <= CHARACTERS))
+    usable = usable.where(F.col("lang") != UNKNOWN)
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], per_language / r["count"])])
-    sample = usable.where(draw < share[F.col("lang")]).select("text", "lang")
+    learnt = stretch(F.col("text"), CHARACTERS, F.col("doc_id"), F.col("text")).alias("text")
+    sample = usable.where(draw < share[F.col("lang")]).select(learnt, "lang")
     return sorted(tuple(r) for r in sample.limit(2 * per_language * len(counts)).collect())
 
 

@@ -10,24 +10,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def stretch(text: Column, characters: int, *seed: Column) -> Column:
+    """At most ``characters`` of a text in a row, from a place that ``seed`` decides."""
+    places = F.greatest(F.length(text) - characters + 1, F.lit(1))
+    return F.substring(text, F.pmod(F.xxhash64(F.lit(19), *seed), places).cast("int") + 1, F.lit(characters))
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, characters: int
 ) -> list[tuple[bytes, int]]:
     """At most ``per_class`` rows of each class, as (text, class), the same on every run.
 
     ``learn`` says on ``doc_id`` which rows may be learnt from. The rows with the
-    smallest hashes are taken; texts beyond ``characters`` are not taken for learning.
+    smallest hashes are taken, of a text beyond ``characters`` a stretch.
     What reaches the driver is bounded by 2 * per_class * characters.
     """
     usable = labels.where(F.col(label).isin(0, 1) & learn).select("doc_id", F.col(label).alias("_label"))
-    short = documents.where(F.length("text") <= characters).select("doc_id", "text")
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     # ids first, so that only chosen texts move
-    chosen = usable.join(short.select("doc_id"), "doc_id", "left_semi").distinct()
+    chosen = usable.join(texts.select("doc_id"), "doc_id", "left_semi").distinct()
     order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
     parts = [chosen.where(F.col("_label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     picked = parts[0].unionByName(parts[1])
     # at most 2 * per_class ids
-    rows = short.join(F.broadcast(picked), "doc_id").select("doc_id", F.col("text").cast("binary").alias("t"), "_label")
+    learnt = stretch(F.col("text"), characters, F.col("doc_id"), F.col("text")).cast("binary").alias("t")
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", learnt, "_label")
     found = {(r["doc_id"], r["t"]): r["_label"] for r in rows.collect()}
     return [(bytes(text), label) for (_, text), label in sorted(found.items())]
 

@@ -2,13 +2,14 @@
 
 import random
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkmirror.llm import common, language, quality, toxicity
+from inkmirror.llm import common, language, quality, toxicity, training
 from tests_llm_texts import ENGLISH, GERMAN, prose
 
 
@@ -185,3 +186,19 @@ def test_folds(spark):
     frame = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
     got = [r[0] for r in frame.select(common.fold_of(F.col("doc_id"), 4)).collect()]
     assert got == [zlib.crc32(str(i).encode()) % 4 for i in ids]
+
+
+def test_long_texts_are_learnt_from(spark):
+    """A language or a class whose texts are all long has a stretch of each in the sample."""
+    rows = [(i, prose(GERMAN if i % 2 else ENGLISH, 8000 if i % 2 else 50, i), "de" if i % 2 else "en") for i in range(12)]
+    docs = spark.createDataFrame([*rows, (99, None, "de")], "doc_id bigint, text string, lang string")
+    assert all(len(t) > 20_000 for i, t, _ in rows if i % 2)
+    taken = language.training_texts(docs, F.lit(True))
+    assert Counter(lang for _, lang in taken) == {"de": 6, "en": 6}
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in rows], "doc_id bigint, toxic int")
+    sample = training.labelled_sample(docs, labels, "toxic", F.lit(True), 5, 6000)
+    assert Counter(c for _, c in sample) == {0: 5, 1: 5}
+    whole = [r[1] for r in rows]
+    for text, bound in [*((t, language.CHARACTERS) for t, _ in taken), *((t.decode(), 6000) for t, _ in sample)]:
+        assert len(text) <= bound and any(text in w for w in whole)
+    assert len({t[:50] for t, lang in taken if lang == "de"}) == 6
