@@ -28,6 +28,11 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def fold_of(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, fingerprints, language, main_text, mixing, quality, sharding, simhash, toxicity, url_templates
-from .common import fold_of, table
+from . import (
+    decontaminate, fingerprints, language, main_text, merkle, mixing, quality, sharding, simhash, toxicity,
+    url_templates,
+)
+from .common import fold_of, lower_ascii, table
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function):
@@ -96,3 +99,20 @@ def op2_main_text(spark, sf_dir):
     """Main text of each page."""
     pages = table(spark, sf_dir, "pages")
     return main_text.extract(pages, main_text.fit(pages))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    """Proofs of all documents against one root; those in a fifth of the ids are tampered with."""
+    documents = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_of([*fields, F.col("text")])
+    tampered = F.when(fold_of(F.col("doc_id"), 5) == 0, merkle.leaf_of([*fields, lower_ascii(F.col("text"))]))
+    rows = documents.select("doc_id", "source", leaf.alias("leaf"), F.coalesce(tampered, leaf).alias("claimed"))
+    manifest = merkle.build(rows, "source", ["doc_id"])
+    proved = merkle.prove(manifest, manifest.leaves, "claimed")
+    root = F.lit(manifest.root).cast("string")
+    return proved.select(
+        "doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root",
+        (F.col("folded_root") == root).alias("verified"),
+    )
