@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
+from ..session import configure, cut
 from . import (
-    decontaminate, fingerprints, language, main_text, merkle, mixing, quality, sharding, simhash, toxicity,
-    url_templates,
+    decontaminate, fingerprints, language, licenses, main_text, merkle, mixing, quality, search, sharding,
+    simhash, toxicity, url_templates,
 )
 from .common import fold_of, lower_ascii, table
 from .oracles import ORACLES  # noqa: F401
@@ -116,3 +116,16 @@ def op12_merkle_manifest(spark, sf_dir):
         "doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root",
         (F.col("folded_root") == root).alias("verified"),
     )
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    """The 50 best documents for each benchmark item."""
+    index = cut(search.build_index(table(spark, sf_dir, "documents")))
+    return search.search(index, table(spark, sf_dir, "benchmark"), best=50)
+
+
+@query
+def op13_license_scan(spark, sf_dir):
+    """License phrases, statements and notices in each document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))

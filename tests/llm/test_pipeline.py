@@ -69,6 +69,6 @@ def test_mix_and_shards(stages):
     assert {r["shard"] for r in last} == set(range(8))
 
 
-@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)] + ["pipeline"])
+@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 14)] + ["pipeline"])
 def test_registered(name):
     assert sum(q.startswith(name) for q in driver.queries()) == 1
