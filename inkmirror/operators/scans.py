@@ -98,3 +98,28 @@ def with_order_number(df: DataFrame, order: list[str | Column], name: str = "seq
     offsets = per_slice.select("_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     numbered = ordered.join(F.broadcast(offsets), "_slice")
     return numbered.withColumn(name, F.col("_start") + F.col("_place")).drop("_slice", "_place", "_start")
+
+
+def with_total_before(df: DataFrame, order: list[str | Column], values: dict[str, Column]) -> DataFrame:
+    """Sums of ``values`` (name -> expression) over all rows that come before in a global order.
+
+    Like ``with_order_number``: totals run within each sort partition, and each partition
+    adds what the partitions before it hold.
+    """
+    slot = F.monotonically_increasing_id()
+    ordered = cut(
+        df.orderBy(*order).select(
+            "*",
+            *[value.alias(f"_value_{name}") for name, value in values.items()],
+            F.shiftright(slot, 33).alias("_slice"),
+            slot.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
+        )
+    )
+    per_slice = ordered.groupBy("_slice").agg(*[F.sum(f"_value_{name}").alias(f"_rows_{name}") for name in values])
+    # as many rows as the sort has partitions, whatever the data size
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_slice.select("_slice", *[F.coalesce(F.sum(f"_rows_{name}").over(earlier), F.lit(0)).alias(f"_start_{name}") for name in values])
+    within = Window.partitionBy("_slice").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    local = ordered.select("*", *[F.coalesce(F.sum(f"_value_{name}").over(within), F.lit(0)).alias(f"_local_{name}") for name in values])
+    joined = local.join(F.broadcast(offsets), "_slice")
+    return joined.select(*[joined[c] for c in df.columns], *[(F.col(f"_start_{name}") + F.col(f"_local_{name}")).alias(name) for name in values])

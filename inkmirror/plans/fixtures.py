@@ -91,6 +91,19 @@ FX: dict[str, str] = {
               FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
                            count(*) OVER (PARTITION BY source) AS n
                     FROM {documents}) a) b""",
+    "fx_chain": """
+        SELECT listing_id, page_no, pos, docid,
+               CASE WHEN page_no=0 THEN '' ELSE md5(concat(listing_id,'#',page_no)) END AS cursor,
+               CASE WHEN page_no=last_page AND listing_no%4=1 THEN md5(concat(listing_id,'#1'))
+                    WHEN page_no=last_page-1 AND listing_no%4=2 THEN md5(concat(listing_id,'#lost'))
+                    WHEN page_no=last_page THEN '' ELSE md5(concat(listing_id,'#',page_no+1)) END AS next_cursor,
+               page_no=last_page-2 AND listing_no%4=3 AS is_end
+        FROM (SELECT source AS listing_id, CAST(floor((n-1)/4) AS INT) AS last_page,
+                     CAST(length(source)+ascii(substring(source,4,1))+ascii(substring(source,5,1)) AS INT) AS listing_no,
+                     concat('',doc_id) AS docid, CAST(floor((rn-1)/4) AS INT) AS page_no, CAST((rn-1)%4 AS INT) AS pos
+              FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
+                           count(*) OVER (PARTITION BY source) AS n
+                    FROM {documents}) a) b""",
     "fx_fetched": """
         SELECT page_id, url, CASE page_id%20 WHEN 7 THEN 404 WHEN 13 THEN 503 ELSE 200 END AS status,
                CASE page_id%6 WHEN 5 THEN 'application/pdf' WHEN 4 THEN 'application/octet-stream'

@@ -249,6 +249,23 @@ RUN = f"""feed AS (
                 WHEN status IS NOT NULL THEN '下载失败 (' || status || ')'
                 ELSE 'no answer landed' END AS error
     FROM results r LEFT JOIN claimed c USING (seq))"""
+
+
+def stopped_run(stops: str) -> str:
+    """A run whose walk through a base ends at the first of ``stops`` (kb_id, k, quota, title, error)."""
+    first = f"""stops AS ({stops}),
+      firsts AS (SELECT * FROM stops QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY k) = 1),
+      halt AS (SELECT k AS halt_k FROM firsts WHERE quota ORDER BY k LIMIT 1),
+      visited AS (
+        SELECT p.* FROM placed p LEFT JOIN firsts f USING (kb_id) LEFT JOIN halt ON true
+        WHERE (f.k IS NULL OR p.k < f.k) AND (halt_k IS NULL OR p.k < halt_k)),
+      broken AS (SELECT title, error FROM firsts LEFT JOIN halt ON true WHERE NOT quota AND (halt_k IS NULL OR k < halt_k)), """
+    return first + RUN.replace("AS note_t FROM placed", "AS note_t FROM visited").replace(
+        "FROM fx_notes) u", "FROM fx_notes WHERE (SELECT count(*) FROM halt) = 0) u"
+    )
+
+
+OUTCOMES = "SELECT doc_id AS item, result, error, path FROM done UNION ALL SELECT title, 'failed', error, NULL FROM broken"
 RUN_FROM = "fx_kb fx_tree fx_media fx_index fx_notes fx_contents fx_downloads"
 COUNTS = """count(*) FILTER (result = 'created') AS created, count(*) FILTER (result = 'updated') AS updated,
     count(*) FILTER (result = 'skipped') AS skipped, count(*) FILTER (result = 'failed') AS failed"""
@@ -336,13 +353,10 @@ ORACLES: dict[str, str] = {
          SELECT doc_id, 'vault/' || doc_id || '.md', CASE WHEN t > 0 THEN CAST(t AS VARCHAR) ELSE '' END
          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rn
                FROM folded WHERE ok AND action <> 'skip') w WHERE rn = 1""",
-    "stream_quota_resume": with_(
-        "fx_items_dup",
-        "feed AS (SELECT * FROM fx_items_dup WHERE seq <> (SELECT min(seq) FROM fx_items_dup) "
-        "AND seq <> (SELECT (min(seq) + max(seq)) // 2 FROM fx_items_dup))",
-        folded(False, "feed"),
-    )
-    + "SELECT doc_id, seq, t, action FROM folded",
+    "stream_quota_resume": with_("fx_items_dup", folded(False)) + "SELECT doc_id, seq, t, action FROM folded",
+    "vault_after_crash": with_("fx_items", """claimed AS (SELECT media_id, pos % 3 AS k FROM fx_items)""")
+    + """SELECT 'vault/' || media_id || '.md' AS path, CASE WHEN k = 0 THEN 'second' WHEN k = 1 THEN 'first' ELSE 'before' END AS content
+         FROM claimed""",
     "quota_cut": with_("fx_items fx_requests", OUTCOME, RESOLVED)
     + """SELECT media_id, -pos AS seq FROM fx_items
          WHERE -pos < coalesce((SELECT min(-i.pos) FROM fx_items i JOIN resolved r ON r.request_id = i.pos
@@ -398,6 +412,39 @@ ORACLES: dict[str, str] = {
     + """SELECT listing_id, page_no, pos, page_offset, docid, 'note ' || docid AS title FROM fx_pages20
          JOIN heads USING (listing_id, page_no) LEFT JOIN borders USING (listing_id)
          WHERE (border IS NULL OR page_no <= border) AND pos % 7 <> 6""",
+    "paged_by_cursor": with_(
+        "fx_chain",
+        "heads AS (SELECT DISTINCT listing_id, cursor, next_cursor, is_end FROM fx_chain)",
+        """walk AS (
+            SELECT listing_id, cursor, next_cursor, is_end, 0 AS page_no, [cursor] AS seen FROM heads WHERE cursor = ''
+            UNION ALL
+            SELECT h.listing_id, h.cursor, h.next_cursor, h.is_end, w.page_no + 1, list_append(w.seen, h.cursor)
+            FROM walk w JOIN heads h ON h.listing_id = w.listing_id AND h.cursor = w.next_cursor
+            WHERE NOT w.is_end AND w.next_cursor <> '' AND NOT list_contains(w.seen, h.cursor))""",
+        """ends AS (SELECT listing_id, page_no + 1 AS pages,
+                CASE WHEN is_end OR next_cursor = '' THEN 'complete' WHEN list_contains(seen, next_cursor) THEN 'loop' ELSE 'broken' END AS ending
+            FROM walk QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY page_no DESC) = 1)""",
+        recursive=True,
+    )
+    + """SELECT listing_id, CAST(w.page_no AS BIGINT) AS page_no, f.pos, f.docid AS kb_id, CAST(e.pages AS BIGINT) AS pages, e.ending
+         FROM walk w JOIN fx_chain f USING (listing_id, cursor) JOIN ends e USING (listing_id)""",
+    "note_offset_gaps": with_(
+        "fx_pages20",
+        """asked AS (SELECT listing_id, n, CASE WHEN k = 1 AND p > 0 THEN p * 20 - 3 WHEN k = 2 AND p > 1 THEN p * 20 + 5 ELSE p * 20 END AS o
+            FROM (SELECT listing_id, page_no AS p, count(*) AS n, ascii(substr(listing_id, 4, 1)) % 3 AS k FROM fx_pages20 GROUP BY ALL) g)""",
+        """reach AS (SELECT *, coalesce(max(o + n) OVER (PARTITION BY listing_id ORDER BY o
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM asked)""",
+    )
+    + """SELECT listing_id, CAST(o AS BIGINT) AS page_offset, CASE WHEN o > r THEN 'gap' ELSE 'overlap' END AS kind,
+                CAST(least(o, r) AS BIGINT) AS from_entry, CAST(CASE WHEN o > r THEN o ELSE least(r, o + n) END AS BIGINT) AS until_entry
+         FROM reach WHERE o <> r""",
+    "paged_notes_at": with_(
+        "fx_pages20",
+        """raw AS (SELECT listing_id, page_no AS p, pos, docid, ascii(substr(listing_id, 4, 1)) % 3 AS k FROM fx_pages20)""",
+        """placed AS (SELECT *, pos + CASE WHEN k = 1 AND p > 0 THEN p * 20 - 3 WHEN k = 2 AND p > 1 THEN p * 20 + 5 ELSE p * 20 END AS entry_no FROM raw)""",
+        """last AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY listing_id, entry_no ORDER BY p DESC) = 1)""",
+    )
+    + """SELECT listing_id, CAST(entry_no AS BIGINT) AS entry_no, docid, 'note ' || docid AS title FROM last WHERE pos % 7 <> 6""",
     "classify_outcome": with_("fx_requests", OUTCOME)
     + """SELECT request_id, attempt, outcome, quota_body, status = 429 OR status BETWEEN 500 AND 599 AS retryable FROM outcomes""",
     "resolve_requests": with_("fx_requests", OUTCOME, RESOLVED)
@@ -586,6 +633,22 @@ ORACLES: dict[str, str] = {
                 md5(CASE WHEN starts_with(url, 'data:') THEN 'hi' ELSE 'image ' || url END) AS digest FROM stored""",
     "run_report": with_(RUN_FROM, placed("selected"), RUN, recursive=True)
     + f"SELECT *, {SUMMARY} FROM (SELECT {COUNTS} FROM done) c",
+    "run_failed_listing": with_(
+        RUN_FROM, placed("selected"),
+        stopped_run("""SELECT l.kb_id, l.k, l.kb_id = 'kb_3' AS quota, '知识库「' || kb_name || '」' AS title, 'HTTP 500 ' || t.title AS error
+            FROM levels l JOIN fx_kb USING (kb_id) JOIN fx_tree t ON t.kb_id = l.kb_id AND t.media_id = l.folder_id
+            WHERE l.folder_id LIKE 'folder_c%' AND TRY_CAST(substr(l.folder_id, 9) AS BIGINT) % 40 = 39 AND l.kb_id IN ('kb_1', 'kb_3')"""),
+        recursive=True,
+    ) + OUTCOMES,
+    "run_blocked_folder": with_(
+        RUN_FROM, placed("selected"),
+        stopped_run("""SELECT l.kb_id, l.k, false AS quota, '知识库「' || kb_name || '」' AS title,
+                '路径 ' || l.path || ' 已被文件占用，无法创建文件夹' AS error
+            FROM levels l JOIN fx_kb USING (kb_id)
+            WHERE l.path IN (SELECT 'vault/' || r_name || '/N_' || n_name || '/BUILDING'
+                             FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 1)"""),
+        recursive=True,
+    ) + OUTCOMES,
     "run_from_pages": with_(RUN_FROM, placed("selected"), RUN, recursive=True)
     + f"SELECT *, {SUMMARY} FROM (SELECT {COUNTS} FROM done) c",
     "run_twice": with_(RUN_FROM, placed("selected"), RUN, recursive=True)

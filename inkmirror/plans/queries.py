@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import names as nm
 from ..functions import rules, times, urls
-from ..operators import bodies, decide, images, naming, requests, scans, state, tree
+from ..operators import bodies, decide, images, naming, requests, state, tree
 from ..session import configure, cut
 from ..sources import index_store, landing, listings
 from ..streaming import feed as streams
 from ..streaming import replay
 from .fixtures import relation
 from .run import (
-    SyncInputs, SyncParams, SyncResult, catalog_probe, commit_run, run_sync, selected_scope, vault, with_summary,
+    RUN_TABLES, SyncInputs, SyncParams, SyncResult, catalog_probe, commit_run, run_sync, selected_scope, vault, with_summary,
 )
 
 ROOT = "vault"
@@ -203,6 +203,50 @@ def paged_notes(load):
     return notes.select("listing_id", "page_no", "pos", "page_offset", "docid", "title")
 
 
+@query
+def paged_by_cursor(load):
+    """Catalogs whose pages landed in any order with the cursor they were asked with, some
+    twice; some chains lose a page, some run in a loop, some end before their last page."""
+    rows = load("fx_chain")
+    entry = F.struct(F.col("docid").alias("kb_id"), F.concat(F.lit("base "), "docid").alias("kb_name"))
+    keys = ["listing_id", "cursor"]
+    landed = listings.land_pages(rows, keys, "info_list", entry, _page_fields(F.col("is_end"), F.col("next_cursor")))
+    empty = F.to_json(F.struct(F.lit(0).alias("code"), F.struct(F.lit(True).alias("is_end")).alias("data")))
+    answers = landed.select(*keys, "payload", F.lit(2).alias("fetch_no")).unionByName(
+        landed.where("page_no % 3 = 1").select(*keys, empty.alias("payload"), F.lit(1).alias("fetch_no"))
+    )
+    pages, endings = listings.follow_cursors(answers, ["listing_id"], listings.CATALOG_PAGE, "info_list", newest="fetch_no")
+    found = listings.assemble_catalog(pages, ["listing_id"]).join(endings, "listing_id")
+    return found.select("listing_id", "page_no", "pos", "kb_id", "pages", "ending")
+
+
+def _note_answers(load) -> DataFrame:
+    """Note pages with the offset they were asked at: some a few entries early or late, some repeated."""
+    rows = load("fx_pages20")
+    docid = F.when(F.col("pos") % 7 == 6, "").otherwise(F.col("docid"))
+    info = F.struct(docid.alias("docid"), F.concat(F.lit("note "), "docid").alias("title"))
+    entry = F.struct(F.struct(info.alias("basic_info")).alias("basic_info"))
+    landed = listings.land_pages(rows, ["listing_id"], "note_book_list", entry, _page_fields(F.lit(False)))
+    start = F.col("page_no") * 20
+    number = F.ascii(F.substring("listing_id", 4, 1)) % 3
+    asked = F.when((number == 1) & (start > 0), start - 3).when((number == 2) & (start > 20), start + 5).otherwise(start)
+    return landed.select("listing_id", "payload", asked.cast("bigint").alias("page_offset"), F.col("page_no").alias("fetch_no"))
+
+
+@query
+def note_offset_gaps(load):
+    """Entries of note listings that no page covers, or more than one."""
+    answers = _note_answers(load)
+    return listings.note_offset_gaps(answers.unionByName(answers.where("page_offset = 0")), ["listing_id"])
+
+
+@query
+def paged_notes_at(load):
+    """Notes by their raw entry; where pages overlap the later answer counts."""
+    notes = listings.assemble_notes_at(_note_answers(load), ["listing_id"], "fetch_no")
+    return notes.select("listing_id", "entry_no", "docid", "title")
+
+
 @query
 def classify_outcome(load):
     return requests.classify(load("fx_requests")).select("request_id", "attempt", "outcome", "quota_body", "retryable")
@@ -237,9 +281,8 @@ def placed_tree(load) -> tuple[DataFrame, DataFrame]:
 
 @query
 def tree_paths(load):
-    _, placed = placed_tree(load)
-    numbered = scans.with_order_number(placed.select("media_id", "parent_path", "depth", "order_key"), ["order_key"])
-    return numbered.select("media_id", "parent_path", "depth", "seq")
+    folders, placed = placed_tree(load)
+    return tree.in_tree_order(placed, folders).select("media_id", "parent_path", "depth", "seq")
 
 
 @query
@@ -643,6 +686,35 @@ def run_from_pages(load):
     return run_sync(inputs, SyncParams(ROOT, RUN_DATE, SYNCED_AT)).report
 
 
+def _outcomes(result: SyncResult) -> DataFrame:
+    return result.results.select(F.coalesce("doc_id", "title").alias("item"), "result", "error", "path")
+
+
+@query
+def run_failed_listing(load):
+    """Items of a run in which some folder listings failed, one of them on the quota."""
+    inputs = sync_inputs(load)
+    folders = load("fx_tree").where("media_id LIKE 'folder_c%'")
+    number = F.substring("media_id", 9, 20).try_cast("bigint")
+    broken = folders.where((number % 40 == 39) & F.col("kb_id").isin("kb_1", "kb_3")).select(
+        "kb_id", F.col("media_id").alias("folder_id"),
+        F.when(F.col("kb_id") == "kb_1", "fatal").otherwise("quota").alias("outcome"),
+        F.concat(F.lit("HTTP 500 "), "title").alias("message"),
+    )
+    fine = folders.where(number % 40 != 39).select("kb_id", F.col("media_id").alias("folder_id"), F.lit("success").alias("outcome"), F.lit(None).alias("message"))
+    return _outcomes(run_sync(replace(inputs, listings=broken.unionByName(fine)), SyncParams(ROOT, RUN_DATE, SYNCED_AT)))
+
+
+@query
+def run_blocked_folder(load):
+    """Items of a run in which files stand where some folders belong."""
+    nations = load("nation").join(load("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files = nations.where("n_nationkey % 4 = 1").select(
+        nm.join_path(F.lit(ROOT), F.col("r_name"), F.concat(F.lit("N_"), "n_name"), F.lit("BUILDING")).alias("path")
+    )
+    return _outcomes(run_sync(replace(sync_inputs(load), files=files), SyncParams(ROOT, RUN_DATE, SYNCED_AT)))
+
+
 @query
 def run_twice(load):
     """Counters of a second run over the state that the first one left."""
@@ -658,6 +730,31 @@ def run_twice(load):
     return run_sync(left, params).report
 
 
+@query
+def vault_after_crash(load):
+    """Documents that count after a first run, one that broke before its commit, a stream
+    that committed meanwhile, and the repeated run."""
+    items = load("fx_items").select(F.col("media_id").alias("doc_id"), F.concat(F.lit(f"{ROOT}/"), "media_id", F.lit(".md")).alias("path"), (F.col("pos") % 3).alias("k"))
+    items = cut(items)
+    spark = items.sparkSession
+    store = index_store.IndexStore(spark, replay.new_folder(items, "index"))
+    folder = f"{store.root}-vault"
+    before = items.select("path", F.lit("before").alias("content"))
+    changes = streams.as_index_changes(items.select("doc_id", F.lit(1).cast("bigint").alias("t"), "k"), ROOT, SYNCED_AT)
+
+    def run(rows: DataFrame, content: str) -> SyncResult:
+        nothing = {name: rows.limit(0) for name in RUN_TABLES}
+        return SyncResult(**{**nothing, "documents": rows.select("path", F.lit(content).alias("content"))}, index_changes=rows)
+
+    commit_run(run(changes.where("k < 2"), "first"), store, folder, 1)
+    broken = run(changes, "broken")
+    # the second run breaks after its documents are written, and a stream commits then
+    broken.documents.write.parquet(f"{folder}/documents/run=r2-broken")
+    store.append_batch(changes.where("k = 2"), "stream-0", decide.NO_CUT)
+    commit_run(run(changes.where("k = 0"), "second"), store, folder, 2)
+    return vault(store, folder, "documents", before)
+
+
 @query
 def run_attachments(load):
     """Images the run stores, with a digest of their bytes."""
@@ -764,7 +861,7 @@ def stream_used_store(load):
 @query
 def stream_quota_resume(load):
     """Actions of a stream that meets a quota answer at its first event and one in the
-    middle, and goes on behind each."""
+    middle; a restart begins with the event that met it."""
     feed = streams.as_index_changes(load("fx_items_dup"), ROOT, SYNCED_AT)
     first, last = feed.agg(F.min("seq"), F.max("seq")).first()
     feed = feed.withColumn("quota", F.col("seq").isin(first, (first + last) // 2))

@@ -7,6 +7,7 @@ and errors. ``commit_run`` writes them so that a broken run leaves no trace.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,12 +24,13 @@ from ..functions.names import (
 from ..functions.rules import content_route, download_outcome, url_kind
 from ..functions.times import to_seconds
 from ..operators.bodies import convert_bodies, extract_articles, stored_originals
-from ..operators.decide import before_quota, error_lines, fold_actions, run_counts, run_result
+from ..operators.decide import NO_CUT, before_quota, error_lines, fold_actions, run_counts, run_result
 from ..operators.images import attachment_bytes, localize, new_attachments
 from ..operators.joins import lookup, settings_table
+from ..operators.key_filter import only_wanted
 from ..operators.naming import claim_paths, name_seen_by, write_targets
 from ..operators.scans import GROUP_ROWS, with_order_number
-from ..operators.tree import expand_folders, folders_needed, place_items
+from ..operators.tree import expand_folders, folders_needed, place_items, walk
 from ..session import cut
 from ..sources.index_store import IndexStore
 
@@ -37,6 +39,10 @@ NO_SOURCE = "无 notebook_id 也无 url_info，无法获取内容"
 DOWNLOAD_FAILED = "下载失败 "
 NOT_LANDED = "no answer landed"
 PATH_EXISTS = "path exists"
+PATH_TAKEN = "路径 %s 已被文件占用，无法创建文件夹"
+# Titles of failures that are no item's.
+BASE_FAILED = "知识库「%s」"
+NOTES_FAILED = "独立笔记"
 
 
 @dataclass(frozen=True)
@@ -60,7 +66,9 @@ class SyncInputs:
     ``image_blobs`` per url, ``documents`` per path, ``index`` per doc_id. ``body`` has the
     bytes of fetched files and of images; without it a file's text counts. Tables of
     answers may carry ``outcome`` to report a quota answer, ``fetched`` may carry
-    ``has_text`` to spare the decision from reading the pages.
+    ``has_text`` to spare the decision from reading the pages. ``listings`` (kb_id, folder_id,
+    outcome, message; the notes under an empty kb_id) tells which folder listings failed, ``files``
+    which other files stand in the vault.
     """
 
     bases: DataFrame
@@ -73,11 +81,14 @@ class SyncInputs:
     documents: DataFrame
     attachments: DataFrame
     notes: DataFrame | None = None
+    listings: DataFrame | None = None
+    files: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class SyncResult:
-    """What the run writes; ``results`` has one row per processed item."""
+    """What the run writes; ``results`` has one row per processed item and one, without a
+    document, per knowledge base whose listing failed."""
 
     results: DataFrame
     documents: DataFrame
@@ -99,28 +110,90 @@ RUN_TABLES = (
 )
 
 
-def check_scope(inputs: SyncInputs) -> None:
-    """A run needs a knowledge base or the notes."""
+def check_scope(inputs: SyncInputs, root: str) -> None:
+    """A run needs a folder of its own, and a knowledge base or the notes."""
+    if not root.strip().strip("/"):
+        raise ValueError("name the folder to sync into")
     if inputs.notes is None and inputs.bases.isEmpty():
         raise ValueError("select at least one knowledge base or turn note sync on")
 
 
-def change_feed(inputs: SyncInputs, root: str, folders: DataFrame) -> DataFrame:
-    """All items in processing order: knowledge bases first, then notes."""
-    feed = place_items(inputs.items, folders).select(
-        F.lit(False).alias("standalone"), "order_key", "kb_id", "kb_name",
-        F.col("media_id").alias("doc_id"), "title", F.col("parent_path").alias("parent"),
-        F.lit(None).cast("bigint").alias("note_t"),
+def standing_files(inputs: SyncInputs) -> DataFrame:
+    """Paths of the files that a folder of the run could meet."""
+    paths = inputs.documents.select("path").unionByName(inputs.attachments.select("path"))
+    return paths if inputs.files is None else paths.unionByName(inputs.files.select("path"))
+
+
+def stopped_walks(inputs: SyncInputs, root: str, folders: DataFrame, starts: DataFrame) -> DataFrame:
+    """``kb_id, kb_name, seq, visit, quota, message``: where the walk through a knowledge base
+    ends early, at most one row each. It ends at the first folder whose listing failed or
+    whose path is a file's; the rest of the base is not visited. The notes count as one
+    folder of a base without id, behind all others."""
+    notes = folders.sparkSession.range(0 if inputs.notes is None else 1)
+    last = F.lit(NO_CUT)
+    everything = folders.join(starts, "node").select("kb_id", "kb_name", "folder_id", "path", "seq", "visit").unionByName(
+        notes.select(
+            F.lit("").alias("kb_id"), F.lit(None).cast("string").alias("kb_name"), F.lit("").alias("folder_id"),
+            F.lit(f"{root}/{NOTES_DIR_NAME}").alias("path"), last.alias("seq"), last.alias("visit"),
+        )
+    )
+    taken = standing_files(inputs)
+    blocked = everything.join(taken, "path", "left_semi").select(
+        "kb_id", "kb_name", "seq", "visit", F.lit(False).alias("quota"), F.format_string(PATH_TAKEN, "path").alias("message")
+    )
+    if inputs.listings is not None:
+        failed = inputs.listings.where("outcome <> 'success'").select(
+            F.coalesce("kb_id", F.lit("")).alias("kb_id"), F.coalesce("folder_id", F.lit("")).alias("folder_id"),
+            (F.col("outcome") == "quota").alias("quota"), F.coalesce("message", F.lit("")).alias("message"),
+        )
+        unread = everything.join(failed, ["kb_id", "folder_id"]).select("kb_id", "kb_name", "seq", "visit", "quota", "message")
+        # a folder is made before it is listed
+        blocked = blocked.withColumn("later", F.lit(0)).unionByName(unread.withColumn("later", F.lit(1)))
+    else:
+        blocked = blocked.withColumn("later", F.lit(0))
+    where = F.struct("visit", "later", "message")
+    first = blocked.groupBy("kb_id").agg(F.min_by(F.struct("kb_name", "seq", "visit", "quota", "message"), where).alias("stop"))
+    return first.select("kb_id", "stop.*")
+
+
+def change_feed(inputs: SyncInputs, root: str, folders: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """All items in processing order, knowledge bases first, then notes, and the walks that
+    failed (``seq, kb_id, title, error``; None: no walk did).
+
+    A failed walk drops the rest of its base and is one failure; one that met the quota ends
+    the run there and is none.
+    """
+    numbered, starts = walk(place_items(inputs.items, folders), folders)
+    feed = numbered.select(
+        "seq", F.lit(False).alias("standalone"), "kb_id", "kb_name", F.col("media_id").alias("doc_id"), "title",
+        F.col("parent_path").alias("parent"), F.lit(None).cast("bigint").alias("note_t"),
     )
     if inputs.notes is not None:
-        own_key = F.array(F.struct(F.col("pos").cast("bigint").alias("pos"), F.col("docid").alias("id")))
-        notes = inputs.notes.select(
-            F.lit(True).alias("standalone"), own_key.alias("order_key"), F.lit("").alias("kb_id"),
-            F.lit(NOTES_DIR_NAME).alias("kb_name"), F.col("docid").alias("doc_id"), "title",
-            F.lit(f"{root}/{NOTES_DIR_NAME}").alias("parent"), to_seconds("modify_time").alias("note_t"),
-        )
-        feed = feed.unionByName(notes)
-    return with_order_number(feed, ["standalone", "order_key"]).drop("order_key")
+        # notes are numbered on their own and stand behind all others
+        feed = cut(feed)
+        notes = with_order_number(inputs.notes, [F.col("pos").cast("bigint"), "docid"])
+        feed = feed.unionByName(
+            notes.select(
+                (F.col("seq") + feed.count()).alias("seq"), F.lit(True).alias("standalone"), F.lit("").alias("kb_id"),
+                F.lit(NOTES_DIR_NAME).alias("kb_name"), F.col("docid").alias("doc_id"), "title",
+                F.lit(f"{root}/{NOTES_DIR_NAME}").alias("parent"), to_seconds("modify_time").alias("note_t"),
+            )
+        )
+    # one row per knowledge base at most, as many as the settings list
+    stops = cut(stopped_walks(inputs, root, folders, starts))
+    if stops.isEmpty():
+        return feed, None
+    quota = stops.where("quota").agg(F.min("visit").alias("visit"), F.min("seq").alias("seq")).first()
+    border = F.when(F.col("standalone"), F.lit(-1)).otherwise(F.col("_end"))
+    reached = feed.join(settings_table(stops.select("kb_id", F.col("seq").alias("_end"))), "kb_id", "left")
+    kept = reached.where(F.col("_end").isNull() | (F.col("seq") < border)).select(feed.columns)
+    failures = stops.where("NOT quota")
+    if quota["visit"] is not None:
+        failures = failures.where(F.col("visit") < quota["visit"])
+        if quota["visit"] != NO_CUT:  # not the listing of the notes, which is the last
+            kept = kept.where(~F.col("standalone") & (F.col("seq") < quota["seq"]))
+    title = F.when(F.col("kb_id") == "", F.lit(NOTES_FAILED)).otherwise(F.format_string(BASE_FAILED, "kb_name"))
+    return kept, failures.select("seq", "kb_id", title.alias("title"), F.col("message").alias("error"))
 
 
 def _quota(table: DataFrame) -> Column:
@@ -244,15 +317,17 @@ def last_writes_of(settled: DataFrame) -> DataFrame:
     return settled.where("writes").join(last, "seq", "left_semi")
 
 
-def converted(writes: DataFrame, inputs: SyncInputs) -> DataFrame:
-    """Bodies (seq, body, body_error) of written notes and articles.
+def converted(writes: DataFrame, inputs: SyncInputs, at_most: int) -> DataFrame:
+    """Bodies (seq, body, body_error) of written notes and articles, ``at_most`` so many.
 
     Only rows that are written reach this point, so nothing is converted in vain.
     """
     contents = inputs.contents.select(F.col("doc_id").alias("content_key"), F.coalesce("content", F.lit("")).alias("raw"))
-    notes = writes.where("route = 'note'").join(contents, "content_key").select("seq", "raw")
-    pages = inputs.fetched.select("url", "text")
-    articles = writes.where("kind = 'article'").join(pages, "url").select("seq", "title", "url", "text")
+    asked = writes.where("route = 'note'")
+    notes = asked.join(only_wanted(contents, asked, "content_key", at_most), "content_key").select("seq", "raw")
+    asked = writes.where("kind = 'article'")
+    pages = only_wanted(inputs.fetched.select("url", "text"), asked, "url", at_most)
+    articles = asked.join(pages, "url").select("seq", "title", "url", "text")
     return cut(
         convert_bodies(notes, "raw")
         .select("seq", "body", "body_error")
@@ -278,7 +353,7 @@ def settle_and_convert(
             waiting = waiting.join(bodies.select("seq"), "seq", "left_anti")
             if waiting.isEmpty():
                 return settled, claims, bodies
-        fresh = converted(waiting, inputs)
+        fresh = converted(waiting, inputs, settled.where("writes").count())
         bodies = fresh if bodies is None else bodies.unionByName(fresh)
         broken = fresh.where("body_error IS NOT NULL").join(settled.select("seq", "content_key"), "seq")
         broken = broken.groupBy("content_key").agg(F.min("body_error").alias("body_error"))
@@ -302,10 +377,11 @@ def blocked_originals(settled: DataFrame, inputs: SyncInputs) -> DataFrame:
     return stored_originals(files.join(types, "url")).select("seq", "doc_id", "url", "file_path", "ext")
 
 
-def file_bytes(originals: DataFrame, fetched: DataFrame) -> DataFrame:
+def file_bytes(originals: DataFrame, fetched: DataFrame, at_most: int) -> DataFrame:
     """Path and bytes of stored originals; only files that are written are joined."""
     body = F.col("body") if "body" in fetched.columns else F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return originals.join(fetched.select("url", body.alias("body")), "url").select(
+    wanted = only_wanted(fetched.select("url", body.alias("body")), originals, "url", at_most)
+    return originals.join(wanted, "url").select(
         F.col("file_path").alias("path"), "doc_id", "seq", "body"
     )
 
@@ -321,13 +397,13 @@ def file_bodies(writes: DataFrame, inputs: SyncInputs, claims: DataFrame) -> Dat
 
 def run_sync(inputs: SyncInputs, params: SyncParams) -> SyncResult:
     """One incremental run over all selected knowledge bases and notes."""
-    check_scope(inputs)
+    check_scope(inputs, params.root)
     folders, refused = expand_folders(inputs.items, inputs.bases, params.root)
-    feed = change_feed(inputs, params.root, folders)
+    feed, failed_walks = change_feed(inputs, params.root, folders)
     staged = cut(with_answers(feed, inputs))
     settled, claims, bodies = settle_and_convert(staged, inputs, params)
 
-    writes = last_writes_of(settled)
+    writes, items = last_writes_of(settled), settled.count()
     stubs = cut(file_bodies(writes, inputs, claims))
     every_body = bodies.select("seq", "body").unionByName(stubs.select("seq", "body"))
     image_dir, _ = attachment_dir(
@@ -340,7 +416,8 @@ def run_sync(inputs: SyncInputs, params: SyncParams) -> SyncResult:
     block = property_block(title, F.lit(params.run_date), F.col("url"))
     old = inputs.documents.select("path", F.col("content").alias("old_content"))
     created = localized.where("NOT in_place").withColumn("content", new_document(block, F.col("content")))
-    updated = localized.where("in_place").join(old, "path", "left")
+    in_place = localized.where("in_place")
+    updated = in_place.join(only_wanted(old, writes.where("in_place"), "path", items), "path", "left")
     spliced = splice_body(F.coalesce("old_content", F.lit("")), F.col("content"), block)
     updated = updated.withColumn("content", spliced)
     updated = updated.withColumn(
@@ -366,6 +443,9 @@ def run_sync(inputs: SyncInputs, params: SyncParams) -> SyncResult:
     results = settled.select(
         "seq", "doc_id", "kb_id", "title", "route", "kind", "action", "result", "error", "path", "in_place"
     )
+    if failed_walks is not None:
+        failures = failed_walks.select("seq", "kb_id", "title", F.lit("failed").alias("result"), "error", F.lit(False).alias("in_place"))
+        results = results.unionByName(failures, allowMissingColumns=True)
     needed = folders.select("path").union(files.select(F.col("image_dir").alias("path")))
     if inputs.notes is not None:
         notes_folder = F.lit(f"{params.root}/{NOTES_DIR_NAME}").alias("path")
@@ -376,7 +456,7 @@ def run_sync(inputs: SyncInputs, params: SyncParams) -> SyncResult:
         attachments=attachments,
         attachment_files=attachment_bytes(attachments, blobs),
         originals=originals,
-        original_files=file_bytes(originals, inputs.fetched),
+        original_files=file_bytes(originals, inputs.fetched, items),
         folders=folders_needed(needed, "path"),
         index_changes=index_changes,
         report=with_summary(run_counts(results)),
@@ -390,25 +470,32 @@ def with_summary(counts: DataFrame) -> DataFrame:
 
 
 def commit_run(result: SyncResult, store: IndexStore, folder: str, run: int) -> bool:
-    """Write the tables of a run, the index last: a run without its index part
-    never happened, and repeating a committed run changes nothing."""
+    """Write the tables of a run into folders of its own; they and its index changes become
+    visible with one commit. A run that breaks before leaves folders nobody reads, and
+    repeating a committed run changes nothing."""
     if run <= store.last_run():
         return False
+    own = f"r{run}-{uuid.uuid4().hex}"
     for name in RUN_TABLES:
-        getattr(result, name).write.mode("overwrite").parquet(f"{folder}/{name}/run={run}")
-    return store.append(result.index_changes, run)
+        getattr(result, name).write.parquet(f"{folder}/{name}/run={own}")
+    return store.append(result.index_changes, run, own)
+
+
+def run_rows(store: IndexStore, folder: str, name: str) -> DataFrame:
+    """A table of all committed runs, with the ``number`` of the commit."""
+    rows = store.spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}")
+    # one row per run
+    return rows.join(F.broadcast(store.run_folders()), "run").drop("run")
 
 
 def vault(store: IndexStore, folder: str, name: str, before: DataFrame) -> DataFrame:
     """A table of all committed runs, unique per path, over what stood there ``before``.
 
-    The newest run of a path is found on narrow columns. Runs whose index part is
-    missing never happened, so their rows do not count.
+    The newest run of a path is found on narrow columns.
     """
-    rows = store.spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}")
-    rows = rows.where(F.col("run") <= store.last_run())
-    newest = rows.groupBy("path").agg(F.max("run").alias("run"))
-    written = rows.join(newest, ["path", "run"]).drop("run")
+    rows = run_rows(store, folder, name)
+    newest = rows.groupBy("path").agg(F.max("number").alias("number"))
+    written = rows.join(newest, ["path", "number"]).drop("number")
     kept = before.join(newest.select("path"), "path", "left_anti")
     return kept.unionByName(written.select(*before.columns))
 

@@ -3,6 +3,10 @@
 A listing is read page by page until a page says it is the last, is empty, or
 (for catalogs and folder levels) names no next cursor. Pages landed after that
 one are left over from another read and are ignored.
+
+Landed pages may carry their number, or only the cursor they were asked with:
+``follow_cursors`` then finds their order, ``note_offset_gaps`` and ``assemble_notes_at`` do
+so for notes, whose cursors are offsets.
 """
 
 from __future__ import annotations
@@ -11,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text_basics import has_text
+from ..operators.chains import rank_chain
 from ..operators.scans import GROUP_ROWS, running_before
+from ..session import cut
 
 # Fixed value: rows per page.
 PAGE_ROWS = 20
@@ -54,6 +60,39 @@ def _ends(items: Column, with_cursor: bool) -> Column:
     return ended | ~has_text(F.col("page.next_cursor")) if with_cursor else ended
 
 
+def newest_answers(envelopes: DataFrame, keys: list[str], newest: str) -> DataFrame:
+    """The last landed answer of each request; found on the request's columns alone."""
+    last = envelopes.groupBy(*keys).agg(F.max(newest).alias(newest))
+    return envelopes.join(last, [*keys, newest], "left_semi")
+
+
+def follow_cursors(
+    envelopes: DataFrame, keys: list[str], page: str, items: str, cursor: str = "cursor", newest: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Landed pages with their place in the listing, and how each listing ends.
+
+    A page was asked with ``cursor`` (empty: the first) and names the next one; ``page`` is its
+    schema and ``items`` its list. ``newest`` orders repeated answers to one request. Returns
+    the pages that a reader following the cursors meets, with ``page_no``, and ``keys, pages,
+    ending``: complete, broken (the next page never landed) or loop (it was read before).
+    A listing without a first page has no pages and no ending.
+    """
+    asked = envelopes.withColumn(cursor, F.coalesce(F.col(cursor), F.lit("")))
+    if newest:
+        asked = newest_answers(asked, [*keys, cursor], newest)
+    parsed = _parsed(asked, page).select(
+        *keys, cursor, F.when(~_ends(F.col(f"page.{items}"), with_cursor=True), F.col("page.next_cursor")).alias("_next")
+    )
+    # equal answers to one request are one page
+    heads = cut(parsed.groupBy(*keys, cursor).agg(F.max("_next").alias("_next")))
+    ranked = cut(rank_chain(heads, keys, cursor, "_next", F.col(cursor) == "").withColumnRenamed("rank", "page_no"))
+    last = ranked.groupBy(*keys).agg(F.max_by(cursor, "page_no").alias(cursor), F.count(F.lit(1)).alias("pages"))
+    landed = heads.select(*keys, F.col(cursor).alias("_next"), F.lit(True).alias("_landed"))
+    ends = last.join(heads, [*keys, cursor]).join(landed, [*keys, "_next"], "left")
+    ending = F.when(F.col("_next").isNull(), "complete").when(F.col("_landed"), "loop").otherwise("broken")
+    return asked.join(ranked, [*keys, cursor]), ends.select(*keys, "pages", ending.alias("ending"))
+
+
 def assemble_catalog(envelopes: DataFrame, keys: list[str]) -> DataFrame:
     """Knowledge bases of each catalog read, in listing order."""
     pages = _parsed(envelopes, CATALOG_PAGE)
@@ -98,6 +137,48 @@ def assemble_notes(envelopes: DataFrame, keys: list[str], group_rows: int = GROU
     return notes.where(has_text("docid")).join(heads, [*keys, "page_no"])
 
 
+def _note_pages(envelopes: DataFrame, keys: list[str], offset: str) -> DataFrame:
+    """Parsed note pages up to the last one, with the raw entries each covers."""
+    asked = _parsed(envelopes, NOTE_PAGE).withColumn("page_no", F.col(offset).cast("bigint"))
+    kept = until_last_page(asked, keys, _ends(F.col("page.note_book_list"), with_cursor=False))
+    return kept.withColumn("entries", F.greatest(F.coalesce(F.size("page.note_book_list"), F.lit(0)), F.lit(0)).cast("bigint"))
+
+
+def note_offset_gaps(envelopes: DataFrame, keys: list[str], offset: str = "page_offset", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``keys, page_offset, kind, from_entry, until_entry``: raw entries that no page of a note
+    listing covers (gap) or that a page covers once more (overlap).
+
+    A page asked at ``offset`` covers the raw entries from there on, those without an id
+    included. Each page is held against how far all pages asked at lower offsets reach,
+    a running maximum, so no two pages are paired. Repeated answers count once.
+    """
+    covers = _note_pages(envelopes, keys, offset).groupBy(*keys, "page_no").agg(F.max("entries").alias("entries"))
+    reach = {"reached": ("max", F.col("page_no") + F.col("entries"))}
+    seen = running_before(covers, keys, "page_no", reach, group_rows).withColumn("reached", F.coalesce("reached", F.lit(0).cast("bigint")))
+    gap = F.col("page_no") > F.col("reached")
+    found = seen.where(gap | ((F.col("page_no") < F.col("reached")) & (F.col("entries") > 0)))
+    return found.select(
+        *keys,
+        F.col("page_no").alias("page_offset"),
+        F.when(gap, "gap").otherwise("overlap").alias("kind"),
+        F.least("page_no", "reached").alias("from_entry"),
+        F.when(gap, F.col("page_no")).otherwise(F.least("reached", F.col("page_no") + F.col("entries"))).alias("until_entry"),
+    )
+
+
+def assemble_notes_at(envelopes: DataFrame, keys: list[str], newest: str, offset: str = "page_offset") -> DataFrame:
+    """Notes of each listing by the raw entry they stand at: an entry that several pages
+    cover is taken from the one that landed last (``newest``), so overlaps repeat no note."""
+    pages = _note_pages(envelopes, keys, offset)
+    rows = pages.select(*keys, newest, "page_no", F.posexplode("page.note_book_list").alias("pos", "entry"))
+    placed = rows.select(
+        *keys, (F.col("page_no") + F.col("pos")).alias("entry_no"), F.struct(newest, "page_no").alias("landed"),
+        F.col("entry.basic_info.basic_info").alias("note"),
+    )
+    last = placed.groupBy(*keys, "entry_no").agg(F.max_by("note", "landed").alias("note"))
+    return last.where(has_text("note.docid")).select(*keys, "entry_no", "note.*")
+
+
 def land_pages(
     rows: DataFrame, keys: list[str], list_name: str, entry: Column, page_fields: dict[str, Column]
 ) -> DataFrame:

@@ -29,7 +29,7 @@ RUNS_BEFORE_COMPACTION = 64
 
 class QuotaReached(RuntimeError):
     """Ends the stream after the part before the quota answer is committed; a restart
-    goes on behind it."""
+    begins with the event that met it."""
 
 
 def batch_key(spark: SparkSession, checkpoint: str, number: int) -> str:
@@ -88,6 +88,7 @@ def sync_feed(
     trigger: dict | None = None,
     on_quota: Callable[[], None] | None = None,
     group_rows: int = GROUP_ROWS,
+    answers: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Label each event with its action and bring the index up to date.
 
@@ -95,16 +96,30 @@ def sync_feed(
     micro-batch is a run of the index of its own, under the next free number; the
     folder of its actions is named after the part, so a repeated part writes the same
     folder again. A quota answer ends the stream; the part before it is committed with
-    the border, also if it is empty, and a restart goes on with the event behind it.
+    the border, also if it is empty. The event that met it waits in a table of its own
+    (``<actions_folder>-waiting``), and a restart takes it from there as its first event, once.
+    ``answers`` (seq, ok, quota) gives what a new request for it brought; another quota answer
+    ends the stream there again, without one it counts as answered.
     One checkpoint location allows one active query, which keeps runs from overlapping.
     """
+    waiting = f"{actions_folder}-waiting"
+
+    def retried(key: str, border: int, like: DataFrame) -> DataFrame:
+        held = store.spark.read.schema(like.schema).parquet(f"{waiting}/batch={key}-at-{border}")
+        if answers is None:
+            return held.withColumn("quota", F.lit(False))
+        # one event waits, so one row of the answers is looked up
+        new = answers().where(F.col("seq") == border).select("seq", F.col("ok").alias("_ok"), F.col("quota").alias("_quota"))
+        both = held.join(F.broadcast(new.limit(1)), "seq", "left")
+        settled = {"ok": F.coalesce("_ok", "ok"), "quota": F.coalesce("_quota", F.lit(False))}
+        return both.withColumns(settled).select(like.columns)
 
     def run(batch: DataFrame, number: int) -> None:
         key = batch_key(store.spark, checkpoint, number)
         done = store.progress(key)
         if done == NO_CUT:
             return
-        rows = cut(batch if done is None else batch.where(F.col("seq") > done))
+        rows = cut(batch if done is None else batch.where(F.col("seq") > done).unionByName(retried(key, done, batch)))
         border = None
         if "quota" in rows.columns:
             border = rows.where("quota").agg(F.min("seq")).first()[0]
@@ -114,6 +129,9 @@ def sync_feed(
         part = key if done is None else f"{key}-after-{done}"
         labelled.write.mode("overwrite").parquet(f"{actions_folder}/batch={part}")
         written = labelled.where("action <> 'skip' AND ok")
+        if border is not None:
+            held = rows.where(F.col("seq") == border).limit(1)
+            held.write.mode("overwrite").parquet(f"{waiting}/batch={key}-at-{border}")
         store.append_batch(last_per_document(written), key, NO_CUT if border is None else border)
         store.compact(RUNS_BEFORE_COMPACTION)
         if border is not None:

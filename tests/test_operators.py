@@ -1,6 +1,7 @@
 """Operators against sequential models on random small inputs."""
 
 import base64
+import json
 import random
 
 import pytest
@@ -98,8 +99,8 @@ def test_tree_with_loops_and_orphans(spark):
     assert paths == {"": "root/Base/one", "folder_a": "root/Base/one/A_x", "folder_b": "root/Base/one/A_x/B", "folder_c": "root/Base/one/untitled"}
     assert [r["folder_id"] for r in refused.collect()] == ["folder_a"]
     placed = tree.place_items(items, folders)
-    order = [r["media_id"] for r in scans.with_order_number(placed, ["order_key"]).orderBy("seq").collect()]
-    assert order == ["d1", "d3", "d2", "d5"]
+    order = [(r["seq"], r["media_id"]) for r in tree.in_tree_order(placed, folders).orderBy("seq").collect()]
+    assert order == list(enumerate(["d1", "d3", "d2", "d5"]))
 
 
 def test_trees_as_deep_as_they_are(spark):
@@ -115,6 +116,70 @@ def test_trees_as_deep_as_they_are(spark):
     assert refused.count() == 0
 
 
+def walk(rows, bases):
+    """Documents in the order of a walk, folder by folder; a folder inside itself is refused."""
+    out, refused = [], []
+
+    def level(kb, folder, path, above):
+        for _, media_id, _, title, kind, _ in sorted((r for r in rows if r[0] == kb and (r[2] or "") == folder), key=lambda r: (r[5], r[1])):
+            if kind != 99:
+                out.append((media_id, path, len(above) + 1))
+            elif media_id in above:
+                refused.append((media_id, f"{path}/{title}"))
+            else:
+                level(kb, media_id, f"{path}/{title}", [*above, media_id])
+
+    for kb, name, _ in sorted(bases, key=lambda b: (b[2], b[0])):
+        level(kb, "", f"r/{name}", [])
+    return out, refused
+
+
+def test_random_trees_against_a_walk(spark):
+    """Trees with folders listed twice, in themselves, under no base, empty and side by side with documents."""
+    draw = random.Random(4)
+    for _ in range(3):
+        rows = []
+        for kb in ("k1", "k2", "k3"):
+            folders = [f"folder_{i}" for i in range(25)]
+            for i, f in enumerate(folders):
+                for _ in range(1 + (draw.random() < 0.15)):
+                    parent = draw.choice(["", None, *folders[:i], *(folders if draw.random() < 0.1 else [])])
+                    rows.append((kb, f, parent, f"t{draw.randrange(4)}", 99, draw.randrange(6)))
+            rows += [(kb, f"d{i}", draw.choice(["", *folders]), "x", 6, draw.randrange(6)) for i in range(60)]
+        rows = list({(r[0], r[1], r[2] or ""): r for r in rows}.values())
+        draw.shuffle(rows)
+        bases = [("k2", "B", 0), ("k1", "A", 1)]
+        items = spark.createDataFrame(rows, "kb_id STRING, media_id STRING, parent_folder_id STRING, title STRING, media_type INT, pos BIGINT")
+        folders, refused = tree.expand_folders(items, spark.createDataFrame(bases, "kb_id STRING, kb_name STRING, kb_pos INT"), "r")
+        got = tree.in_tree_order(tree.place_items(items, folders), folders).orderBy("seq").collect()
+        want, left_out = walk(rows, bases)
+        assert [r["seq"] for r in got] == list(range(len(want)))
+        assert [(r["media_id"], r["parent_path"], r["depth"]) for r in got] == want
+        assert sorted((r["folder_id"], r["path"]) for r in refused.collect()) == sorted(left_out)
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    """3,000 folders in a row are resolved in about 12 rounds."""
+    rows = spark.range(3000).select(
+        F.lit("k").alias("kb_id"), F.concat(F.lit("folder_"), "id").alias("media_id"),
+        F.when(F.col("id") > 0, F.concat(F.lit("folder_"), (F.col("id") - 1).cast("string"))).alias("parent_folder_id"),
+        F.lit("f").alias("title"), F.lit(99).alias("media_type"), F.lit(0).cast("bigint").alias("pos"),
+    )
+    written = []
+    plain = tree.cut
+    monkeypatch.setattr(tree, "cut", lambda df: written.append(1) or plain(df))
+    bases = spark.createDataFrame([("k", "K", 0)], "kb_id STRING, kb_name STRING, kb_pos INT")
+    folders, refused = tree.expand_folders(rows, bases, "root")
+    assert folders.count() == 3001 and refused.count() == 0 and len(written) <= 2 + 12
+    assert folders.where("size(steps) = 3000").first()["path"] == "root/K/" + "/".join(["f"] * 3000)
+
+
+def test_totals_before(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    out = scans.with_total_before(rows, ["k"], {"t": F.col("k") + 1, "n": F.lit(1)})
+    assert out.where("t <> k * (k + 1) / 2 OR n <> k").count() == 0 and out.count() == 1000 and out.columns == ["k", "t", "n"]
+
+
 def test_folder_plan(spark):
     paths = spark.createDataFrame([("a/b/c",), ("a/d",), ("f/x/y",)], "p STRING")
     existing = spark.createDataFrame([("a",), ("a",)], "path STRING")
@@ -222,17 +287,70 @@ def test_index_store(spark, tmp_path):
     assert store.append(frame(entry("a", "new")), 2)
     assert {r["doc_id"]: r["path"] for r in store.load().collect()} == {"a": "new", "b": "p"}
     store.compact(more_than=5)
-    assert store.versions() == (None, [0, 2])
+    assert len(store.state().changes) == 2 and store.state().base is None
     store.compact()
-    assert store.versions() == (2, []) and {r["doc_id"]: r["path"] for r in store.load().collect()} == {"a": "new", "b": "p"}
-    (tmp_path / "index" / "run=3").mkdir()  # a broken run has no success mark
-    assert store.last_run() == 2
+    assert store.state().changes == () and {r["doc_id"]: r["path"] for r in store.load().collect()} == {"a": "new", "b": "p"}
+    store._write("changes", frame(entry("c")))  # a writer that breaks before its commit
+    assert store.last_run() == 2 and store.size() == 2
     assert store.append(frame(entry("c")), 3) and store.size() == 3
     store.clear(4)
     assert store.size() == 0 and store.last_run() == 4
     assert store.append(frame(entry("z")), 5) and store.size() == 1
 
 
+def test_two_writers_of_one_index(spark, tmp_path, monkeypatch):
+    """Each prepares its commit on the same state; the one that comes second makes it anew."""
+    root = str(tmp_path / "index")
+    one, two = index_store.IndexStore(spark, root), index_store.IndexStore(spark, root)
+    frame = lambda *rows: spark.createDataFrame(list(rows), index_store.INDEX)
+    assert one.append(frame(entry("a")), 0)
+    plain = index_store.storage.put_if_absent
+
+    def meanwhile(what):
+        """The next commit finds that ``what`` was committed before it."""
+        waiting = [what]
+
+        def put(*call):
+            if waiting:
+                assert waiting.pop()()
+            return plain(*call)
+
+        monkeypatch.setattr(index_store.storage, "put_if_absent", put)
+
+    meanwhile(lambda: two.append_batch(frame(entry("b")), "other-0", 7))
+    assert one.append(frame(entry("c")), 1)
+    assert {r["doc_id"] for r in one.load().collect()} == {"a", "b", "c"} and one.state().number == 2
+    # a run that another writer commits meanwhile is left alone
+    meanwhile(lambda: two.append(frame(entry("x", "two")), 2))
+    assert not one.append(frame(entry("x", "one")), 2)
+    assert {r["path"] for r in one.load().where("doc_id = 'x'").collect()} == {"two"}
+    # a fold keeps what is committed meanwhile
+    meanwhile(lambda: two.append(frame(entry("y")), 3))
+    one.compact()
+    assert len(one.state().changes) == 1 and {r["doc_id"] for r in one.load().collect()} == {"a", "b", "c", "x", "y"}
+
+
+def test_progress_and_expiry(spark, tmp_path):
+    store = index_store.IndexStore(spark, str(tmp_path / "index"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), index_store.INDEX)
+    for number in range(6):
+        assert store.append_batch(frame(entry(f"d{number}")), f"s-{number}", 10)
+    assert not store.append_batch(frame(entry("d9")), "s-5", 10) and store.append_batch(frame(entry("d9")), "s-5", 20)
+    assert (store.progress("s-5"), store.progress("s-4"), store.progress("s-6"), store.progress("t-0")) == (20, decide.NO_CUT, None, None)
+    assert store.append(frame(entry("r")), 0, "r0-x")
+    store.compact()
+    held = {r["doc_id"] for r in store.load().collect()}
+    store.expire(keep=2)
+    names = {p.name for p in (tmp_path / "index").iterdir()}
+    assert {r["doc_id"] for r in store.load().collect()} == held and len(list((tmp_path / "index" / "commits").glob("0*"))) == 2
+    store.append_batch(frame(entry("e")), "s-6", 1)
+    store.append_batch(frame(entry("f")), "s-7", 1)
+    store.expire(keep=1)
+    left = {p.name for p in (tmp_path / "index").iterdir()}
+    assert len(left) < len(names) + 2 and store.size() == len(held) + 2
+    assert [tuple(r) for r in store.run_folders().collect()] == [("r0-x", 7)]  # named by its commit for good
+
+
 def test_selection(spark):
     catalog = spark.createDataFrame([("a", "A", 0), ("b", "B", 1), ("c", "C", 2)], "kb_id STRING, kb_name STRING, kb_pos INT")
     chosen = catalog.where("kb_id = 'a'")
@@ -320,3 +438,83 @@ def test_absolute_image_urls(spark):
         None,
         "plain",
     ]
+
+
+def test_rank_chain_against_walking(spark):
+    """Chains of many lengths, broken ones, loops and rows that no walk meets."""
+    from inkmirror.operators.chains import rank_chain
+
+    draw, rows, want = random.Random(5), [], {}
+    for key in range(30):
+        many = draw.choice([1, 2, 3, 17, 64, 65, 300])
+        names = [f"n{i}" for i in draw.sample(range(1000), many)]
+        ahead = dict(zip(names, [*names[1:], None]))
+        kind = key % 4
+        if kind == 1:
+            ahead[names[-1]] = draw.choice(names)  # a loop
+        if kind == 2:
+            ahead[names[many // 2]] = "lost"
+        rows += [(key, at, to, at == names[0] and kind != 3 or key == 3 and at == names[0]) for at, to in ahead.items()]
+        at, rank = names[0], 0
+        while (kind != 3 or key == 3) and at in ahead and (key, at) not in want:
+            want[(key, at)] = rank
+            at, rank = ahead[at], rank + 1
+    draw.shuffle(rows)
+    nodes = spark.createDataFrame(rows, "k int, at string, to string, head boolean")
+    got = {(r["k"], r["at"]): r["rank"] for r in rank_chain(nodes, ["k"], "at", "to", F.col("head")).collect()}
+    assert got == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from inkmirror.operators import chains
+
+    rounds = []
+    plain = chains.cut
+    monkeypatch.setattr(chains, "cut", lambda df: rounds.append(1) or plain(df))
+    nodes = spark.range(3000).select(F.lit(0).alias("k"), "id", F.when(F.col("id") < 2999, F.col("id") + 1).alias("to"))
+    ranked = chains.rank_chain(nodes, ["k"], "id", "to", F.col("id") == 0)
+    assert ranked.where("rank <> id").count() == 0 and ranked.count() == 3000
+    assert len(rounds) <= 3 + 2 * 13
+
+
+def test_follow_cursors_edges(spark):
+    """No first page, an empty page, a null cursor, the newest of repeated answers, one listing without rows."""
+    def page(ids, cursor=None, is_end=False):
+        rows = [{"kb_id": i} for i in ids]
+        return json.dumps({"code": 0, "data": {"info_list": rows, "is_end": is_end, "next_cursor": cursor}})
+
+    rows = [
+        ("a", None, page(["old"], "x"), 1), ("a", "", page(["a1", "a2"], "x"), 2), ("a", "x", page([], "y"), 1), ("a", "y", page(["never"]), 1),
+        ("b", "z", page(["b1"]), 1),
+        ("c", "", page(["c1"], "c"), 1), ("c", "c", page(["c2"], ""), 1),
+        ("d", "", page(["d1"], "gone"), 1),
+        ("e", "", page(["e1"], "e"), 1), ("e", "e", page(["e2"], "e"), 1),
+        ("f", "", "no json", 1),
+    ]
+    landed = spark.createDataFrame(rows, "listing string, cursor string, payload string, no int")
+    pages, ends = listings.follow_cursors(landed, ["listing"], listings.CATALOG_PAGE, "info_list", newest="no")
+    found = listings.assemble_catalog(pages, ["listing"]).collect()
+    assert sorted((r["listing"], r["page_no"], r["kb_id"]) for r in found) == [
+        ("a", 0, "a1"), ("a", 0, "a2"), ("c", 0, "c1"), ("c", 1, "c2"), ("d", 0, "d1"), ("e", 0, "e1"), ("e", 1, "e2"),
+    ]
+    assert {r["listing"]: (r["pages"], r["ending"]) for r in ends.collect()} == {
+        "a": (2, "complete"), "c": (2, "complete"), "d": (1, "broken"), "e": (2, "loop"),
+    }
+    none, ended = listings.follow_cursors(landed.limit(0), ["listing"], listings.CATALOG_PAGE, "info_list")
+    assert none.count() == 0 and ended.count() == 0
+
+
+def test_note_offsets_edges(spark):
+    """Gaps and overlaps among empty, repeated and nested pages, also when a listing is cut into ranges."""
+    def page(many, is_end=False):
+        entry = {"basic_info": {"basic_info": {"docid": "x"}}}
+        return json.dumps({"code": 0, "data": {"note_book_list": [entry] * many, "is_end": is_end}})
+
+    rows = [("a", 0, page(20)), ("a", 0, page(20)), ("a", 20, page(20)), ("a", 45, page(10)), ("a", 50, page(2)), ("a", 55, page(5, True)), ("a", 90, page(9))]
+    rows += [("b", 5, page(1)), ("b", 6, page(0)), ("c", 0, page(0))]
+    landed = spark.createDataFrame(rows, "listing string, page_offset bigint, payload string")
+    for group_rows in (1_000_000, 2):
+        found = listings.note_offset_gaps(landed, ["listing"], group_rows=group_rows).collect()
+        assert sorted((r["listing"], r["page_offset"], r["kind"], r["from_entry"], r["until_entry"]) for r in found) == [
+            ("a", 45, "gap", 40, 45), ("a", 50, "overlap", 50, 52), ("b", 5, "gap", 0, 5),
+        ]

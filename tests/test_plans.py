@@ -5,15 +5,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkmirror.operators import bodies, decide, images, requests, scans
+from inkmirror.operators import bodies, decide, images, key_filter, requests, scans
 from inkmirror.plans.fixtures import relation
 from inkmirror.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 # queries that need the HTML kernel or URL arithmetic
-PYTHON = {"note_bodies", "article_route", "html_to_markdown", "notes_sync", "run_report", "run_results", "run_index", "run_documents", "run_attachments", "run_originals", "run_twice", "run_from_pages"}
+PYTHON = {"note_bodies", "article_route", "html_to_markdown", "notes_sync", "run_report", "run_results", "run_index", "run_documents", "run_attachments", "run_originals", "run_twice", "run_from_pages", "run_failed_listing", "run_blocked_folder"}
 # these start runs or streams while they are built
-EAGER = {"run_report", "run_results", "run_index", "run_documents", "run_attachments", "run_originals", "run_twice", "run_from_pages", "stream_used_store", "stream_quota_resume", "stream_state", "stream_fold", "index_clear", "notes_sync"}
+EAGER = {"run_report", "run_results", "run_index", "run_documents", "run_attachments", "run_originals", "run_twice", "run_from_pages", "run_failed_listing", "run_blocked_folder", "vault_after_crash", "stream_used_store", "stream_quota_resume", "stream_state", "stream_fold", "index_clear", "notes_sync"}
 
 
 def plan_of(df):
@@ -29,7 +29,7 @@ def test_plan_shape(spark, name):
         assert "EvalPython" not in plan
     # the one window over a single partition sums the row counts of sort partitions
     single = re.findall(r"Window \[(\w+)\([^\n]*\n\s*\+- Sort[^\n]*\n\s*\+- Exchange SinglePartition", plan)
-    assert len(single) == len(re.findall(r"Window \[sum\(_rows#[^\n]*\n\s*\+- Sort[^\n]*\n\s*\+- Exchange SinglePartition", plan))
+    assert len(single) == len(re.findall(r"Window \[sum\(_rows[^\n]*\n\s*\+- Sort[^\n]*\n\s*\+- Exchange SinglePartition", plan))
 
 
 def test_scans_read_only_what_they_need(spark):
@@ -75,3 +75,35 @@ def test_aggregates_combine_before_the_shuffle(spark):
     log = relation(spark, SF_DIR, "fx_requests")
     plan = plan_of(requests.resolve(requests.classify(log)))
     assert "partial_min" in plan and plan.count("Exchange") == 1
+
+
+def test_keys_are_filtered_below_the_exchange(spark):
+    """Few written keys of a wide table: the bitmap stands in its scan, under the shuffle."""
+    wide = relation(spark, SF_DIR, "documents").select(F.col("doc_id").cast("string").alias("k"), "text")
+    keys = wide.where("k LIKE '%7'").select("k")
+    many, whole = keys.count(), wide.count()
+    filtered = key_filter.only_wanted(wide, keys, "k", many)
+    assert many <= filtered.count() <= many + whole / 8
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = keys.join(filtered, "k")
+        plan = plan_of(joined)
+        assert joined.count() == many
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    below = plan[plan.rindex("SortMergeJoin") :]
+    assert re.search(r"Exchange hashpartitioning\(k#\d+, \d+\)[^\n]*\n[\s:|+-]*Project \[k#\d+, text#\d+\]\n[\s:|+-]*BroadcastHashJoin \[_page", below)
+
+
+def test_bitmap_bounds(spark, monkeypatch):
+    """No key, null keys, a bound that is too low, and more keys than the bitmap may hold."""
+    wide = spark.range(1000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("_hash2"))
+    none = wide.limit(0).select("k")
+    assert key_filter.only_wanted(wide, none, "k", 0).count() == 0
+    some = wide.where("k IS NULL OR k < 500").select("k")
+    for at_most in (1, 500, 10**6):
+        kept = key_filter.only_wanted(wide, some, "k", at_most)
+        assert kept.columns == wide.columns and kept.where("k < 500").count() == 499 and kept.where("k IS NULL").count() == 0
+    monkeypatch.setattr(key_filter, "MAX_PAGES", 0)
+    assert key_filter.only_wanted(wide, some, "k", 500).count() == 999

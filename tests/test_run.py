@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import model
 from inkmirror.functions.names import safe_file_name
-from inkmirror.plans.run import SyncInputs, SyncParams, commit_run, run_sync
+from inkmirror.plans.run import SyncInputs, SyncParams, commit_run, run_rows, run_sync, vault
 from inkmirror.sources import index_store
 from inkmirror.sources.index_store import IndexStore
 
@@ -130,19 +130,22 @@ def test_later_runs(spark, tmp_path):
     first = run_sync(world.inputs(store.load(), empty), PARAMS)
     assert commit_run(first, store, str(tmp_path), 0)
     assert not commit_run(first, store, str(tmp_path), 0)
-    documents = spark.read.parquet(f"{tmp_path}/documents/run=0")
+    documents = vault(store, str(tmp_path), "documents", empty)
     created = documents.count()
     assert store.size() == created and documents.select("path").distinct().count() == created
-    images = {r["path"] for r in spark.read.parquet(f"{tmp_path}/attachments/run=0").collect()}
+    images = {r["path"] for r in run_rows(store, str(tmp_path), "attachments").collect()}
     embeds = documents.where("content LIKE '%![[%'").count()
     assert embeds and len(images) >= embeds
-    folders = {r["folder"] for r in spark.read.parquet(f"{tmp_path}/folders/run=0").collect()}
+    folders = {r["folder"] for r in run_rows(store, str(tmp_path), "folders").collect()}
     assert {"root", "root/Base 0", "root/Base 0/F/G", "root/Notes"} <= folders
 
     second = run_sync(world.inputs(store.load(), documents), PARAMS)
     report = second.report.first()
     assert report["created"] == report["updated"] == 0 and report["skipped"] >= created
-    assert not commit_run(second, store, str(tmp_path), 1) and store.last_run() == 0  # nothing to write
+    # it wrote no document, and its report counts
+    assert commit_run(second, store, str(tmp_path), 1) and store.last_run() == 1
+    assert run_rows(store, str(tmp_path), "report").count() == 2
+    assert not commit_run(second, store, str(tmp_path), 1)
 
     store.clear(2)  # the documents stay, so every document is created once more beside its old file
     third = run_sync(world.inputs(store.load(), documents), PARAMS)

@@ -68,10 +68,11 @@ def test_quota_stops_after_commit(spark, tmp_path):
     assert {r["doc_id"]: r["update_time"] for r in store.load().collect()} == batch_state(spark, [r[:4] for r in rows[:70]])
 
 
-def test_restart_goes_on_behind_a_quota_answer(spark, tmp_path):
-    """Answers in the middle of a batch and at the first event of one; no event is lost."""
-    for name, hits in {"middle": {5}, "first": {0}, "both": {0, 3, 61}}.items():
-        rows = [(*row, row[1] in hits) for row in rows_of(5, 90)]
+def test_restart_begins_with_the_event_that_met_the_quota(spark, tmp_path):
+    """Answers in the middle of a batch, next to each other and at the first event; every event counts once."""
+    for name, hits in {"middle": {5}, "first": {0}, "both": {0, 3, 4, 61}}.items():
+        plain = rows_of(5, 90)
+        rows = [(*row, row[1] in hits) for row in plain]
         feed = streams.as_index_changes(spark.createDataFrame(rows, FEED + ", quota BOOLEAN"), "root", "now")
         store = IndexStore(spark, str(tmp_path / name / "index"))
         actions, checkpoint = str(tmp_path / name / "actions"), str(tmp_path / name / "cp")
@@ -80,11 +81,40 @@ def test_restart_goes_on_behind_a_quota_answer(spark, tmp_path):
             with pytest.raises(StreamingQueryException):
                 streams.sync_feed(source, store, actions, checkpoint).awaitTermination()
         streams.sync_feed(source, store, actions, checkpoint).awaitTermination()
-        kept = [r[:4] for r in rows if r[1] not in hits]
-        want = fold_actions(streams.as_index_changes(spark.createDataFrame(kept, FEED), "root", "now"))
+        want = fold_actions(streams.as_index_changes(spark.createDataFrame(plain, FEED), "root", "now"))
         got = spark.read.parquet(actions).orderBy("seq").select("seq", "action").collect()
         assert got == want.orderBy("seq").select("seq", "action").collect(), name
-        assert {r["doc_id"]: r["update_time"] for r in store.load().collect()} == batch_state(spark, kept)
+        assert {r["doc_id"]: r["update_time"] for r in store.load().collect()} == batch_state(spark, plain)
+
+
+def test_answers_to_the_repeated_request(spark, tmp_path):
+    """It meets the quota again, then fails: the stream waits there, then the event counts as failed."""
+    rows = [("a", 0, 5, True, False), ("a", 1, 9, True, True), ("b", 2, 7, True, False)]
+    feed = streams.as_index_changes(spark.createDataFrame(rows, FEED + ", quota BOOLEAN"), "root", "now")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    source, answers = replay.as_stream(feed, "seq", batches=1), []
+
+    def start():
+        table = spark.createDataFrame(answers, "seq BIGINT, ok BOOLEAN, quota BOOLEAN")
+        streams.sync_feed(source, store, str(tmp_path / "a"), str(tmp_path / "cp"), answers=lambda: table).awaitTermination()
+
+    for again in (False, True):
+        answers[:] = [(1, True, True)] if again else []
+        with pytest.raises(StreamingQueryException):
+            start()
+        assert {r["seq"] for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {0}
+    answers[:] = [(1, False, False)]
+    start()
+    done = {r["seq"]: (r["action"], r["ok"]) for r in spark.read.parquet(str(tmp_path / "a")).collect()}
+    assert done == {0: ("create", True), 1: ("update", False), 2: ("create", True)}
+    assert {r["doc_id"]: r["update_time"] for r in store.load().collect()} == {"a": "5", "b": "7"}
+
+
+def test_an_empty_stream(spark, tmp_path):
+    feed = streams.as_index_changes(spark.createDataFrame([], FEED), "root", "now")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    streams.keep_newest(replay.as_stream(feed, "seq", batches=3), store, str(tmp_path / "cp")).awaitTermination()
+    assert store.load().count() == 0
 
 
 def test_a_store_that_is_in_use(spark, tmp_path):
