@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import over_quota, parsed_body, request_outcome, retryable_status
-from ..functions.times import DEFAULT_QPS, MAX_RETRIES, retry_delay_ms
+from ..functions.times import BACKOFF_BASE_MS, BACKOFF_CAP_MS, DEFAULT_QPS, MAX_RETRIES, retry_delay_ms
 
 
 def classify(attempts: DataFrame) -> DataFrame:
@@ -32,18 +32,29 @@ def resolve(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
         F.min(F.when(terminal, F.struct("attempt", "outcome"))).alias("first_terminal"),
         F.max("attempt").alias("last_attempt"),
     )
-    made = F.coalesce(F.col("first_terminal.attempt"), F.col("last_attempt"))
+    return with_waits(
+        per_request.select(
+            "request_id",
+            F.coalesce(F.col("first_terminal.outcome"), F.lit("failed")).alias("resolution"),
+            F.coalesce(F.col("first_terminal.attempt"), F.col("last_attempt")).alias("attempts_made"),
+        )
+    )
+
+
+def with_waits(resolved: DataFrame) -> DataFrame:
+    """Resolved requests with the time waited between their attempts."""
+    made = F.col("attempts_made")
     waits = F.aggregate(
         F.when(made > 1, F.sequence(F.lit(1), made - 1)).otherwise(F.array().cast("array<int>")),
         F.lit(0).cast("bigint"),
         lambda total, retry: total + retry_delay_ms(retry),
     )
-    return per_request.select(
-        "request_id",
-        F.coalesce(F.col("first_terminal.outcome"), F.lit("failed")).alias("resolution"),
-        made.alias("attempts_made"),
-        waits.alias("waited_ms"),
-    )
+    return resolved.withColumn("waited_ms", waits)
+
+
+def delays_ms(attempts: int) -> list[int]:
+    """Backoff after each of the first attempts."""
+    return [min(BACKOFF_BASE_MS * 2**n, BACKOFF_CAP_MS) for n in range(attempts)]
 
 
 def pacing(requests: DataFrame, client: str, time: str, qps: float = DEFAULT_QPS) -> DataFrame:

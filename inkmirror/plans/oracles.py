@@ -347,6 +347,13 @@ ORACLES: dict[str, str] = {
          FROM (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rn
                FROM folded WHERE ok AND action <> 'skip') w WHERE rn = 1""",
     "stream_used_store": with_("fx_items_dup fx_index", folded(True))
+    + """SELECT doc_id, path, update_time FROM fx_index
+         WHERE doc_id NOT IN (SELECT doc_id FROM folded WHERE ok AND action <> 'skip')
+         UNION ALL
+         SELECT doc_id, 'vault/' || doc_id || '.md', CASE WHEN t > 0 THEN CAST(t AS VARCHAR) ELSE '' END
+         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rn
+               FROM folded WHERE ok AND action <> 'skip') w WHERE rn = 1""",
+    "stream_seeded_state": with_("fx_items_dup fx_index", folded(True))
     + """SELECT doc_id, path, update_time FROM fx_index
          WHERE doc_id NOT IN (SELECT doc_id FROM folded WHERE ok AND action <> 'skip')
          UNION ALL
@@ -448,6 +455,10 @@ ORACLES: dict[str, str] = {
     "classify_outcome": with_("fx_requests", OUTCOME)
     + """SELECT request_id, attempt, outcome, quota_body, status = 429 OR status BETWEEN 500 AND 599 AS retryable FROM outcomes""",
     "resolve_requests": with_("fx_requests", OUTCOME, RESOLVED)
+    + """SELECT request_id, resolution, attempts_made,
+                CAST(CASE attempts_made WHEN 1 THEN 0 WHEN 2 THEN 1000 WHEN 3 THEN 3000 ELSE 7000 END AS BIGINT) AS waited_ms
+         FROM resolved""",
+    "stream_requests": with_("fx_requests", OUTCOME, RESOLVED)
     + """SELECT request_id, resolution, attempts_made,
                 CAST(CASE attempts_made WHEN 1 THEN 0 WHEN 2 THEN 1000 WHEN 3 THEN 3000 ELSE 7000 END AS BIGINT) AS waited_ms
          FROM resolved""",
@@ -540,6 +551,13 @@ ORACLES: dict[str, str] = {
     )
     + """SELECT path, text AS body FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY page_id DESC) AS rn FROM writes) w
          WHERE rn = 1 UNION ALL SELECT 'old/' || c_name, c_mktsegment FROM customer""",
+    "file_sink": with_(
+        "fx_fetched",
+        f"""writes AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) || '/f' || length(url) || '.' || {file_ext('content_type', 'url')} AS path,
+                text FROM fx_fetched WHERE status < 400)""",
+    )
+    + """SELECT path, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY page_id DESC) AS rn FROM writes) w
+         WHERE rn = 1 AND text <> '' UNION ALL SELECT 'old/' || c_name, md5(c_mktsegment) FROM customer""",
     "file_download": with_("fx_fetched", f"typed AS (SELECT *, {file_ext('content_type', 'url')} AS ext FROM fx_fetched WHERE status < 400)")
     + f"""SELECT url, 'files/f' || page_id || '.' || ext AS file_path, ext,
                  '# File ' || page_id || chr(10) || chr(10) || '> 文件类型：' || upper(ext) || chr(10) || chr(10)
@@ -661,6 +679,25 @@ ORACLES: dict[str, str] = {
           UNION ALL
           SELECT doc_id, path, kb_id, CASE WHEN title = '' THEN 'untitled-' || substring(doc_id, 1, 8) ELSE title END, 0,
                  CASE WHEN t > 0 THEN CAST(t AS VARCHAR) ELSE '' END, '{SYNCED_AT}' FROM done WHERE path IS NOT NULL""",
+    "run_new_texts": with_(
+        RUN_FROM, placed("selected"), RUN,
+        f"""texts AS (
+            SELECT d.path, d.doc_id, CASE WHEN title = '' THEN 'untitled-' || substring(d.doc_id, 1, 8) ELSE title END AS title, '' AS source,
+                   {ltrim(clean("coalesce(c.content, '')"))} AS body
+            FROM done d JOIN contents c ON c.doc_id = d.content_key WHERE result = 'created' AND route = 'note'
+            UNION ALL
+            SELECT path, doc_id, CASE WHEN title = '' THEN 'untitled-' || substring(doc_id, 1, 8) ELSE title END, url,
+                   '# ' || title || chr(10) || chr(10) || '> 文件类型：' || upper(ext) || chr(10) || chr(10) || '[' || name || '](' || name || ')' || chr(10)
+            FROM (SELECT d.*, ext, regexp_replace(split_part(path, '/', -1), '\\.md$', '') || '.' || ext AS name
+                  FROM done d JOIN (SELECT url, {file_ext('content_type', 'url')} AS ext FROM fx_downloads
+                                    WHERE NOT (lower(content_type) LIKE '%text/html%' AND text <> '')) f USING (url)
+                  WHERE result = 'created' AND route = 'url') n)""",
+        recursive=True,
+    )
+    + f"""SELECT path, doc_id, '---' || chr(10) || 'title: ' || {yaml_string("title")} || chr(10) || 'created: {RUN_DATE}' || chr(10)
+                 || CASE WHEN source <> '' THEN 'source: ' || {yaml_string("source")} || chr(10) ELSE '' END
+                 || 'tags:' || chr(10) || '  - clippings' || chr(10) || '---' || chr(10) || chr(10) || body || chr(10) AS content
+          FROM texts""",
     "notes_sync": with_(
         "fx_notes fx_index",
         f"""decided AS (SELECT n.*, CAST(docid AS BIGINT) AS seq, 'doc_' || docid AS doc_id,

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import names as nm
 from ..functions import rules, times, urls
-from ..operators import bodies, decide, images, naming, requests, state, tree
+from ..operators import bodies, decide, images, naming, requests, scans, state, tree
 from ..session import configure, cut
-from ..sources import index_store, landing, listings
+from ..sources import index_store, landing, listings, vault_files
 from ..streaming import feed as streams
 from ..streaming import replay
+from ..streaming.requests import resolve_stream
+from ..streaming.state import keep_newest_from
 from .fixtures import relation
 from .run import (
     RUN_TABLES, SyncInputs, SyncParams, SyncResult, catalog_probe, commit_run, run_sync, selected_scope, vault, with_summary,
@@ -442,6 +444,25 @@ def file_store(load):
     return bodies.overwrite_files(existing, writes).select("path", "body")
 
 
+@query
+def file_sink(load):
+    """The same files on storage: written as files, some twice, and read back (Spark's reader
+    passes over empty ones)."""
+    rows = load("documents")
+    root = replay.new_folder(rows, "files")
+    before = load("customer").select(F.concat(F.lit("old/"), "c_name").alias("path"), F.encode("c_mktsegment", "UTF-8").alias("body"))
+    vault_files.write_files(before, root)
+    # images of the same names are kept, originals replace what is there
+    vault_files.write_files(before.withColumn("body", F.encode(F.lit("later"), "UTF-8")), root, vault_files.KEEP)
+    writes = stored_pages(load).select("file_path", "seq", F.encode("bytes", "UTF-8").alias("body"))
+    first = writes.groupBy("file_path").agg(F.min_by("body", "seq").alias("body")).withColumnRenamed("file_path", "path")
+    vault_files.write_files(first, root, vault_files.REPLACE)
+    vault_files.write_files(bodies.last_writes(writes).withColumnRenamed("file_path", "path"), root, vault_files.REPLACE)
+    files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    name = F.split_part("path", F.lit(root.rstrip("/") + "/"), F.lit(2))
+    return files.select(name.alias("path"), F.md5("content").alias("digest"))
+
+
 @query
 def file_download(load):
     """Download and store: each address with its file name and stub."""
@@ -786,6 +807,14 @@ def run_documents(load):
     return sync_run(load).documents.select("path", "doc_id", "content")
 
 
+@query
+def run_new_texts(load):
+    """Whole text of the new documents of notes and of files a run writes."""
+    result = sync_run(load)
+    chosen = result.results.where("result = 'created' AND (route = 'note' OR kind = 'file')").select("path")
+    return result.documents.join(chosen, "path").select("path", "doc_id", "content")
+
+
 @query
 def notes_sync(load):
     """Standalone notes alone: decision, path and the new document."""
@@ -858,6 +887,15 @@ def stream_used_store(load):
     return store.load().select("doc_id", "path", "update_time")
 
 
+@query
+def stream_seeded_state(load):
+    """The same, with the index as the state that the stream begins with."""
+    source, store = streamed(load)
+    store.append(load("fx_index"), 0)
+    keep_newest_from(source, store, f"{store.root}-checkpoint").awaitTermination()
+    return store.load().select("doc_id", "path", "update_time")
+
+
 @query
 def stream_quota_resume(load):
     """Actions of a stream that meets a quota answer at its first event and one in the
@@ -879,6 +917,29 @@ def stream_quota_resume(load):
             return source.sparkSession.read.parquet(actions).select("doc_id", "seq", "t", "action")
 
 
+@query
+def stream_requests(load):
+    """Resolved requests of a log that streams in by event time; attempts follow each other
+    as their backoff says. One far later request lets the last timers run out."""
+    log = load("fx_requests")
+    begins = log.groupBy("request_id").agg(F.min("ts").cast("timestamp").alias("begin"))
+    waited = F.expr("aggregate(sequence(0, attempt - 1), 0L, (t, n) -> t + IF(n = 0, 0L, least(1000L * shiftleft(1L, n - 1), 8000L)))")
+    timed = log.join(begins, "request_id").select(
+        "request_id", "attempt", "status", "payload", F.timestamp_millis(F.unix_millis("begin") + waited).alias("ts")
+    )
+    later = timed.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("bigint").alias("request_id"), F.lit(1).alias("attempt"), F.lit(200).alias("status"), F.lit('{"code":0}').alias("payload"),
+        F.timestamp_millis(F.unix_millis("ts") + 86_400_000).alias("ts"),
+    )
+    ordered = scans.with_order_number(timed.unionByName(later), ["ts", "request_id", "attempt"])
+    source = replay.as_stream(ordered, "seq", batches=3)
+    out, checkpoint = replay.new_folder(log, "resolved"), replay.new_folder(log, "checkpoint")
+    resolved = resolve_stream(source, "ts")
+    started = resolved.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    started.trigger(availableNow=True).start().awaitTermination()
+    return log.sparkSession.read.schema(resolved.schema).parquet(out).where("request_id >= 0")
+
+
 @query
 def report_line(load):
     return with_summary(decide.run_counts(decided_items(load)))

@@ -1,0 +1,77 @@
+"""Files on storage: whole or not at all, kept or replaced."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkmirror.plans.export import write_vault
+from inkmirror.sources import vault_files
+from inkmirror.sources.vault_files import KEEP, REPLACE, VaultWriter, write_files
+from test_run import one_item_run
+
+
+def files(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in sorted(folder.rglob("*")) if p.is_file()}
+
+
+def test_keep_and_replace(spark, tmp_path):
+    rows = [("a/b/one.png", b"1"), ("two.bin", b""), (None, b"x"), ("no body", None), ("ü/ß.md", "é".encode())]
+    frame = spark.createDataFrame(rows, "path STRING, body BINARY").repartition(3)
+    write_files(frame, str(tmp_path / "v"))
+    want = {"a/b/one.png": b"1", "two.bin": b"", "ü/ß.md": "é".encode()}
+    assert files(tmp_path / "v") == want
+    later = spark.createDataFrame([("two.bin", b"later"), ("new", b"n")], "path STRING, body BINARY")
+    write_files(later, str(tmp_path / "v"), KEEP)
+    assert files(tmp_path / "v") == {**want, "new": b"n"}
+    write_files(later, f"file://{tmp_path}/v/", REPLACE)
+    assert files(tmp_path / "v") == {**want, "new": b"n", "two.bin": b"later"}
+    write_files(later.limit(0), str(tmp_path / "empty"))
+    assert not (tmp_path / "empty").exists() or files(tmp_path / "empty") == {}
+    with pytest.raises(Exception, match="existing is"):
+        write_files(later, str(tmp_path / "v"), "append")
+
+
+def test_a_failing_task_leaves_nothing(spark, tmp_path):
+    """Its first rows are staged when a later one fails; the job is given up and staging goes."""
+    late = F.when(F.col("id") == 90, F.raise_error(F.lit("lost"))).otherwise(F.lit("x")).cast("string")
+    rows = spark.range(100, numPartitions=1).select(F.concat(F.lit("f"), "id").alias("path"), F.encode(late, "UTF-8").alias("body"))
+    with pytest.raises(Exception, match="lost"):
+        write_files(rows, str(tmp_path / "v"))
+    assert not (tmp_path / "v").exists() or list((tmp_path / "v").iterdir()) == []
+
+
+def test_a_killed_task_shows_nothing(tmp_path):
+    """Killed between two rows, without any cleaning: only the staging folder is there, and the next attempt is right."""
+    writer = VaultWriter(str(tmp_path), REPLACE)
+
+    def killed():
+        yield {"path": "one", "body": b"1"}
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        writer.write(killed())
+    assert [p.name for p in tmp_path.iterdir()] == [writer.staging]
+    message = writer.write(iter([{"path": "one", "body": b"1"}, {"path": "d/two", "body": b"2"}]))
+    assert (message.written, message.kept, message.no_body) == (2, 0, 0)
+    writer.commit([message])
+    assert files(tmp_path) == {"one": b"1", "d/two": b"2"} and not (tmp_path / writer.staging).exists()
+    again = VaultWriter(str(tmp_path), KEEP).write(iter([{"path": "one", "body": b"other"}]))
+    assert (again.written, again.kept) == (0, 1) and files(tmp_path)["one"] == b"1"
+
+
+@pytest.mark.parametrize("path", ["../out", "/etc/x", "a/../../b", ""])
+def test_paths_stay_in_the_vault(tmp_path, path):
+    with pytest.raises(ValueError):
+        VaultWriter(str(tmp_path), KEEP).write(iter([{"path": path, "body": b""}]))
+    assert not vault_files._within(path)
+
+
+def test_a_run_as_files(spark, tmp_path):
+    result = one_item_run(spark, "t", ("application/pdf", "b"))
+    write_vault(result, str(tmp_path))
+    write_vault(result, str(tmp_path))  # repeated: the same files
+    got = files(tmp_path)
+    assert got["root/K/t.pdf"] == b"b" and got["root/K/t.md"].startswith(b"---\ntitle: ")
+    written = {r["path"]: hashlib.md5(r["content"].encode()).hexdigest() for r in result.documents.collect()}
+    assert {p: hashlib.md5(b).hexdigest() for p, b in got.items() if p.endswith(".md")} == written

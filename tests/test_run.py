@@ -162,6 +162,81 @@ def test_a_run_needs_something_to_sync(spark):
         run_sync(nothing, PARAMS)
 
 
+@pytest.mark.parametrize("root", ["", "  ", "/"])
+def test_a_run_needs_a_folder(spark, root):
+    with pytest.raises(ValueError):
+        run_sync(World(spark, 6).inputs(), SyncParams(root, "2024-06-01", "s"))
+
+
+def walked(rows, bases, broken, files, root="root"):
+    """Items that a walk visits and the failures it meets, folder by folder. ``broken``:
+    (kb, folder) -> (outcome, message)."""
+    seen, failures = [], []
+
+    class Stop(Exception):
+        pass
+
+    def level(kb, folder, path):
+        if path in files:
+            raise Stop("failed", f"路径 {path} 已被文件占用，无法创建文件夹")
+        if (kb, folder) in broken:
+            raise Stop(*broken[(kb, folder)])
+        for _, media_id, _, title, kind, _ in sorted((r for r in rows if r[0] == kb and r[2] == folder), key=lambda r: (r[5], r[1])):
+            if kind == 99:
+                level(kb, media_id, f"{path}/{title}")
+            else:
+                seen.append(media_id)
+
+    for kb, name, _ in bases:
+        try:
+            level(kb, "", f"{root}/{name}")
+        except Stop as stop:
+            outcome, message = stop.args
+            if outcome == "quota":
+                return seen, failures, True
+            failures.append((f"知识库「{name}」", message))
+    return seen, failures, False
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_failed_listings_and_blocked_folders(spark, seed):
+    """Against the walk: what comes after a failure in its base is not visited, quota ends the run."""
+    rng = random.Random(seed)
+    rows, bases = [], [(f"k{b}", f"Base{b}", b) for b in range(4)]
+    for kb, _, _ in bases:
+        folders = [f"folder_{i}" for i in range(8)]
+        rows += [(kb, f, rng.choice(["", *folders[:i]]), f"t{i}", 99, rng.randrange(5)) for i, f in enumerate(folders)]
+        rows += [(kb, f"{kb}_d{i}", rng.choice(["", *folders]), "x", 11, rng.randrange(5)) for i in range(20)]
+    broken = {(rng.choice(bases)[0], rng.choice(["", *folders])): ("fatal", f"m{i}") for i in range(2)}
+    if seed % 2:
+        broken[(rng.choice(bases[1:])[0], rng.choice(folders))] = ("quota", "q")
+    files = {"root/Base3/t0", "root/Base2"} if seed == 2 else set()
+    seen, failures, stopped = walked(rows, bases, broken, files)
+    table = spark.createDataFrame
+    notes_broken = seed == 3
+    listings = [(kb, f, o, m) for (kb, f), (o, m) in broken.items()] + [("k0", "folder_7", "success", None)]
+    listings = [r for r in listings if not (r[2] == "success" and ("k0", "folder_7") in broken)]
+    result = run_sync(
+        SyncInputs(
+            bases=table(bases, "kb_id STRING, kb_name STRING, kb_pos INT"),
+            items=table(rows, ITEM),
+            media=table([], MEDIA), contents=table([], "doc_id STRING, content STRING, outcome STRING"), fetched=table([], FETCHED),
+            image_blobs=table([], "url STRING, content_type STRING"), index=table([], index_store.INDEX),
+            documents=table([], "path STRING, content STRING"), attachments=table([], "path STRING"),
+            notes=table([("n1", "note", "100", 0)], "docid STRING, title STRING, modify_time STRING, pos BIGINT"),
+            listings=table(listings + ([("", "", "fatal", "no notes")] if notes_broken else []), "kb_id STRING, folder_id STRING, outcome STRING, message STRING"),
+            files=table([(f,) for f in files], "path STRING"),
+        ),
+        PARAMS,
+    )
+    got = result.results.orderBy("seq").collect()
+    want_notes = [] if stopped or notes_broken else ["n1"]
+    assert [r["doc_id"] for r in got if r["doc_id"]] == seen + want_notes
+    want_failures = failures + ([("独立笔记", "no notes")] if notes_broken and not stopped else [])
+    assert sorted((r["title"], r["error"]) for r in got if not r["doc_id"]) == sorted(want_failures)
+    assert result.report.first()["failed"] == len(got)
+
+
 def test_global_attachment_folder(spark):
     world = World(spark, 7)
     result = run_sync(world.inputs(), SyncParams("root", "2024-06-01", "s", per_kb_attachments=False, global_folder=" /media/ "))

@@ -6,10 +6,12 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from inkmirror.operators import requests
 from inkmirror.operators.decide import fold_actions
 from inkmirror.sources.index_store import IndexStore
 from inkmirror.streaming import feed as streams
-from inkmirror.streaming import replay
+from inkmirror.streaming import replay, state
+from inkmirror.streaming import requests as request_stream
 
 FEED = "doc_id STRING, seq BIGINT, t BIGINT, ok BOOLEAN"
 
@@ -157,3 +159,44 @@ def test_one_active_run(spark, tmp_path):
         assert "concurrent" in str(error).lower() or "already" in str(error).lower()
     finally:
         first.stop()
+
+
+def test_seeded_state_does_not_depend_on_arrival(spark, tmp_path):
+    """Over an index with older, newer and untimed entries, one document with a third of the events."""
+    rows = [("hot" if i % 3 == 0 else d, i, t, ok) for d, i, t, ok in rows_of(6, 150)]
+    feed = streams.as_index_changes(spark.createDataFrame(rows, FEED), "root", "now").withColumn("title", F.col("seq").cast("string"))
+    held = streams.as_index_changes(
+        spark.createDataFrame([("d0", 0, 5, True), ("d1", 1, 900, True), ("d2", 2, 0, True), ("hot", 3, 20, True), ("x", 4, 1, True)], FEED), "root", "then"
+    )
+    shared = IndexStore(spark, str(tmp_path / "shared"))
+    shared.append(held, 0)
+    streams.keep_newest(replay.as_stream(feed, "seq", batches=3), shared, str(tmp_path / "cp0")).awaitTermination()
+    want = sorted(map(tuple, shared.load().collect()))
+    for name, order in {"in order": "seq", "shuffled": "arrival"}.items():
+        store = IndexStore(spark, str(tmp_path / name))
+        store.append(held, 0)
+        source = replay.as_stream(feed.withColumn("arrival", F.col("seq") * 37 % len(rows)), order, batches=3)
+        state.keep_newest_from(source, store, str(tmp_path / f"cp {name}")).awaitTermination()
+        assert sorted(map(tuple, store.load().collect())) == want, name
+
+
+def test_requests_close_by_answer_or_timer(spark, tmp_path):
+    """Answers, exhausted retries, requests that break off, attempts after the end, one far behind."""
+    log = [
+        (1, 1, "success", 0), (2, 1, "retryable", 0), (2, 2, "fatal", 1), (2, 3, "success", 3),
+        (3, 1, "retryable", 0), (3, 2, "retryable", 1), (3, 3, "retryable", 3), (3, 4, "retryable", 7), (3, 5, "success", 15),
+        (4, 1, "retryable", 2), (4, 2, "retryable", 4), (5, 2, "success", 9), (6, 1, "quota", 5), (6, 2, "success", 6),
+        (7, 1, "retryable", 4000), (7, 2, "success", 4002),
+    ]
+    bodies = {"success": (200, '{"code":0}'), "fatal": (403, '{"code":1}'), "retryable": (503, None), "quota": (429 - 29, '{"code":200005}')}
+    rows = [(r, a, *bodies[o], 1_700_000_000 + s) for r, a, o, s in log] + [(-1, 1, 200, '{"code":0}', 1_700_100_000)]
+    frame = spark.createDataFrame(rows, "request_id BIGINT, attempt INT, status INT, payload STRING, s BIGINT")
+    timed = frame.select("request_id", "attempt", "status", "payload", F.timestamp_seconds("s").alias("ts"), "s")
+    want = {r["request_id"]: tuple(r) for r in requests.resolve(requests.classify(timed)).collect() if r["request_id"] >= 0}
+    assert want[4][1] == "failed" and want[5][1] == "success" and want[3][1:3] == ("failed", 4)
+    source = replay.as_stream(timed, "s", batches=2)
+    resolved = request_stream.resolve_stream(source, "ts")
+    out = str(tmp_path / "out")
+    resolved.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(out).where("request_id >= 0").collect()]
+    assert len(got) == len(want) and {r[0]: r for r in got} == want
