@@ -25,16 +25,22 @@ def only_wanted(wide: DataFrame, keys: DataFrame, key: str, at_most: int) -> Dat
     ``at_most`` bounds the rows of ``keys`` and sizes the bitmap; with more keys than it may
     hold all rows stay. A bound that is too low lets more rows through, never less.
     """
+    held = wide.where(F.col(key).isNotNull())
+    return marked(held, keys, key, at_most, "_wanted", "inner").where("_wanted").select(*wide.columns)
+
+
+def marked(wide: DataFrame, keys: DataFrame, key: str, at_most: int, name: str, how: str = "left") -> DataFrame:
+    """``wide`` with a column that is false only where ``key`` is not among ``keys``; ``inner``
+    may leave such rows out."""
     pages = max(1, -(-at_most * BITS // PAGE_BITS))
     if pages > MAX_PAGES:
-        return wide.where(F.col(key).isNotNull())
+        return wide.withColumn(name, F.lit(True))
     hashed = keys.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_hash"))
     bit = F.pmod(F.col("_hash"), F.lit(pages * PAGE_BITS))
     # at most MAX_PAGES rows of 4 kB
     bitmap = hashed.groupBy(F.shiftright(bit, 15).alias("_page")).agg(F.bitmap_construct_agg(bit % PAGE_BITS).alias("_bits"))
-    asked = wide.where(F.col(key).isNotNull()).withColumn("_hash", F.xxhash64(key))
-    asked = asked.withColumn("_page", F.shiftright(bit, 15)).join(F.broadcast(bitmap), "_page")
+    asked = wide.withColumn("_hash", F.xxhash64(key)).withColumn("_page", F.shiftright(bit, 15)).join(F.broadcast(bitmap), "_page", how)
     within = (bit % PAGE_BITS).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(within, 3) + 1, F.lit(1))), 16, 10).cast("int")
     mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), within % 8 + 1)
-    return asked.where(byte.bitwiseAND(mask) != 0).select(*wide.columns)
+    return asked.select(*wide.columns, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)).alias(name))

@@ -93,7 +93,7 @@ def test_keys_are_filtered_below_the_exchange(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     below = plan[plan.rindex("SortMergeJoin") :]
-    assert re.search(r"Exchange hashpartitioning\(k#\d+, \d+\)[^\n]*\n[\s:|+-]*Project \[k#\d+, text#\d+\]\n[\s:|+-]*BroadcastHashJoin \[_page", below)
+    assert re.search(r"Exchange hashpartitioning\(k#\d+, \d+\)[^\n]*\n[\s:|+-]*Project \[k#\d+, text#\d+\]\n(?:[\s:|+-]*Filter[^\n]*\n)?[\s:|+-]*BroadcastHashJoin \[_page", below)
 
 
 def test_bitmap_bounds(spark, monkeypatch):
