@@ -22,13 +22,19 @@ a null id is an id; an empty table gives an empty result; further columns are ig
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, salted_lookup
+from ..functions.text_basics import bind
+from .common import salted_lookup
 
-# Fixed value: a word is a run of ASCII digits, lower-case letters and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# A word is a run of ASCII digits, lower-case letters and anything beyond ASCII;
+# what stands between words of a lower-cased text; a word in any case.
+GAP_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+KELVIN, KELVIN_KEPT = "\u212a", "\ue00b"
 WINDOW = 3
 GAP = 4
 COVERAGE, LONG = 0.75, 40
@@ -99,37 +105,34 @@ TEMPLATES = [
 ]
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text with A-Z in lower case; none for a null."""
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+def normal(text: Column) -> Column:
+    """The words of a text, A-Z in lower case, with single spaces between; empty for a null."""
+    # ``lower`` is right for A-Z; the only other character that it would turn into ASCII is kept
+    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(KELVIN_KEPT)))
+    return F.btrim(F.regexp_replace(lowered, GAP_BETWEEN, " "))
 
 
 def templates(spark: SparkSession, named: list[tuple[str, str]]) -> DataFrame:
     """``template, label, size, place, words``: each window of each template."""
     rows = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text")) for i, (label, text) in enumerate(named)]
-    listed = spark.range(1).select(F.inline(F.array(*rows)))
-    return windows(listed.select("template", "label", words_of(F.col("text")).alias("held")), ["template", "label", F.size("held").alias("size")], "place")
-
-
-def windows(rows: DataFrame, keys: list, place: str) -> DataFrame:
-    """``keys``, ``place`` and ``words`` (w0, w1, w2) of each window of the words in ``held``."""
-    rest = F.lit((1 << 31) - 1)
-    shifted = [F.slice("held", F.lit(i + 1), rest).alias(f"w{i}") if i else F.col("held").alias("w0") for i in range(WINDOW)]
-    zipped = rows.where(F.size("held") >= WINDOW).select(*keys, F.arrays_zip(*shifted).alias("zipped"))
-    each = zipped.select(*[k if isinstance(k, str) else F.col("size") for k in keys], F.posexplode("zipped").alias(place, "words"))
-    return each.where(F.col(f"words.w{WINDOW - 1}").isNotNull())
+    listed = spark.range(1).select(F.inline(F.array(*rows))).select("template", "label", normal(F.col("text")).alias("normal"))
+    sized = listed.withColumn("size", F.size(F.split("normal", " ")))
+    return windows(sized, ["template", "label", "size"], "place")
 
 
-def window_hash(words: str) -> Column:
-    return F.xxhash64(*[F.col(f"{words}.w{i}") for i in range(WINDOW)])
+def windows(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """``keys``, ``place`` and ``words`` of each window of the words in ``normal``: a pattern with
+    a look-ahead finds the overlapping windows at one pass."""
+    pattern = f"(?=({' '.join(['[^ ]+'] * WINDOW)}))[^ ]+"
+    return rows.select(*keys, F.posexplode(F.regexp_extract_all("normal", F.lit(pattern), F.lit(1))).alias(place, "words"))
 
 
 def spans(documents: DataFrame, keys: list[str], named: list[tuple[str, str]] | None = None) -> DataFrame:
     """``keys, label, template, first, last, covered, size``: verified spans of ``documents``
-    (``keys``, ``held``: its words), overlapping ones reduced to the best."""
+    (``keys``, ``normal``), overlapping ones reduced to the best."""
     known = templates(documents.sparkSession, named or TEMPLATES)
-    known = known.select("template", "label", "size", "place", F.col("words").alias("theirs"), window_hash("words").alias("hash"))
-    mine = windows(documents, keys, "pos").withColumn("hash", window_hash("words"))
+    known = known.select("template", "label", "size", "place", F.col("words").alias("theirs"), F.xxhash64("words").alias("hash"))
+    mine = windows(documents, keys, "pos").withColumn("hash", F.xxhash64("words"))
     hits = mine.join(F.broadcast(known), "hash").where(F.col("words") == F.col("theirs"))
     of = [*keys, "template", "label", "size"]
     diagonals = hits.groupBy(*of, (F.col("pos") - F.col("place")).alias("diagonal")).agg(
@@ -160,29 +163,32 @@ def spans(documents: DataFrame, keys: list[str], named: list[tuple[str, str]] |
 
 
 def phrase_places(held: Column, phrases: dict[str, str]) -> Column:
-    """Places ``(at, label)`` at which the words of a phrase stand one after another."""
+    """Places ``(at, label)`` at which the words of a phrase stand one after another in ``held``,
+    which is worked out once."""
 
-    def places(parts: list[str], label: str) -> Column:
+    def places(words: Column, parts: list[str], label: str) -> Column:
         phrase, many = F.array(*[F.lit(p) for p in parts]), len(parts)
-        every = F.sequence(F.lit(0), F.greatest(F.size(held) - many, F.lit(0)))
-        starts = F.filter(every, lambda i: F.slice(held, i + 1, F.lit(many)) == phrase)
+        every = F.sequence(F.lit(0), F.greatest(F.size(words) - many, F.lit(0)))
+        starts = F.filter(every, lambda i: F.slice(words, i + 1, F.lit(many)) == phrase)
         return F.transform(starts, lambda i: F.struct(i.cast("bigint").alias("at"), F.lit(label).alias("label")))
 
-    return F.concat(*[places(phrase.split(), label) for phrase, label in phrases.items()])
+    return bind(held, lambda words: F.concat(*[places(words, phrase.split(), label) for phrase, label in phrases.items()]))
 
 
 def scan(documents: DataFrame, named: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for each
     row of ``documents`` (``doc_id, text``); labels sorted and joined by commas."""
     phrases = phrases or PHRASES
-    keyed = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("held"))
+    keyed = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     # words that every phrase ends with, so that most texts are done at a look
     ends = sorted({p.split()[-1] for p in phrases})
-    some = F.arrays_overlap("held", F.array(*[F.lit(e) for e in ends]))
+    lowered = F.lower("text")
+    some = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(e)) for e in ends])
     none = F.array().cast("array<struct<at:bigint,label:string>>")
+    found = phrase_places(F.split(normal(F.col("text")), " "), phrases)
     placed = keyed.select(
-        "doc_id", "text_hash", F.size("held").cast("bigint").alias("n_words"),
-        F.when(some, phrase_places(F.col("held"), phrases)).otherwise(none).alias("places"),
+        "doc_id", "text_hash", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("bigint").alias("n_words"),
+        F.when(some, found).otherwise(none).alias("places"),
     )
     based = placed.select(
         "doc_id", "text_hash", "n_words", F.size("places").cast("bigint").alias("n_base"),
@@ -190,7 +196,8 @@ def scan(documents: DataFrame, named: list[tuple[str, str]] | None = None, phras
         F.array_sort(F.array_distinct("places.label")).alias("base"),
     )
     # equal rows have equal spans: they are one group, which counts each hit once
-    found = spans(keyed, ["doc_id", "text_hash"], named).groupBy("doc_id", "text_hash").agg(
+    texts = keyed.select("doc_id", "text_hash", normal(F.col("text")).alias("normal"))
+    found = spans(texts, ["doc_id", "text_hash"], named).groupBy("doc_id", "text_hash").agg(
         F.collect_set("label").alias("more"), F.max(F.col("covered") / F.col("size")).alias("best")
     )
     both = salted_lookup(based, found, ["doc_id", "text_hash"], F.col("n_words"), 8)

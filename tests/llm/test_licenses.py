@@ -98,11 +98,19 @@ def test_merged_diagonals(spark):
     """A notice with words put in and left out is one span."""
     w = licenses.TEMPLATES[1][1].split()
     text = " ".join(w[:40] + ["really"] + w[40:80] + w[82:])
-    keyed = spark.createDataFrame([(1, text)], "doc_id bigint, text string").select("doc_id", licenses.words_of(F.col("text")).alias("held"))
+    keyed = spark.createDataFrame([(1, text)], "doc_id bigint, text string").select("doc_id", licenses.normal(F.col("text")).alias("normal"))
     (span,) = licenses.spans(keyed, ["doc_id"]).collect()
     assert span["label"] == "mit" and span["first"] == 0 and span["last"] == len(words(text)) - 1 and span["covered"] == span["size"] - 2
 
 
+def test_only_ascii_letters_are_lowered(spark):
+    """The Kelvin sign and other capitals beyond ASCII are no ASCII letters."""
+    texts = ["Licensed under CC BY-NC 4.0", "This wor\u212a is licensed under the GNU General Public License, version 3", "M\u0130T License", "MIT\u00a0License É"]
+    got = scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    for i, text in enumerate(texts):
+        assert got[i][:-1] == model(text)[:-1] and got[i][-1] == pytest.approx(model(text)[-1])
+
+
 def test_own_templates_and_phrases(spark):
     frame = spark.createDataFrame([(1, "We use the ACME open terms of 2020, as agreed. See acme terms.")], "doc_id bigint, text string")
     (row,) = licenses.scan(frame, [("acme", "the acme open terms of 2020")], {"acme terms": "short"}).collect()
