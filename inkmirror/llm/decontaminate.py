@@ -13,6 +13,9 @@ that only shares its frame with scrambled values is not. A window also matches b
 lower-cased words as they are, names unmarked, so copies in any case are caught; one with
 fewer than 3 plain words matches in this way only.
 
+The windows of all texts are first met as mere hashes; words, places and slot values are
+worked out for the texts that share one with an item.
+
 Defined results: texts and items shorter than a window are one window, whole; null or
 blank ones have none; repeated rows give one result row per id, text and item; an empty
 table gives an empty result; further columns are ignored (``keep_clean`` returns them
@@ -94,7 +97,9 @@ def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) ->
     The word arrays are zipped with themselves, shifted, and exploded, so that all work on a
     window is plain column code on its words.
     """
-    based = texts.select(*keys, base_text(F.col("text")).alias("base")).where(F.col("base") != "")
+    # blank texts go behind the windows: a filter here would work out every text twice, and
+    # run before a join that leaves few of them
+    based = texts.select(*keys, base_text(F.col("text")).alias("base"))
     named = based.select(*keys, "base", with_whole_names(F.col("base")).alias("joined"))
     canonical = named.select(*keys, "base", "joined", canonical_text(F.col("joined")).alias("canonical"))
     slotted = F.col("joined") != F.col("canonical")
@@ -111,7 +116,7 @@ def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) ->
     )
     # where the words of a template begin, if some are names of several words
     begins = F.when(F.size("apart") > 0, places).otherwise(F.array().cast("array<int>")).alias("begins")
-    rest = F.lit((1 << 31) - 1)
+    rest = F.lit(1 << 30)
     shifted = [F.slice(side, F.lit(i + 1), rest).alias(f"{side}{i}") for side in "vcb" for i in range(window)]
     names = [f"{side}{i}" for side in "vcb" for i in range(window)]
     rows = split.select(*keys, F.size("v").alias("words"), F.size("c").alias("many"), begins, *shifted)
@@ -119,7 +124,7 @@ def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) ->
     first = F.col("at") == 0
     words, canon, plain = [[F.col(f"w.{side}{i}") for i in range(window)] for side in "vcb"]
     # a window is full, or it is a whole text that is shorter
-    whole = words[-1].isNotNull() | (first & (F.col("words") < window))
+    whole = (words[-1].isNotNull() | (first & (F.col("words") < window))) & (words[0] != "")
     opens = [F.coalesce(b != c, F.lit(False)) for b, c in zip(plain, canon)]
     slots = sum((o.cast("int") for o in opens), F.lit(0))
     size = F.least(F.lit(window), F.col("many"))
@@ -137,6 +142,51 @@ def template_windows(texts: DataFrame, keys: list[str], window: int = WINDOW) ->
     return both.where(F.col("row").isNotNull()).select(*keys, "row.pos", "row.hash", "row.slots")
 
 
+def window_hashes(texts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
+    """``keys, hash``: of each window of words, and of each of template words with a
+    placeholder, whatever ``template_windows`` makes of it, but without places and slots.
+
+    One pattern with a look-ahead gives all overlapping windows of a text as strings.
+    """
+    based = texts.select(*keys, base_text(F.col("text")).alias("base"))
+    canonical = canonical_text(with_whole_names(F.col("base")))
+    plain = F.replace("base", F.lit(_MARK), F.lit(""))
+    # a window has single spaces between its words
+    two = based.select(*keys, *[F.regexp_replace(c, GAP, " ").alias(n) for c, n in ((plain, "v"), (canonical, "c"))])
+    rest = "".join([" [^ ]+"] * (window - 1))
+
+    pattern = F.lit(f"(?=([^ ]+{rest}))[^ ]+")
+    none = F.array().cast("array<string>")
+    slotted = F.when(F.col("c").rlike("<(?:num|unit|name)>"), F.regexp_extract_all("c", pattern, F.lit(1))).otherwise(none)
+    # columns of their own, so that each pattern runs once
+    found = two.select(*keys, "v", "c", F.regexp_extract_all("v", pattern, F.lit(1)).alias("plain"), slotted.alias("open"))
+
+    def whole(side: str, text: str) -> Column:
+        """A text shorter than a window is one."""
+        return F.when(F.size(side) > 0, F.col(side)).otherwise(F.array(text))
+
+    both = F.concat(whole("plain", "v"), F.when(F.contains("c", F.lit("<")), whole("open", "c")).otherwise(none))
+    plain_ones = F.greatest(F.size("plain"), F.lit(1)).alias("plain_ones")
+    each = found.select(*keys, plain_ones, F.posexplode(both).alias("at", "words"))
+    template = F.col("at") >= F.col("plain_ones")
+    counts = (F.col("words") != "") & (~template | F.contains("words", F.lit("<")))
+    return each.where(counts).select(*keys, F.xxhash64(template, "words").alias("hash"))
+
+
+def suspects(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, text_hash, text`` of the documents that share a window with an item: no
+    other can hold one, and places and slots are only needed for these."""
+    keyed = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    wanted = window_hashes(items.select("text"), [], window).distinct()
+    # 8 bytes each
+    wanted = cut(wanted)
+    if wanted.count() <= SENT_WINDOWS:
+        wanted = F.broadcast(wanted)
+    shared = window_hashes(keyed, ["doc_id", "text_hash"], window).join(wanted, "hash", "left_semi")
+    met = cut(shared.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("of")).distinct())
+    return keyed.join(met, keyed["doc_id"].eqNullSafe(met["id"]) & (keyed["text_hash"] == met["of"]), "left_semi")
+
+
 def item_cells(texts: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
     """``keys, pos, cell, item_windows``: the window of template words that each word counts
     for, and how many there are."""
@@ -181,9 +231,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     theirs = cut(theirs)
     if theirs.count() <= SENT_WINDOWS:
         theirs = F.broadcast(theirs)
-    mine = template_windows(
-        documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ["doc_id", "text_hash"], window
-    )
+    mine = template_windows(suspects(documents, items, window), ["doc_id", "text_hash"], window)
     nothing = F.array().cast(_SLOTS)
     pairs = F.zip_with(
         F.coalesce("slots", nothing),
