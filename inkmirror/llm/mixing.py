@@ -7,6 +7,10 @@ moved is counted in words, so the words taken of a source stay what they were, u
 the one fraction that is left in the end. Blocks of a source are folded side by side,
 the residues of the blocks are folded again, level by level, until one is left.
 
+Equal rows have equal sizes, so pairing them only moves whole copies: of ``m`` rows that
+want the fraction ``p`` each, the whole part of ``m * p`` take one more copy, and what is left
+enters the fold as one unit. A row that is repeated very often is a count until it is written.
+
 Defined results: a null or empty text has size 0 and is taken 0 words; null sources
 form one source that sorts last; repeated rows are documents of their own; an empty
 table gives an empty result; further columns are ignored.
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scans import with_order_number
+from ..operators.scans import with_order_number, with_total_before
 from ..session import cut
 from .common import salted_lookup, unit_interval, word_count
 
@@ -25,19 +29,22 @@ from .common import salted_lookup, unit_interval, word_count
 BLOCK = 48
 # Times a document may be taken at most, and with it a source.
 MOST = 3.0
+# Equal rows that one task writes in one go.
+CHUNK = 100_000
 # A fraction nearer to a whole number than this is taken as whole.
 WHOLE = 1e-9
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST) -> DataFrame:
-    """One row per source: ``source, source_size, n_docs, target``.
+    """One row per source: ``source, source_size, n_docs, target`` of ``source, size, many``
+    (equal rows counted together); ``n_docs`` counts distinct rows.
 
     Sources in code point order, null last, take ``weights`` in turn and share all
     words by them. A target stops at ``most`` times the source; what is cut off is
     shared among the others by weight until no target is above.
     """
     totals = sized.groupBy("source").agg(
-        F.sum("size").cast("bigint").alias("source_size"),
+        F.sum(F.col("size") * F.col("many")).cast("bigint").alias("source_size"),
         F.count_if((F.col("size") > 0)).alias("n_docs"),
     )
     numbered = with_order_number(totals, [F.col("source").asc_nulls_last()], "_rank")
@@ -45,19 +52,17 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     weighted = numbered.withColumn("weight", weight)
     full = most * F.col("source_size").cast("double")
     everything = weighted.agg(F.sum("source_size")).first()[0] or 0
-    level, before = 0.0, -1.0
-    # each round closes at least one more source, or it is the last
-    while level != before:
-        stopped = F.col("weight") * level >= full
-        closed, open_weight = weighted.agg(
-            F.sum(F.when(stopped, full).otherwise(0.0)), F.sum(F.when(stopped, 0.0).otherwise(F.col("weight")))
-        ).first()
-        before = level
-        if open_weight:
-            level = max(level, (everything - closed) / open_weight)
-    return weighted.withColumn("target", F.least(full, F.col("weight") * level)).select(
-        "source", "source_size", "n_docs", "target"
+    # Sources stop in the order of ``full / weight``. If those before one are stopped, the level
+    # is what they leave, by the weights from there on; the first source that does not
+    # reach its own limit at that level has the right one.
+    ordered = with_total_before(
+        weighted.withColumn("limit", full / F.col("weight")), ["limit", "_rank"], {"stopped": full, "weight_before": F.col("weight")}
     )
+    all_weights = weighted.agg(F.sum("weight")).first()[0] or 0.0
+    level = (F.lit(float(everything)) - F.col("stopped")) / (F.lit(float(all_weights)) - F.col("weight_before"))
+    found = ordered.withColumn("level", level).where(F.col("level") < F.col("limit")).agg(F.min_by("level", F.struct("limit", "_rank"))).first()[0]
+    share = full if found is None else F.least(full, F.col("weight") * found)
+    return weighted.withColumn("target", share).select("source", "source_size", "n_docs", "target")
 
 
 def _fold(units: Column, seed: int) -> Column:
@@ -130,50 +135,81 @@ def round_copies(units: DataFrame, seed: int = 7) -> DataFrame:
     return rounded.unionByName(last)
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST, seed: int = 7) -> DataFrame:
-    """``doc_id, key, size, source_size, target, copies`` for each row of ``documents``
-    (``doc_id, text, source``). ``key`` is a hash of the row; equal rows share it."""
-    sized = cut(
-        documents.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            F.xxhash64("doc_id", "source", "text").alias("key"),
-        )
+def counted_rows(documents: DataFrame) -> DataFrame:
+    """``doc_id, source, size, key, many``: each distinct row (id, source, text) with its number."""
+    sized = documents.select(
+        "doc_id",
+        "source",
+        word_count(F.col("text")).alias("size"),
+        F.xxhash64("doc_id", "source", "text").alias("key"),
     )
-    targets = cut(source_targets(sized, weights, most))
+    return sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("many"))
+
+
+def shares(documents: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """Each distinct row with ``sure`` copies for each of its ``many`` rows and one more for
+    ``raised`` of them."""
+    counted = cut(counted_rows(documents))
+    targets = cut(source_targets(counted, weights, most))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     near = F.round(share)
     share = F.when(F.abs(share - near) < WHOLE, near).otherwise(share)
-    wanted = salted_lookup(sized, targets, ["source"], F.col("key")).withColumn("share", share)
-    wanted = wanted.withColumn("sure", F.floor("share").cast("int")).withColumn("p", F.col("share") - F.floor("share"))
-    result = ["doc_id", "key", "size", "source_size", "target"]
-    open_ = (F.col("size") > 0) & (F.col("p") > 0)
-    whole = wanted.where(~open_).select(*result, F.when(F.col("size") > 0, F.col("sure")).otherwise(F.lit(1)).alias("copies"))
-    units = wanted.where(open_).withColumn("row", F.struct(*result, "sure"))
+    wanted = salted_lookup(counted, targets, ["source"], F.col("key")).withColumn("share", share)
+    # a text without words has no size to share: each row is there once
+    filled = F.col("size") > 0
+    wanted = wanted.withColumn("sure", F.when(filled, F.floor("share")).otherwise(F.lit(1)).cast("int"))
+    part = F.when(filled, F.col("share") - F.floor("share")).otherwise(0.0) * F.col("many")
+    part = F.when(F.abs(part - F.round(part)) < WHOLE, F.round(part)).otherwise(part)
+    wanted = wanted.withColumn("raised", F.floor(part).cast("bigint")).withColumn("p", part - F.floor(part))
+    result = ["doc_id", "key", "size", "source_size", "target", "many", "sure"]
+    units = wanted.where("p > 0").withColumn("row", F.struct(*result, "raised"))
     rounded = round_copies(units, seed).select(
-        *[F.col(f"row.{c}").alias(c) for c in result], (F.col("row.sure") + F.col("copy")).alias("copies")
+        *[F.col(f"row.{c}").alias(c) for c in result], (F.col("row.raised") + F.col("copy")).alias("raised")
     )
-    return whole.unionByName(rounded)
+    return wanted.where("p = 0").select(*result, "raised").unionByName(rounded)
 
 
-def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
+def written_out(counted: DataFrame, many: Column) -> DataFrame:
+    """Each row ``many`` times, with its number from 0 in ``nth``; above ``CHUNK`` by several tasks."""
+    total = counted.withColumn("_many", many.cast("bigint")).where("_many > 0")
+    few = total.where(F.col("_many") <= CHUNK).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_many") - 1)))
+    begins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_many") - 1, F.lit(CHUNK).cast("bigint"))).alias("_begin")
+    chunks = total.where(F.col("_many") > CHUNK).select("*", begins).repartition("_begin", "_many")
+    ends = F.least(F.col("_begin") + CHUNK, F.col("_many")) - 1
+    lots = chunks.withColumn("nth", F.explode(F.sequence(F.col("_begin"), ends))).drop("_begin")
+    return few.unionByName(lots).drop("_many")
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST, seed: int = 7) -> DataFrame:
+    """``doc_id, key, size, source_size, target, copies`` for each row of ``documents``
+    (``doc_id, text, source``). ``key`` is a hash of the row; equal rows share it."""
+    every = written_out(cut(shares(documents, weights, most, seed)), F.col("many"))
+    copies = F.col("sure") + (F.col("nth") < F.col("raised")).cast("int")
+    return every.select("doc_id", "key", "size", "source_size", "target", copies.cast("int").alias("copies"))
+
+
+def mixed_documents(
+    documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST, seed: int = 7
+) -> DataFrame:
     """The rows of ``documents``, each as often as the mix takes it.
 
     A text without words has no size to share; it stays once. Rows equal in id, source
     and text share their copies evenly. All columns stay, whatever their names.
     """
-    plan = mix(documents, **settings).groupBy("doc_id", "key").agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")
+    plan = cut(shares(documents, weights, most, seed)).select(
+        F.col("doc_id").alias("_doc"), "key", "many", (F.col("many") * F.col("sure") + F.col("raised")).alias("copies")
     )
     packed = documents.select(
         F.struct("*").alias("row"), F.xxhash64("doc_id", "source", "text").alias("of"), F.col("doc_id").alias("id")
     )
-    joined = packed.join(plan, (packed["of"] == plan["key"]) & packed["id"].eqNullSafe(plan["doc_id"]))
-    nth = F.row_number().over(Window.partitionBy("id", "of").orderBy(F.xxhash64("row")))
-    single = joined.where("rows = 1").select("row", "copies")
-    repeated = joined.where("rows > 1").select(
-        "row", (F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("int")).alias("copies")
-    )
-    kept = single.unionByName(repeated).where("copies > 0")
-    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select("row.*")
+    same = (F.col("of") == F.col("key")) & F.col("id").eqNullSafe(F.col("_doc"))
+    single = packed.join(plan.where("many = 1 AND copies > 0"), same)
+    # repeated rows are counted before they move; the few kinds of row that share a key share its
+    # copies by running shares of their numbers
+    kinds = packed.join(plan.where("many > 1 AND copies > 0"), same, "left_semi").groupBy("row", "of", "id").agg(F.count(F.lit(1)).alias("held"))
+    before = Window.partitionBy("id", "of").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = kinds.withColumn("held_before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    until = lambda held: F.expr(f"(copies * ({held})) div many")
+    repeated = ranked.join(plan, same).withColumn("copies", until("held_before + held") - until("held_before"))
+    kept = written_out(single.select("row", "copies").unionByName(repeated.select("row", "copies")), F.col("copies"))
+    return kept.select("row.*")
