@@ -17,15 +17,15 @@ SHARDS = 8
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a word in any go."""
+    """Documents with a main language; those in none, or switched throughout, go."""
     configure(spark)
     return language.keep_known(docs, language.fit(docs, F.lit(True)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, as the SimHash operator finds them."""
     configure(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, simhash.SHINGLE, simhash.DISTANCE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

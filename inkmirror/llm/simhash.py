@@ -18,12 +18,7 @@ of them gives keys, and a pair is verified by the differing bits of all together
 Links are sought between distinct fingerprints only, and a bucket gives a spanning
 forest of its links, so copies never become pairs.
 
-``keep_one`` links by the Jaccard similarity of whole sets of 5-word shingles, which a
-SimHash only estimates. Distinct sets meet where they agree on one of 25 bands of 5
-minima, as all but 5 of 100,000 pairs at 0.8 do, and each pair met is verified by its two
-texts. First the members of a bucket are compared with one of them; of the other pairs,
-only those are that these links do not connect yet, so a cluster of near copies costs
-its rows, not their square.
+``keep_one`` is the same search as a filter: one row of each component stays.
 
 Defined results: null and blank texts have fingerprint 0 and link like any other; texts
 of fewer words than a shingle are one shingle; repeated rows are equal fingerprints;
@@ -40,25 +35,25 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.key_filter import marked
 from ..session import cut
 from .components import components
 
 SHINGLE = 4
 DISTANCE = 4  # the pigeonhole above holds for 4
 SEEDS = (42,)
-# What ``keep_one`` takes: words of a shingle, the similarity that links (4 of 5).
-STAGE_SHINGLE, STAGE_SIMILARITY = 5, (4, 5)
-STAGE_DISTANCE = 22  # differing bits of two fingerprints near that similarity; tests compare with it
-BANDS, MINIMA = 25, 5  # a pair at similarity s is missed by (1 - s ** MINIMA) ** BANDS
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # shift, width
 # Fingerprints with more than a part in so many of all rows do not meet their rows by shuffle.
 FREQUENT = 2000
 # Above so many distinct fingerprints the wide keys keep buckets short.
 WIDE_FROM = 1 << 30
 
+# Members of a bucket from which on pairs are not all compared.
+CROWD = 512
+
 # Fixed value: generator of the binary (23, 12) Golay code.
 GOLAY = 0b110001110101
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -177,8 +172,57 @@ def bucket_keys(prints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def crowd_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links in one large bucket.
+
+    A search from the middle of what is left: whoever is reached is no longer compared, so a
+    cluster of near copies costs little more than its rows. Distances to the middle are
+    worked out once; two rows whose distances to it differ by more than ``distance`` cannot
+    be close, which keeps clusters apart without comparing them.
+    """
+    links: list[tuple[int, int]] = []
+    left = np.arange(len(prints))
+    while len(left):
+        bits = np.unpackbits(np.ascontiguousarray(prints[left]).view(np.uint8), axis=1, bitorder="little")
+        middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left), bitorder="little").view(np.uint64)
+        hub = int(np.bitwise_count(prints[left] ^ middle).sum(axis=1, dtype=np.int64).argmin())
+        apart = np.bitwise_count(prints[left] ^ prints[left[hub]]).sum(axis=1, dtype=np.int64)
+        # by distance to the hub, so those that may be close to a row stand together
+        order = np.argsort(apart, kind="stable")
+        order = order[order != hub]
+        reached = [(0, np.array([left[hub]]))]
+        left, apart = left[order], apart[order]
+        while reached and len(left):
+            far, rows = reached.pop(0)
+            if len(rows) > 64:
+                reached.insert(0, (far, rows[64:]))
+                rows = rows[:64]
+            low, high = np.searchsorted(apart, [far - distance, far + distance + 1])
+            near = prints[left[low:high]]
+            close = np.bitwise_count(prints[rows][:, None, :] ^ near[None, :, :]).sum(axis=2, dtype=np.int64) <= distance
+            met = np.flatnonzero(close.any(axis=0))
+            if len(met):
+                links += zip(rows[close[:, met].argmax(axis=0)].tolist(), left[low + met].tolist())
+                for value in np.unique(apart[low + met]).tolist():
+                    reached.append((value, left[low + met][apart[low + met] == value]))
+                left, apart = np.delete(left, low + met), np.delete(apart, low + met)
+    return links
+
+
 def bucket_links(key: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarray:
     """Spanning forest of the links in each bucket; rows (one column a fingerprint) are sorted by key."""
+    _, starts, sizes = np.unique(key, return_index=True, return_counts=True)
+    found = [np.empty((0, 2), np.int64)]
+    for start, size in zip(starts[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist()):
+        inside = crowd_links(prints[start : start + size], distance)
+        found.append(np.array(inside, np.int64).reshape(-1, 2) + start)
+    few = np.flatnonzero(np.repeat(sizes <= CROWD, sizes))
+    found.append(few[_pair_links(key[few], prints[few], distance)])
+    return np.concatenate(found)
+
+
+def _pair_links(key: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarray:
+    """The same for small buckets, all at once: each row with the next, the second next, and so on."""
     label = np.arange(len(key))
     links = []
     at, lag = np.arange(len(key)), 0
@@ -288,129 +332,22 @@ def near_duplicates(
     )
 
 
-def shingle_set(text: bytes | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a whole text."""
-    found = (text or b"").translate(_LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    many = max(1, len(found) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(found[i : i + shingle])) for i in range(many)), np.uint64, many))
-
-
-@cache
-def _factors() -> np.ndarray:
-    return np.random.default_rng(42).integers(0, 1 << 64, (BANDS * MINIMA, 1), np.uint64) | np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of minima; none for an empty set."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * MINIMA, (1 << 64) - 1, np.uint64)
-    for start in range(0, len(hashes), 2048):
-        least = np.minimum(least, (hashes[start : start + 2048] * _factors()).min(axis=1))
-    digest = xxhash.xxh64_intdigest
-    keys = [digest(part.tobytes(), band) for band, part in enumerate(least.reshape(BANDS, MINIMA))]
-    return np.array(keys, np.uint64).view(np.int64)
-
-
-def alike(one: np.ndarray, two: np.ndarray) -> bool:
-    """Whether two sets reach the similarity, exactly."""
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    part, whole = STAGE_SIMILARITY
-    return whole * both >= part * (len(one) + len(two) - both)
-
-
-def shingle_sets(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """``doc_id, text_hash, set0, set1, many, bands`` for each row: 128 bits that stand for
-    the set of shingles, its size and its keys."""
-    source = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("_text"))
-    more = {"set0": F.lit(0).cast("bigint"), "set1": F.lit(0).cast("bigint"), "many": F.lit(0).cast("bigint")}
-    schema = source.drop("_text").withColumns({**more, "bands": F.array().cast("array<bigint>")}).schema
-    added = [*more, "bands"]  # columns themselves cannot travel
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("_text")]
-            names = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (0, 1)] for s in sets], np.uint64)
-            names = names.reshape(-1, 2).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(names[:, 0]), pa.array(names[:, 1])]
-            columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", *added])
-
-    return source.mapInArrow(run, schema)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """The rows ``a, b`` of ``pairs`` whose texts (``node, text``, one a node) are alike."""
-    ones = texts.select(F.col("node").alias("a"), F.col("text").alias("one"))
-    twos = texts.select(F.col("node").alias("b"), F.col("text").alias("two"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.empty(0, np.uint64)
-        for batch in batches:
-            keep = []
-            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("one"), batch.column("two")):
-                if a != last:
-                    last, held = a, shingle_set(one.as_py(), shingle)
-                keep.append(alike(held, shingle_set(two.as_py(), shingle)))
-            chosen = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(chosen.columns, names=["a", "b"])
-
-    return pairs.select("a", "b").join(twos, "b").join(ones, "a").select("a", "b", "one", "two").mapInArrow(run, "a bigint, b bigint")
-
-
-def keep_one(documents: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
-    """The rows of ``documents`` that stay: the smallest of each component, once."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    counted = shingle_sets(documents, shingle).groupBy("set0", "set1").agg(
-        first, F.first("many").alias("many"), F.first("bands").alias("bands")
-    )
-    # numbered once: the table is written with its numbers
-    distinct = cut(counted.withColumn("node", F.monotonically_increasing_id()))
-    keyed = distinct.select("node", "many", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(
-        F.min(F.struct("node", "many")).alias("hub"), F.count(F.lit(1)).alias("members")
-    ).where("members > 1").select("key", F.col("hub.node").alias("hub"), F.col("hub.many").alias("hub_many"))
-    held = cut(keyed.join(hubs, "key"))
-
-    part, whole = STAGE_SIMILARITY
-
-    def sizes_fit(one: str, two: str) -> Column:
-        """No other sizes can reach the similarity."""
-        return F.least(one, two) * whole >= F.greatest(one, two) * part
+def keep_one(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``documents`` that stay: the smallest of each component, once.
 
+    Rows are found again by id and text hash. A bitmap of those that go, or are repeated,
+    lets nearly all others pass at once; what it marks is joined, at every size by shuffle, and
+    repeated rows are combined before they move.
+    """
+    found = near_duplicates(documents, shingle, distance=distance)
+    counted = found.groupBy("doc_id", "text_hash").agg(F.max("keeper").alias("keeper"), F.count(F.lit(1)).alias("rows"))
+    others = counted.where("NOT keeper OR rows > 1")
+    others = cut(others.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("of"), "keeper", F.xxhash64("doc_id", "text_hash").alias("both")))
     packed = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash"))
-    asked = distinct.join(held.select("node").distinct(), "node").select(
-        "node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("of")
-    )
-    same = packed["row_id"].eqNullSafe(asked["id"]) & (packed["row_hash"] == asked["of"])
-    texts = cut(
-        packed.join(asked, same).select("node", F.col("row.text").cast("binary").alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    )
-    star = held.where((F.col("node") != F.col("hub")) & sizes_fit("many", "hub_many"))
-    near = cut(verified(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), texts, shingle))
-    # other pairs of a bucket, as far as the links to hubs leave them apart
-    rooted = held.join(components(near, "a", "b"), "node", "left").withColumn(
-        "root", F.coalesce("root", F.xxhash64("node"))
-    )
-    rooted = rooted.where(F.col("node") != F.col("hub")).select("key", "root", "node", "many")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rooted = cut(rooted.join(mixed.select("key"), "key"))
-    roots = rooted.select("key", "root").distinct()
-    apart = roots.join(roots.withColumnRenamed("root", "other"), "key").where("root < other")
-    sides = rooted.withColumnsRenamed({"root": "other", "node": "other_node", "many": "other_many"})
-    rest = apart.join(rooted, ["key", "root"]).join(sides, ["key", "other"]).where(sizes_fit("many", "other_many"))
-    rest = rest.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-    edges = cut(near.unionByName(verified(rest, texts, shingle)))
-
-    grouped = distinct.select("node", "first").join(components(edges, "a", "b"), "node", "left")
-    # a node without links is alone; its number and the hash of another cannot be mixed up
-    least = grouped.groupBy(F.col("root").isNull().alias("alone"), F.coalesce("root", "node").alias("group")).agg(
-        F.min("first").alias("least")
-    )
-    staying = least.select(F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("of"))
-    joined = packed.join(staying, packed["row_id"].eqNullSafe(staying["id"]) & (packed["row_hash"] == staying["of"]))
-    nth = F.row_number().over(Window.partitionBy("row_id", "row_hash").orderBy("row_hash"))
-    return joined.withColumn("nth", nth).where("nth = 1").select("row.*")
+    packed = marked(packed.withColumn("both", F.xxhash64("row_id", "row_hash")), others.select("both"), "both", others.count(), "listed").drop("both")
+    listed, keys = packed.where("listed"), others.hint("merge")
+    same = listed["row_id"].eqNullSafe(keys["id"]) & (listed["row_hash"] == keys["of"])
+    single = packed.where("NOT listed").select("row").unionByName(listed.join(keys, same, "left_anti").select("row"))
+    repeated = listed.join(keys.where("keeper"), same, "left_semi").groupBy("row_id", "row_hash")
+    once = repeated.agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return single.unionByName(once).select("row.*")

@@ -4,12 +4,13 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from inkmirror.llm import mixing, simhash
+from inkmirror.llm import language, mixing
 from test_decontaminate import windows
-from test_simhash import roots
+from test_simhash import fingerprint, roots
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -34,19 +35,20 @@ def test_columns_stay(stages):
 
 
 def test_language_stage(stages):
-    letterless = {r["doc_id"] for r in stages[0].collect() if not any(map(str.isalpha, r["text"] or ""))}
-    assert ids(stages[1]) == ids(stages[0]) - letterless
+    """Text by text: what stays has a main language."""
+    chain = language.fit(stages[0], F.lit(True))
+    rows = stages[0].collect()
+    judged = [chain.label([(r["text"] or "").encode()]) for r in rows]
+    want = {r["doc_id"] for r, (names, scores) in zip(rows, judged) if names[0] != "und" and scores[0] >= 0.5}
+    assert ids(stages[1]) == want and 0.95 * len(rows) < len(want)
+    assert not any(any(map(str.isalpha, r["text"] or "")) is False for r in stages[1].collect())
 
 
 def test_dedup_stage(stages):
-    """Against all pairs: whoever goes is linked to one that stays, nearly all links are met."""
-    rows = sorted((r["doc_id"], simhash.fingerprint((r["text"] or "").encode(), 5, (42, 43), True)) for r in stages[1].collect())
-    of = roots([one | two << 64 for _, (one, two) in rows], simhash.STAGE_DISTANCE)
-    keep = {rows[r][0] for r in of}
-    kept = ids(stages[2])
-    assert keep <= kept and len(kept - keep) <= 0.05 * len(rows)
-    texts = {r["doc_id"]: r["text"] for r in stages[1].collect()}
-    assert len({texts[i] for i in kept}) == len(kept)  # no exact copies
+    """Exactly the smallest id of each component of all pairs stays."""
+    rows = sorted((r["doc_id"], fingerprint(r["text"])) for r in stages[1].collect())
+    of = roots([f for _, f in rows])
+    assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted(rows[r][0] for r in set(of))
 
 
 def test_decontamination_stage(spark, stages):
