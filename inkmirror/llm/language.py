@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .training import Adam, in_slices, stretch
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15  # of each n-gram length and place
 LONGEST = 4
 LEXICON = 400  # frequent words of each language
-# Bound of the training sample: texts of a language (expected; twice that at most over
-# all), characters of a text, and languages.
-PER_LANGUAGE, CHARACTERS, LANGUAGES = 200, 8000, 256
+# Bounds of the training sample: texts of a language (expected), texts in all, characters
+# of a text. With many languages each has fewer texts, down to one.
+PER_LANGUAGE, TEXTS, CHARACTERS = 200, 10_000, 8000
+MAIN_SHARE = 0.5  # mean probability that makes a language a text's main one
 SEQUENCES, WORDS, BATCH, EPOCHS = 3000, 48, 64, 3
 
 
@@ -42,14 +44,17 @@ def training_texts(documents: DataFrame, learn: Column, per_language: int = PER_
     """A bounded sample of (text, lang): each language by the share of hashes it needs."""
     usable = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.where(F.col("lang") != UNKNOWN)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return []
+    counts = cut(usable.groupBy("lang").count())
+    languages = counts.count()
+    wanted = max(1, min(per_language, TEXTS // max(languages, 1)))
+    # of each language the rows whose draw is below the share it needs; those with the
+    # smallest draws if they are more than the bound
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], per_language / r["count"])])
+    shares = counts.select("lang", (F.lit(float(wanted)) / F.col("count")).alias("share"))
     learnt = stretch(F.col("text"), CHARACTERS, F.col("doc_id"), F.col("text")).alias("text")
-    sample = usable.where(draw < share[F.col("lang")]).select(learnt, "lang")
-    return sorted(tuple(r) for r in sample.limit(2 * per_language * len(counts)).collect())
+    drawn = usable.select("lang", draw.alias("draw"), learnt).join(shares, "lang").where("draw < share")
+    sample = drawn.orderBy(F.col("draw") / F.col("share"), "text").limit(min(TEXTS, 2 * wanted * languages))
+    return sorted((r["text"], r["lang"]) for r in sample.collect())
 
 
 def ngrams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +113,11 @@ class Chain:
 
     def marginals(self, emission: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Probability of each language at each word; sequences stand one after another."""
+        return self.expectations(emission, lengths)[0]
+
+    def expectations(self, emission: np.ndarray, lengths: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The marginals and, with ``pairs``, the expected number of each transition."""
+        moved = np.zeros_like(self.w["switch"], dtype=np.float64)
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
         starts = (np.cumsum(lengths[np.argsort(order)]) - lengths[np.argsort(order)])[order]
@@ -129,9 +139,38 @@ class Chain:
             at = starts[:n] + t
             both = forward[at] * back[:n]
             out[at] = both / both.sum(axis=1, keepdims=True)
-            state = (seen[at] * back[:n]) @ switch.T
+            onward = seen[at] * back[:n]
+            if pairs and t:
+                # what leads here, the step, and what goes on from here
+                pair = forward[at - 1][:, :, None] * switch * onward[:, None, :]
+                moved += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            state = onward @ switch.T
             back[:n] = state / state.sum(axis=1, keepdims=True)
-        return out
+        return out, moved
+
+    def gradient(self, features, codes: np.ndarray, lengths: np.ndarray, truth: np.ndarray) -> dict[str, np.ndarray]:
+        """Of minus the log-likelihood of the labels ``truth``, per word. ``features`` are those
+        of distinct words, ``codes`` which of them stands where."""
+        buckets, starts, entries, letters = features
+        many = len(self.languages)
+        marginal, moved = self.expectations(self.emissions(features)[codes], lengths, pairs=True)
+        error = np.zeros((len(letters), many), np.float32)
+        np.add.at(error, codes, (marginal - np.eye(many, dtype=np.float32)[truth]) * letters[codes][:, None])
+        error /= len(codes)
+        gram, word = np.zeros_like(self.w["gram"]), np.zeros_like(self.w["word"])
+        spread = np.repeat(error, np.diff(np.append(starts, len(buckets))), axis=0)
+        for n in range(LONGEST):
+            np.add.at(gram, buckets[:, n], spread)
+        gram[-1] = 0  # of places without an n-gram, and of words outside of the lexicon
+        np.add.at(word, entries, error)
+        word[-1] = 0
+        inner = np.ones(len(codes), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        at = np.flatnonzero(inner)
+        real = np.zeros_like(moved)
+        np.add.at(real, (truth[at], truth[at + 1]), 1)
+        switch = ((moved - real) / len(codes)).astype(np.float32)
+        return {"gram": gram, "word": word, "bias": error.sum(0), "switch": switch}
 
     def label(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         split = [t.decode("utf-8", "replace").split() for t in texts]
@@ -184,32 +223,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Chain:
                 size += len(part)
             lengths.append(size)
         codes, found = pd.factorize(np.array(words, object))
-        features = chain.features(list(found))
-        buckets, starts, entries, letters = features
-        emission = chain.emissions(features)[codes]
-        lengths, truth = np.array(lengths), np.array(truth)
-        marginal = chain.marginals(emission, lengths)
-        onehot = np.eye(len(languages), dtype=np.float32)[truth]
-        error = np.zeros((len(found), len(languages)), np.float32)
-        np.add.at(error, codes, (marginal - onehot) * letters[codes][:, None])
-        error /= len(words)
-        gram, word = np.zeros_like(chain.w["gram"]), np.zeros_like(chain.w["word"])
-        sizes = np.diff(np.append(starts, len(buckets)))
-        spread = np.repeat(error, sizes, axis=0)
-        for n in range(LONGEST):
-            np.add.at(gram, buckets[:, n], spread)
-        gram[-1] = 0
-        np.add.at(word, entries, error)
-        word[-1] = 0
-        inner = np.ones(len(words), bool)
-        inner[np.cumsum(lengths) - 1] = False
-        at = np.flatnonzero(inner)
-        # expected transitions, with both marginals of a pair joined by the learned switch
-        pair = marginal[at][:, :, None] * np.exp(chain.w["switch"]) * marginal[at + 1][:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        real = np.zeros_like(chain.w["switch"])
-        np.add.at(real, (truth[at], truth[at + 1]), 1)
-        adam.update({"gram": gram, "word": word, "bias": error.sum(0), "switch": (pair.sum(0) - real) / len(words)})
+        adam.update(chain.gradient(chain.features(list(found)), codes, np.array(lengths), np.array(truth)))
     return chain
 
 
@@ -237,7 +251,12 @@ def fit(documents: DataFrame, learn: Column) -> Chain:
     return train(training_texts(documents, learn))
 
 
-def keep_known(documents: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of ``documents`` whose text has a language, in any column order."""
+def keep_known(documents: DataFrame, chain: Chain, at_least: float = MAIN_SHARE, wanted: list[str] | None = None) -> DataFrame:
+    """The rows of ``documents`` whose text has a main language, in any column order: the
+    words' mean probability reaches ``at_least``, and it is one of ``wanted`` if given. Texts
+    in no language and those that are switched so much that none has that share go."""
     labelled = identify(documents, chain, {"row": F.struct("*")})
-    return labelled.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= at_least)
+    if wanted is not None:
+        known = known & F.col("lang_pred").isin(wanted)
+    return labelled.where(known).select("row.*")

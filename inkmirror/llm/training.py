@@ -22,7 +22,8 @@ def labelled_sample(
     """At most ``per_class`` rows of each class, as (text, class), the same on every run.
 
     ``learn`` says on ``doc_id`` which rows may be learnt from. The rows with the
-    smallest hashes are taken, of a text beyond ``characters`` a stretch.
+    smallest hashes are taken, of an id with several texts the one with the smallest
+    hash, of a text beyond ``characters`` a stretch.
     What reaches the driver is bounded by 2 * per_class * characters.
     """
     usable = labels.where(F.col(label).isin(0, 1) & learn).select("doc_id", F.col(label).alias("_label"))
@@ -34,7 +35,9 @@ def labelled_sample(
     picked = parts[0].unionByName(parts[1])
     # at most 2 * per_class ids
     learnt = stretch(F.col("text"), characters, F.col("doc_id"), F.col("text")).cast("binary").alias("t")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", learnt, "_label")
+    # one text of an id, however many rows it has
+    each = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = each.select("doc_id", learnt, "_label")
     found = {(r["doc_id"], r["t"]): r["_label"] for r in rows.collect()}
     return [(bytes(text), label) for (_, text), label in sorted(found.items())]
 

@@ -145,6 +145,75 @@ def test_marginals_against_all_paths():
         at += n
 
 
+def test_gradient_against_finite_differences():
+    """Of every kind of weight, with the likelihood taken over all paths."""
+    draw = np.random.default_rng(4)
+    chain = language.Chain(["a", "b", "c"], ["ab", "ba"])
+    for name in chain.w:
+        chain.w[name] = draw.normal(size=chain.w[name].shape)
+    chain.w["gram"][-1] = chain.w["word"][-1] = 0
+    words, lengths = ["ab", "c", "12", "ba", "ab", "x", "cab"], np.array([4, 1, 2])
+    truth = np.array([0, 0, 1, 2, 1, 2, 2])
+    found = sorted(set(words))
+    codes = np.array([found.index(w) for w in words])
+
+    def loss():
+        emission = chain.emissions(chain.features(found))[codes].astype(np.float64)
+        total, at = 0.0, 0
+        for n in lengths.tolist():
+            def of(path):
+                score = sum(emission[at + t, s] for t, s in enumerate(path))
+                return score + sum(chain.w["switch"][a, b] for a, b in zip(path, path[1:]))
+
+            every = [of(path) for path in product(range(3), repeat=n)]
+            total += np.log(np.sum(np.exp(every))) - of(truth[at : at + n].tolist())
+            at += n
+        return total / len(words)
+
+    gradient = chain.gradient(chain.features(found), codes, lengths, truth)
+    buckets = np.unique(chain.features(found)[0])
+    places = [("gram", (b, s)) for b in buckets[:-1][::3] for s in range(3)]
+    places += [(name, at) for name in ("word", "switch") for at in product(range(2 if name == "word" else 3), range(3))]
+    places += [("bias", (s,)) for s in range(3)]
+    for name, at in places:
+        before, values = chain.w[name][at], []
+        for step in (1e-2, -1e-2):
+            chain.w[name][at] = before + step
+            values.append(loss())
+        chain.w[name][at] = before
+        assert abs((values[0] - values[1]) / 2e-2 - gradient[name][at]) < 2e-3, (name, at)
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "TEXTS", 60)
+    rows = [(i, f"text {i} of many", f"l{i % 30}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    taken = language.training_texts(docs, F.lit(True))
+    assert len(taken) <= 60 and len({lang for _, lang in taken}) > 20
+    assert taken == language.training_texts(docs.repartition(7), F.lit(True))
+
+
+def test_one_text_of_an_id(spark):
+    """An id with very many texts reaches the driver once."""
+    docs = spark.range(5000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")
+    assert len(training.labelled_sample(docs, labels, "toxic", F.lit(True), 10, 100)) == 1
+
+
+def test_switched_texts_have_no_main_language(spark):
+    """Texts in one language and with some foreign words stay; those that alternate evenly
+    between three, and those in an unwanted one, go."""
+    french = "le chien et la maison sont dans une petite rue avec beaucoup de grands arbres".split()
+    by = {"en": ENGLISH, "de": GERMAN, "fr": french}
+    chain = language.train([(prose(w, 80, s), lang) for lang, w in by.items() for s in range(40)])
+    thirds = " ".join(prose(w, 12, s) for s in range(6) for w in by.values())
+    mostly = prose(ENGLISH, 70, 1) + " " + prose(GERMAN, 20, 2)
+    rows = [(1, prose(ENGLISH, 60, 7)), (2, mostly), (3, thirds), (4, prose(GERMAN, 60, 3)), (5, "123"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in language.keep_known(docs, chain).collect()} == {1, 2, 4}
+    assert {r["doc_id"] for r in language.keep_known(docs, chain, wanted=["en"]).collect()} == {1, 2}
+
+
 def test_languages_are_told_apart():
     chain = mixed_sequences()
     names, scores = chain.label([prose(ENGLISH, 30, 99).encode(), prose(GERMAN, 30, 98).encode(), b"12 !!", b"", "Straße".encode()])

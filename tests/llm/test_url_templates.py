@@ -1,7 +1,12 @@
 """URL verdicts: parts and rules by hand, templates on a small site."""
 
+import random
+import re
+from collections import Counter, defaultdict
 from urllib.parse import quote
 
+import pytest
+
 from inkmirror.llm import url_templates
 
 RULES = ["com/", "example.com/en/", "www.example.com/en/", "net/es/", "net/fr/"]
@@ -77,5 +82,138 @@ def test_rare_children_become_a_wildcard(spark):
     assert templates == {"/item/*/"}
 
 
+def shape(segment):
+    ending = (re.search(r"(\.[A-Za-z]{1,5})$", segment) or [""])[0]
+    name = segment[: len(segment) - len(ending)]
+    if re.fullmatch("[0-9]+", name):
+        return "{n}" + ending
+    if re.fullmatch("[0-9a-fA-F-]{8,}", name):
+        return "{x}" + ending
+    return "{c}" + ending if re.search("[0-9]", name) else segment
+
+
+def tree(addresses):
+    """``{(host, path): template}`` of ``{(host, path): (n, blocked, allowed)}``, segment by segment."""
+    done = {}
+    here = {key: ("", [shape(s) for s in key[1].split("/")[1:]]) for key in addresses}
+    while here:
+        groups = defaultdict(list)
+        for key, (prefix, rest) in here.items():
+            if rest:
+                groups[(key[0], prefix)].append(key)
+            else:
+                done[key] = prefix
+        after = {}
+        for (host, prefix), keys in groups.items():
+            ended = sum(1 for k in done if k[0] == host and done[k] == prefix)
+            parts, kinds, node = defaultdict(Counter), Counter(), Counter()
+            labels = defaultdict(Counter)
+            for key in keys:
+                part, *onward = here[key][1]
+                kind = onward[0] if onward and onward[0].startswith("{") else "word" if onward and onward[0] else ""
+                n, blocked, allowed = addresses[key]
+                parts[part][kind] += n
+                kinds[kind] += n
+                for counts in (labels[part], node):
+                    counts.update(n=n, blocked=blocked, allowed=allowed, none=n - blocked - allowed)
+            single = len(parts) == 1 and not ended
+            wild = len(parts) >= 8 and len(parts) >= 0.3 * node["n"]
+            for key in keys:
+                part = here[key][1][0]
+                n, share = labels[part]["n"], labels[part]["n"] / node["n"]
+                statistic = node["n"] * sum(c * c / kinds[k] for k, c in parts[part].items()) / n - n
+                for label in ("blocked", "allowed", "none"):
+                    expected = node[label] * share
+                    statistic += (labels[part][label] - expected) ** 2 / expected if expected > 0 else 0.0
+                alike = statistic <= len(kinds) + 1 and len(parts) > 1
+                step = part if part.startswith("{") or single else "*" if wild else "~" if alike else part
+                after[key] = (prefix + "/" + step, here[key][1][1:])
+        here = after
+    return done
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_templates_against_a_walk_by_segments(spark, seed):
+    draw = random.Random(seed)
+    addresses = {}
+    for _ in range(400):
+        host = draw.choice(["a.com", "b.com", "c.org"])
+        deep = draw.choice([1, 2, 3, 4, 7, 12])
+        parts = [draw.choice(["en", "de", f"w{chr(97 + draw.randrange(20))}", "item", str(draw.randrange(99)), f"p{draw.randrange(9)}.html", ""]) for _ in range(deep)]
+        if draw.random() < 0.4:
+            parts = ["same", "long", "way", "down", "to", *parts]
+        n = draw.randint(1, 3)
+        label = draw.choice(["blocked", "allowed", ""])
+        addresses[(host, "".join("/" + p for p in parts))] = (n, n * (label == "blocked"), n * (label == "allowed"))
+    addresses[("a.com", "")] = (2, 0, 0)
+    frame = spark.createDataFrame([(*k, *v) for k, v in addresses.items()], "host string, path string, n bigint, blocked bigint, allowed bigint")
+    got = {(r["host"], r["path"]): r["template"] for r in url_templates.path_templates(frame).collect()}
+    assert got == tree(addresses)
+
+
+def smooth(rows, weights, prior):
+    """Purity of each (host, template) from counts, with the weights of the four steps."""
+    def share(key, of, weight, towards):
+        b, l = (sum(r[i] for k, r in rows.items() if of(*k) == key) for i in (0, 1))
+        return (b + weight * towards) / (l + weight)
+
+    domain = lambda host: ".".join(host.split(".")[-2:])
+    up = lambda t: t.rpartition("/")[0]
+    out = {}
+    for host, t in rows:
+        p = share(t, lambda h, x: x, weights[3], prior)
+        p = share((domain(host), t), lambda h, x: (domain(h), x), weights[2], p)
+        p = share((host, up(t)), lambda h, x: (h, up(x)), weights[1], p)
+        out[(host, t)] = share((host, t), lambda h, x: (h, x), weights[0], p)
+    return out
+
+
+def test_purities_are_those_of_some_weights(spark):
+    """The smoothing by hand, for the weights that the result was made with."""
+    draw = random.Random(6)
+    rows = {}
+    for host in ("a.x.com", "b.x.com", "y.com", "z.net", "w.z.net"):
+        for t in ("/en/{n}", "/de/{n}", "/fr/a/{n}", "/fr/a/b", ""):
+            labelled = draw.choice([0, 0, 1, 5, 30])
+            rows[(host, t)] = (sum(draw.random() < (0.9 if t.startswith("/en") else 0.2) for _ in range(labelled)), labelled)
+    table = [(h, t.replace("{n}", str(i)), t, 1, int(i < b), int(b <= i < l)) for (h, t), (b, l) in rows.items() for i in range(l + 1)]
+    frame = spark.createDataFrame(table, "host string, path string, template string, n bigint, blocked bigint, allowed bigint")
+    got = {(r["host"], r["template"]): r["purity"] for r in url_templates.purities(frame).collect()}
+    prior = sum(b for b, _ in rows.values()) / sum(l for _, l in rows.values())
+    choices = url_templates.WEIGHTS
+    fits = [
+        (w0, w1, w2, w3) for w3 in choices for w2 in choices for w1 in choices for w0 in choices
+        if all(got[k] is None or abs(v - got[k]) < 1e-9 for k, v in smooth(dict(list(rows.items())), (w0, w1, w2, w3), prior).items())
+    ]
+    assert fits
+    nowhere = {t for t in {t for _, t in rows} if not any(l for (_, own), (_, l) in rows.items() if own == t)}
+    assert {k for k, v in got.items() if v is None} == {k for k in rows if k[1] in nowhere}
+
+
+def test_what_is_nearest_decides(spark):
+    """Without labels of their own: templates of a site that is blocked elsewhere, of one that is
+    allowed, and of a language that is blocked on the domain's other hosts."""
+    urls = [f"http://h{h}.bad.com/{lang}/{i}" for h in range(6) for lang in ("en", "de", "fr") for i in range(12)]
+    urls += [f"http://h{h}.good.com/{lang}/{i}" for h in range(6) for lang in ("en", "de", "fr") for i in range(12)]
+    urls += [f"http://new.{site}.com/en/{i}" for site in ("bad", "good") for i in range(5)]
+    rules = [("block", f"h{h}.bad.com/") for h in range(6)] + [("allow", f"h{h}.good.com/") for h in range(6)]
+    rules = rules[1:]  # h0.bad.com is open, too
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {urls[r["page_id"]]: r for r in url_templates.judge(frame, rules).collect()}
+    assert {got[f"http://new.bad.com/en/{i}"]["verdict"] for i in range(5)} == {"block"} == {got["http://h0.bad.com/de/3"]["verdict"]}
+    assert {got[f"http://new.good.com/en/{i}"]["verdict"] for i in range(5)} == {"allow"}
+    assert got["http://new.bad.com/en/1"]["nearest"] == "domain"
+
+
+def test_deep_paths_and_repeated_rows(spark):
+    """Paths that share very many segments are told apart at the end; repeated rows agree."""
+    long = "http://d.org/" + "s/" * 300
+    urls = [long + "a/1", long + "b/2", long + "b/2", long + "b/x/y", long, "http://d.org"] * 3
+    got = judged(spark, urls)
+    assert len(got) == len(urls)
+    templates = [{got[i]["template"] for i in range(len(urls)) if urls[i] == u} for u in dict.fromkeys(urls)]
+    assert all(len(t) == 1 for t in templates) and len({next(iter(t)) for t in templates}) >= 4
+
+
 def test_no_pages(spark):
     assert url_templates.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
