@@ -48,8 +48,11 @@ def claim_paths(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     evicted: list[DataFrame] = []
     clashes: list[DataFrame] = []
 
-    def standing() -> DataFrame:
+    def standing(of: DataFrame | None = None) -> DataFrame:
+        """Holders, of all paths or of those in ``of``, which are few: only these are looked up."""
         held = reduce(DataFrame.unionByName, won)
+        if of is not None:
+            held = held.join(of, "path", "left_semi")
         return held.join(reduce(DataFrame.unionByName, evicted), ["seq", "level"], "left_anti") if evicted else held
 
     while True:
@@ -58,8 +61,7 @@ def claim_paths(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
         offers = offers.withColumn("path", document_path(F.col("parent"), F.col("name"))).withColumn("held", F.lit(False))
         contenders = offers
         if won:
-            met = standing().join(offers.select("path").distinct(), "path", "left_semi")
-            contenders = offers.unionByName(met.withColumn("held", F.lit(True)))
+            contenders = offers.unionByName(standing(offers.select("path").distinct()).withColumn("held", F.lit(True)))
         earliest = contenders.groupBy("path").agg(F.min("seq").alias("seq"))
         if taken is not None:
             earliest = earliest.join(taken.select("path"), "path", "left_anti")
