@@ -1,0 +1,63 @@
+"""Documents that share a window with an item: none that holds one is left out."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from inkmirror.llm import decontaminate
+
+NAMES = ["Anna", "Otto Berg", "New York", "Paris", "Li"]
+
+
+def text_of(draw, many):
+    words = "the a farm walks to from with red green house gives apples pears before after town and 3 12 4.5 km kg %".split()
+    return " ".join(draw.choice(NAMES) if draw.random() < 0.1 else draw.choice(words) for _ in range(many))
+
+
+def changed(draw, text):
+    """Another name, number or unit here and there, punctuation, upper or lower case, white space."""
+    out = []
+    for word in text.split():
+        if draw.random() < 0.1:
+            word = draw.choice(["Egon", "7", "cm", "really", word + ",", word.upper(), word.lower()])
+        out.append(word)
+    return draw.choice([" ", "  ", "\n"]).join(out)
+
+
+def test_whatever_is_found_among_all_texts_is_found_among_the_suspects(spark, monkeypatch):
+    draw = random.Random(11)
+    items = [(i, text_of(draw, draw.choice([1, 3, 5, 9, 25, 40]))) for i in range(40)]
+    rows = [(i, text_of(draw, draw.randint(0, 30)) + " " + changed(draw, draw.choice(items)[1]) + " " + text_of(draw, draw.randint(0, 30))) for i in range(150)]
+    rows += [(200, ""), (201, None), (202, " \n"), (203, "<num> <unit> <name>"), (204, items[0][1]), (204, items[0][1]), (None, items[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items + [(99, None), (98, "")], "item_id bigint, text string")
+    got = sorted(map(repr, decontaminate.contaminated(docs, bench).collect()))
+    everyone = lambda documents, items, window=5: documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    monkeypatch.setattr(decontaminate, "suspects", everyone)
+    want = sorted(map(repr, decontaminate.contaminated(docs, bench).collect()))
+    assert got == want and len(want) > 50
+
+
+def test_recall_of_changed_questions(spark):
+    """200 questions with other names, numbers and units inside of other text, and 200 texts of the same words."""
+    draw, planted, rows = random.Random(12), set(), []
+    words = "walks gives takes finds sells buys apples pears coins boxes then before after towards under between while because".split()
+
+    def question(name, number, unit, frame):
+        return " ".join(w if w not in "NUM NAME UNIT".split() else {"NUM": number, "NAME": name, "UNIT": unit}[w] for w in frame)
+
+    items = []
+    for i in range(200):
+        frame = draw.choices(words, k=draw.randint(16, 50))
+        for slot in ("NAME", "NUM", "NAME"):
+            frame.insert(draw.randrange(2, len(frame)), slot)
+        at = frame.index("NUM")
+        frame.insert(at + 1, "UNIT")
+        items.append((i, question("Anna", "12", "km", frame)))
+        noise = [" ".join(draw.choices(words, k=30)) for _ in range(2)]
+        rows.append((i, f"{noise[0]} {question('Otto', str(draw.randint(13, 99)), 'kg', frame)} {noise[1]}"))
+        planted.add((i, i))
+        rows.append((1000 + i, " ".join(draw.sample(frame, len(frame)))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(planted & found) >= 0.97 * len(planted) and len({d for d, _ in found if d >= 1000}) == 0
