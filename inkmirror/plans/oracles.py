@@ -719,3 +719,6 @@ ORACLES: dict[str, str] = {
     + """SELECT media_id, CASE WHEN update_time IS NOT NULL THEN url || '?export=1' END AS export_url,
                 coalesce(CASE WHEN update_time IS NOT NULL THEN url || '?export=1' END, url) AS best_url FROM fx_media""",
 }
+
+# cleaning a text and embedding its images do not touch each other's places
+ORACLES["note_images"] = f"SELECT doc_id, downloaded, failed, {clean('content')} AS body FROM ({ORACLES['image_rewrite']}) r"

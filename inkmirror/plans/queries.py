@@ -542,6 +542,15 @@ def note_bodies(load):
     return localized.select("doc_id", F.col("content").alias("body"), "downloaded", "failed")
 
 
+@query
+def note_images(load):
+    """Notes that show images: converted, then their images localised."""
+    converted = bodies.convert_bodies(load("fx_images"), "content")
+    docs = converted.select("doc_id", F.col("body").alias("content"), F.lit("att").alias("image_dir"))
+    localized, _ = images.localize(docs, load("fx_image_blobs"))
+    return localized.select("doc_id", F.col("content").alias("body"), "downloaded", "failed")
+
+
 @query
 def article_route(load):
     """Main block, its length and the degraded body of each fetched page."""

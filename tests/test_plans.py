@@ -11,7 +11,7 @@ from inkmirror.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 # queries that need the HTML kernel or URL arithmetic
-PYTHON = {"note_bodies", "article_route", "html_to_markdown", "notes_sync", "run_report", "run_results", "run_index", "run_documents", "run_attachments", "run_originals", "run_twice", "run_from_pages", "run_failed_listing", "run_blocked_folder", "run_new_texts"}
+PYTHON = {"note_bodies", "note_images", "article_route", "html_to_markdown", "notes_sync", "run_report", "run_results", "run_index", "run_documents", "run_attachments", "run_originals", "run_twice", "run_from_pages", "run_failed_listing", "run_blocked_folder", "run_new_texts"}
 # these start runs or streams while they are built
 EAGER = {"run_report", "run_results", "run_index", "run_documents", "run_attachments", "run_originals", "run_twice", "run_from_pages", "run_failed_listing", "run_blocked_folder", "run_new_texts", "stream_requests", "stream_seeded_state", "file_sink", "vault_after_crash", "stream_used_store", "stream_quota_resume", "stream_state", "stream_fold", "index_clear", "notes_sync"}
 
