@@ -55,3 +55,12 @@ def clamp_schedule(value: float, unit: str) -> tuple[float, bool]:
 
 def schedule_ms(value: float, unit: str) -> int:
     return max(1, int(value // 1)) * UNIT_MS[unit]
+
+
+def schedule_interval(value: Column | str, unit: Column | str) -> tuple[Column, Column]:
+    """Milliseconds between two runs of a schedule, and whether its value was raised to the minimum."""
+    wanted, named = as_col(value), as_col(unit)
+    clamped = (named == "minutes") & (wanted < MIN_SCHEDULE_MINUTES)
+    whole = F.greatest(F.floor(F.when(clamped, MIN_SCHEDULE_MINUTES).otherwise(wanted)), F.lit(1))
+    per_unit = F.create_map(*[F.lit(x) for pair in UNIT_MS.items() for x in pair])
+    return (whole * per_unit[named]).cast("bigint"), clamped

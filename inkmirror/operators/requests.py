@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import over_quota, parsed_body, request_outcome, retryable_status
-from ..functions.times import BACKOFF_BASE_MS, BACKOFF_CAP_MS, DEFAULT_QPS, MAX_RETRIES, retry_delay_ms
+from ..functions.times import BACKOFF_BASE_MS, BACKOFF_CAP_MS, DEFAULT_QPS, MAX_RETRIES, retry_delay_ms, schedule_interval
 
 
 def classify(attempts: DataFrame) -> DataFrame:
@@ -77,3 +77,14 @@ def pacing(requests: DataFrame, client: str, time: str, qps: float = DEFAULT_QPS
     return linked.groupBy("client").agg(
         F.sum("n").alias("requests"), F.sum(F.col("n") - 1 + first_close).alias("too_close")
     )
+
+
+def due_runs(activity: DataFrame, client: str, time: str, value: Column, unit: Column) -> DataFrame:
+    """``client, interval_ms, clamped, due``: runs that each client's schedule starts from its
+    first activity to its last, the first one interval after the start. Combined minima and
+    maxima per client; the settings are expressions on the client."""
+    spans = activity.select(F.col(client).alias("client"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
+    spans = spans.groupBy("client").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    interval, clamped = schedule_interval(value, unit)
+    timed = spans.select("client", interval.alias("interval_ms"), clamped.alias("clamped"), (F.col("last_at") - F.col("first_at")).alias("span"))
+    return timed.select("client", "interval_ms", "clamped", F.expr("span div (interval_ms * 1000)").alias("due"))

@@ -468,6 +468,12 @@ ORACLES: dict[str, str] = {
             count(*) FILTER (epoch_us(ts) - before < 1000000000) AS too_close
         FROM (SELECT user_id, ts, epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS before FROM events) e
         GROUP BY user_id""",
+    "schedule_due": """WITH spans AS (SELECT user_id AS client, max(epoch_us(ts)) - min(epoch_us(ts)) AS span FROM events GROUP BY user_id),
+        settings AS (SELECT *, (client % 17) / 2.0 AS v, client % 3 AS u FROM spans),
+        timed AS (SELECT *, u = 0 AND v < 5 AS clamped,
+            CAST(CASE u WHEN 0 THEN CASE WHEN v < 5 THEN 5 ELSE floor(v) END * 60000 WHEN 1 THEN greatest(floor(v), 1) * 3600000
+                 ELSE greatest(floor(v), 1) * 86400000 END AS BIGINT) AS interval_ms FROM settings)
+        SELECT client, interval_ms, clamped, CAST(span // (interval_ms * 1000) AS BIGINT) AS due FROM timed""",
     "tree_paths": with_("fx_tree fx_kb", placed("true"), recursive=True)
     + """SELECT media_id, parent_path, CAST(depth AS INT) AS depth, row_number() OVER (ORDER BY k) - 1 AS seq FROM placed""",
     "folder_set": with_(

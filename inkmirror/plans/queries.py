@@ -273,6 +273,13 @@ def pacing_audit(load):
     return requests.pacing(load("events"), "user_id", "ts", qps=0.001)
 
 
+@query
+def schedule_due(load):
+    """Runs that each user's schedule would have started over the time of their events."""
+    unit = F.element_at(F.array(F.lit("minutes"), F.lit("hours"), F.lit("days")), (F.col("client") % 3 + 1).cast("int"))
+    return requests.due_runs(load("events"), "user_id", "ts", (F.col("client") % 17) / 2, unit)
+
+
 # ---- tree, folders, routes and names ------------------------------------------------
 
 

@@ -70,6 +70,15 @@ def test_times(evaluate):
     assert evaluate(times.retry_delay_ms("a"), "a INT", [1, 2, 3, 4, 5]) == [1000, 2000, 4000, 8000, 8000]
 
 
+def test_schedule_interval(evaluate):
+    """The column form agrees with the form for one setting."""
+    rows = [(v, u) for v in (0.0, 0.5, 1.9, 4.9, 5.0, 7.5, 30.0) for u in times.UNIT_MS]
+    ms, clamped = times.schedule_interval("v", "u")
+    want = [times.clamp_schedule(v, u) for v, u in rows]
+    assert evaluate(ms, "v DOUBLE, u STRING", rows) == [times.schedule_ms(c, u) for (c, _), (_, u) in zip(want, rows)]
+    assert evaluate(clamped, "v DOUBLE, u STRING", rows) == [raised for _, raised in want]
+
+
 def test_schedule():
     assert times.schedule_ms(1, "minutes") == 60_000
     assert times.schedule_ms(1.9, "hours") == 3_600_000
