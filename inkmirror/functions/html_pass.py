@@ -202,34 +202,21 @@ def main_block(page: PageTokens) -> tuple[str, int, int]:
 
 # ---- Markdown ---------------------------------------------------------------
 
-# The escapes that CommonMark asks for where plain text would be read as
-# markup (https://spec.commonmark.org, backslash escapes), as common converters apply them.
-ESCAPES = [
-    (re.compile(r"\\"), r"\\\\"),
-    (re.compile(r"\*"), r"\\*"),
-    (re.compile(r"^-"), r"\\-"),
-    (re.compile(r"^\+ "), r"\\+ "),
-    (re.compile(r"^(=+)"), r"\\\1"),
-    (re.compile(r"^(#{1,6}) "), r"\\\1 "),
-    (re.compile(r"`"), r"\\`"),
-    (re.compile(r"^~~~"), r"\\~~~"),
-    (re.compile(r"\["), r"\\["),
-    (re.compile(r"\]"), r"\\]"),
-    (re.compile(r"^>"), r"\\>"),
-    (re.compile(r"_"), r"\\_"),
-    (re.compile(r"^(\d+)\. "), r"\1\\. "),
-]
-
-
-MAY_NEED_ESCAPE = re.compile(r"[\\*`\[\]_]|^[-+=#~>\d]")
+# By the CommonMark specification a backslash keeps a character from opening inline markup
+# anywhere, and at the start of a line what would open a block: a list, a quote, a heading (also by
+# a line of signs below it), a fence.
+INLINE_MARKUP = re.compile(r"[\\`*_\[\]]")
+BLOCK_OPENER = re.compile(r"[->=]|~~~|\+(?= )|#{1,6}(?= )|(?P<number>\d+)(?=\. )")
 
 
 def _escaped(text: str) -> str:
-    if not MAY_NEED_ESCAPE.search(text):
+    text = INLINE_MARKUP.sub(lambda mark: "\\" + mark[0], text)
+    opener = BLOCK_OPENER.match(text)
+    if opener is None:
         return text
-    for pattern, replacement in ESCAPES:
-        text = pattern.sub(replacement, text)
-    return text
+    # the point of a list number is escaped, else the first character
+    at = opener.end() if opener["number"] else 0
+    return text[:at] + "\\" + text[at:]
 
 
 def _wrapped(tag: str, attrs: dict, inner: str) -> str:
