@@ -77,7 +77,8 @@ FX: dict[str, str] = {
                     WHEN 'signup' THEN '{{"code":200005,"msg":"late"}}' ELSE NULL END AS payload, ts
         FROM {events}""",
     "fx_notes": """
-        SELECT concat('',d.doc_id) AS docid, substring(d.text,1,40) AS title, concat('',m.s*1000) AS modify_time,
+        SELECT concat('',d.doc_id) AS docid,
+               CASE WHEN d.text='' THEN '' ELSE concat(d.source,' "',d.lang,'" ',d.n_chars%1000) END AS title, concat('',m.s*1000) AS modify_time,
                d.source AS folder_name, d.text AS content
         FROM {documents} d
         JOIN (SELECT user_id, EPOCH(max(ts)) AS s FROM {events} GROUP BY user_id) m ON m.user_id=d.doc_id%15""",
