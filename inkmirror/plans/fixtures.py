@@ -113,15 +113,15 @@ FX: dict[str, str] = {
         FROM {pages}""",
     "fx_images": """
         SELECT concat('wiki_',doc_id%3,'_',doc_id) AS doc_id,
-               concat('![a',doc_id,'](https://img.example.com/',doc_id%50,'.jpg) x ![](https://img.example.com/',
-                      doc_id%50,'.jpg) ![b](/rel/',doc_id%7,
+               concat('![a',doc_id,'](https://img.example.com/',CAST(floor(doc_id/3) AS BIGINT),'.jpg) x ![](https://img.example.com/',
+                      CAST(floor(doc_id/3) AS BIGINT),'.jpg) ![b](/rel/',doc_id%7,
                       '.gif?v=1) <img class="z" src="data:image/png;base64,aGk="> <img src="https://img.example.com/',
-                      (doc_id+1)%50,'">', chr(10), text) AS content
+                      CAST(floor((doc_id+1)/3) AS BIGINT),'">', chr(10), text) AS content
         FROM {documents}""",
     "fx_image_blobs": """
         SELECT concat('https://img.example.com/',i,CASE WHEN i%2=0 THEN '.jpg' ELSE '' END) AS url,
                CASE WHEN i%4=0 THEN 'image/webp' ELSE '' END AS content_type
-        FROM (SELECT DISTINCT doc_id%50 AS i FROM {documents}) q WHERE i%5<>0""",
+        FROM (SELECT DISTINCT CAST(floor(doc_id/3) AS BIGINT) AS i FROM {documents}) q WHERE i%5<>0""",
     "fx_docs_md": """
         SELECT concat('',doc_id) AS doc_id,
                CASE doc_id%4

@@ -621,20 +621,20 @@ ORACLES: dict[str, str] = {
         "fx_images fx_image_blobs",
         IMAGES,
         "numbered AS (SELECT *, CAST(split_part(doc_id, '_', 3) AS BIGINT) AS n FROM fx_images)",
-        f"""named AS (SELECT i.*, {stored_name("'https://img.example.com/' || (n % 50) || '.jpg'")} AS first_file,
+        f"""named AS (SELECT i.*, {stored_name("'https://img.example.com/' || (n // 3) || '.jpg'")} AS first_file,
                 {stored_name("'data:image/png;base64,aGk='")} AS data_file,
-                {stored_name("'https://img.example.com/' || ((n + 1) % 50)")} AS last_file FROM numbered i)""",
+                {stored_name("'https://img.example.com/' || ((n + 1) // 3)")} AS last_file FROM numbered i)""",
         "counts AS (SELECT doc_id, count(*) FILTER (ok) AS downloaded, count(*) FILTER (NOT ok) AS failed FROM resolved_refs GROUP BY doc_id)",
     )
     + """SELECT doc_id, CAST(downloaded AS INT) AS downloaded, CAST(failed AS INT) AS failed,
                 replace(replace(replace(replace(content,
-                    '![a' || n || '](https://img.example.com/' || (n % 50) || '.jpg)',
-                    coalesce('![[' || first_file || '|a' || n || ']]', '![a' || n || '](https://img.example.com/' || (n % 50) || '.jpg)')),
-                    '![](https://img.example.com/' || (n % 50) || '.jpg)',
-                    coalesce('![[' || first_file || ']]', '![](https://img.example.com/' || (n % 50) || '.jpg)')),
+                    '![a' || n || '](https://img.example.com/' || (n // 3) || '.jpg)',
+                    coalesce('![[' || first_file || '|a' || n || ']]', '![a' || n || '](https://img.example.com/' || (n // 3) || '.jpg)')),
+                    '![](https://img.example.com/' || (n // 3) || '.jpg)',
+                    coalesce('![[' || first_file || ']]', '![](https://img.example.com/' || (n // 3) || '.jpg)')),
                     '<img class="z" src="data:image/png;base64,aGk=">', '![[' || data_file || ']]'),
-                    '<img src="https://img.example.com/' || ((n + 1) % 50) || '">',
-                    coalesce('![[' || last_file || ']]', '<img src="https://img.example.com/' || ((n + 1) % 50) || '">')) AS content
+                    '<img src="https://img.example.com/' || ((n + 1) // 3) || '">',
+                    coalesce('![[' || last_file || ']]', '<img src="https://img.example.com/' || ((n + 1) // 3) || '">')) AS content
          FROM named JOIN counts USING (doc_id)""",
     "data_uris": """SELECT doc_id, lang <> 'fr' AS ok,
             CASE WHEN lang <> 'fr' THEN CASE WHEN source = 'src1' THEN 'svg' ELSE 'jpg' END END AS ext,
