@@ -36,7 +36,7 @@ LEXICON = 400  # frequent words of each language
 # Bounds of the training sample: texts of a language (expected), texts in all, characters
 # of a text. With many languages each has fewer texts, down to one.
 PER_LANGUAGE, TEXTS, CHARACTERS = 200, 10_000, 8000
-MAIN_SHARE = 0.5  # mean probability that makes a language a text's main one
+MAIN_SHARE = 0.4  # mean probability that makes a language a text's main one
 SEQUENCES, WORDS, BATCH, EPOCHS = 3000, 48, 64, 3
 
 
