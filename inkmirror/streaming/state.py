@@ -1,82 +1,60 @@
-"""The newest entry of each document as keyed state that begins with the index.
+"""The newest entry of each document as streaming state that begins with the index.
 
-The index is read once, when the stream starts; from then on a micro-batch meets
-only the state of its own documents, however many runs the index has.
+The index is read once, in the first micro-batch; from then on a micro-batch meets
+only the state of its own documents, however many runs the index has. The state is a
+native aggregate: an index row enters it like an event, so seeding costs one shuffle
+of the index and no call per document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.decide import NO_CUT, index_seconds
 from ..operators.state import INDEX_COLUMNS
-from ..sources.index_store import IndexStore
+from ..sources import storage
+from ..sources.index_store import INDEX, IndexStore
 from .feed import batch_key
 
 _ENTRY = [c for c in INDEX_COLUMNS if c != "doc_id"]
-_TYPES = {c: "INT" if c == "media_type" else "STRING" for c in _ENTRY}
-_STATE = "t BIGINT, seq BIGINT, " + ", ".join(f"{c} {t}" for c, t in _TYPES.items())
-_RESULT = "doc_id STRING, " + ", ".join(f"{c} {t}" for c, t in _TYPES.items())
 # An entry of the index stands before any event of the same time.
 _INDEXED = -1
 
 
-def _best(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of each document the event with the highest time, the earliest of those."""
-    ordered = rows.sort_values(["doc_id", "t", "seq"], ascending=[True, False, True], kind="stable")
-    return ordered.drop_duplicates("doc_id")
-
-
-def combined(feed: DataFrame) -> DataFrame:
-    """Successful events, one per document of each Arrow batch, so that a document with very
-    many events sends few of them to its state."""
-    chosen = feed.where("ok").select("doc_id", F.greatest("t", F.lit(0)).cast("bigint").alias("t"), "seq", *_ENTRY)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = _best(batch.select(["doc_id", "t", "seq"]).to_pandas())
-            yield batch.take(pa.array(best.index.to_numpy()))
-
-    return chosen.mapInArrow(run, chosen.schema)
-
+def _ranked(rows: DataFrame, t: str, seq) -> DataFrame:
+    """``doc_id``, the rank of a row, its entry with the micro-batch it came in."""
+    rank = F.struct(F.greatest(F.col(t), F.lit(0)).cast("bigint").alias("t"), (-seq).cast("bigint").alias("earlier"))
+    # in a stream this is the time of the micro-batch, also when that is repeated
+    entry = F.struct(*_ENTRY, F.current_timestamp().alias("came"), (seq == _INDEXED).alias("indexed"))
+    return rows.select("doc_id", rank.alias("rank"), entry.alias("entry"))
 
-class Newest(StatefulProcessor):
-    """Time, number and entry of the newest event of a document."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("newest", _STATE)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = next(initialState.itertuples(index=False))
-        self.held.update((int(row.known_t), _INDEXED, *[getattr(row, c) for c in _ENTRY]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.held.get() if self.held.exists() else None
-        best = before
-        for frame in rows:
-            row = next(_best(frame).itertuples(index=False))
-            if best is None or (row.t, -row.seq) > (best[0], -best[1]):
-                best = (int(row.t), int(row.seq), *[getattr(row, c) for c in _ENTRY])
-        if best is not before:
-            self.held.update(best)
-            yield pd.DataFrame({"doc_id": [key[0]], **{c: [v] for c, v in zip(_ENTRY, best[2:])}})
-
-    def close(self) -> None:
-        pass
+def newest_from(feed: DataFrame, index: DataFrame) -> DataFrame:
+    """Entries of a streamed feed (index columns and ``seq, t, ok``, numbers from 0) that are newer
+    than what the index or an earlier event says, as a stream of changes.
+
+    ``index`` is a stream as well; its rows have to come as a whole with the first events. Partial
+    maxima are combined before the state, so a document with very many events sends few rows
+    to it. A document whose newest entry is none of the micro-batch's events is no change.
+    """
+    known = _ranked(index.withColumn("t", index_seconds("update_time")), "t", F.lit(_INDEXED))
+    events = _ranked(feed.where("ok"), "t", F.col("seq"))
+    newest = known.unionByName(events).groupBy("doc_id").agg(
+        F.max_by("entry", "rank").alias("entry"), F.max("entry.came").alias("last")
+    )
+    changed = ~F.col("entry.indexed") & (F.col("entry.came") == F.col("last"))
+    return newest.where(changed).select("doc_id", *[F.col(f"entry.{c}").alias(c) for c in _ENTRY])
 
 
-def newest_from(feed: DataFrame, index: DataFrame) -> DataFrame:
-    """Entries of a streamed feed (index columns and ``seq, t, ok``) that are newer than what
-    the index or an earlier event says, as a stream of changes."""
-    known = index.select("doc_id", index_seconds("update_time").alias("known_t"), *_ENTRY).groupBy("doc_id")
-    return combined(feed).groupBy("doc_id").transformWithStateInPandas(Newest(), _RESULT, "Update", "None", initialState=known)
+def _seed(store: IndexStore, checkpoint: str) -> DataFrame:
+    """The index as a stream, as it stood when the checkpoint was new. A file stream without a
+    bound takes all files at once, and none of them again after a restart."""
+    folder = f"{checkpoint.rstrip('/')}-seed"
+    if "_SUCCESS" not in storage.names(store.spark, folder):
+        store.load().write.mode("overwrite").parquet(folder)
+    return store.spark.readStream.schema(INDEX).parquet(folder)
 
 
 def keep_newest_from(feed: DataFrame, store: IndexStore, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -89,7 +67,7 @@ def keep_newest_from(feed: DataFrame, store: IndexStore, checkpoint: str, trigge
         store.compact(64)
 
     return (
-        newest_from(feed, store.load())
+        newest_from(feed, _seed(store, checkpoint))
         .writeStream.outputMode("update")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)

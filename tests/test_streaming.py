@@ -200,3 +200,23 @@ def test_requests_close_by_answer_or_timer(spark, tmp_path):
     resolved.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(out).where("request_id >= 0").collect()]
     assert len(got) == len(want) and {r[0]: r for r in got} == want
+
+
+def test_seeded_state_is_native_and_takes_the_index_once(spark, tmp_path):
+    """No Python call per document; a batch appends changed documents only, a restart reads no index."""
+    held = streams.as_index_changes(spark.createDataFrame([("a", 0, 50, True), ("b", 1, 5, True), ("c", 2, 7, True)], FEED), "root", "then")
+    rows = [("a", 0, 10, True), ("b", 1, 20, True), ("n", 2, 1, True), ("b", 3, 15, True), ("n", 4, 9, False), ("c", 5, 7, True)]
+    feed = streams.as_index_changes(spark.createDataFrame(rows, FEED), "root", "now")
+    store, checkpoint = IndexStore(spark, str(tmp_path / "index")), str(tmp_path / "cp")
+    store.append(held, 0)
+    source = replay.as_stream(feed, "seq", batches=2)
+    assert source.isStreaming and "python" not in state.newest_from(feed, held)._jdf.queryExecution().executedPlan().toString().lower()
+    state.keep_newest_from(source, store, checkpoint).awaitTermination()
+
+    def appended():
+        return [sorted(r["doc_id"] for r in spark.read.parquet(f"{store.root}/{f}").collect()) for f in store.state().changes]
+
+    assert appended() == [["a", "b", "c"], ["b", "n"], []]  # the run before, then the two batches
+    state.keep_newest_from(source, store, checkpoint).awaitTermination()  # nothing new arrived
+    assert len(appended()) == 3
+    assert {r["doc_id"]: r["update_time"] for r in store.load().collect()} == {"a": "50", "b": "20", "c": "7", "n": "1"}
