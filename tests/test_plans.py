@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkmirror.operators import bodies, decide, images, key_filter, requests, scans
+from inkmirror.operators import bodies, decide, images, key_filter, naming, requests, scans
 from inkmirror.plans.fixtures import relation
 from inkmirror.plans.queries import QUERIES
 
@@ -107,3 +107,20 @@ def test_bitmap_bounds(spark, monkeypatch):
         assert kept.columns == wide.columns and kept.where("k < 500").count() == 499 and kept.where("k IS NULL").count() == 0
     monkeypatch.setattr(key_filter, "MAX_PAGES", 0)
     assert key_filter.only_wanted(wide, some, "k", 500).count() == 999
+
+
+def test_texts_do_not_move_to_settings_or_files(spark):
+    """Notes keep their texts where they lie; an index that knows its files moves no decided row."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        notes = plan_of(relation(spark, SF_DIR, "fx_notes"))
+        actions = spark.createDataFrame([("d", "p", "update")], "doc_id STRING, index_path STRING, action STRING")
+        files = spark.createDataFrame([("p",)], "path STRING")
+        known = naming.with_files(spark.createDataFrame([("d", "p"), ("e", "q")], "doc_id STRING, path STRING"), files)
+        targets = naming.write_targets(actions.withColumn("there", F.lit(True)), files)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in notes and notes.count("BroadcastHashJoin") == 1
+    assert {r["doc_id"]: r["there"] for r in known.collect()} == {"d": True, "e": False}
+    assert "Exchange" not in plan_of(targets) and targets.first()["in_place"]
