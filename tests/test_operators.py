@@ -518,3 +518,18 @@ def test_note_offsets_edges(spark):
         assert sorted((r["listing"], r["page_offset"], r["kind"], r["from_entry"], r["until_entry"]) for r in found) == [
             ("a", 45, "gap", 40, 45), ("a", 50, "overlap", 50, 52), ("b", 5, "gap", 0, 5),
         ]
+
+
+def test_data_uris_step_by_step(spark):
+    """Blanks, padding and line ends of data URIs, each with the bytes of a plain decoder."""
+    cases = {
+        "data:image/png;base64,aGk=": b"hi", "data:image/png;base64,aGk": b"hi", "data:a/b;base64, aG\tk =\f": b"hi",
+        "data:a/b;base64,": b"", "data:a/b;base64,aG\nk=": None, "data:a/b;base64,aGk=\r": None, "data:a/b;base64,aGk ": None,
+        "data:a/b;base64,aGk==": None, "data:a/b;base64,a===": None, "data:a/b;base64,aGkhaGkh": b"hi!hi!",
+        "data:a b;base64,aGk=": None, "data:;base64,aGk=": None, " data:a/b;base64,aGk=": None, "data:a/b;base64,a,Gk": None,
+        "data:a/b;base64,aGkhaQ==": b"hi!i", "data:a/b;base64,é": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "uri STRING").withColumn("b", images.data_uri_bytes(F.col("uri")))
+    assert {r["uri"]: None if r["b"] is None else bytes(r["b"]) for r in rows.collect()} == cases
+    # the address is read in few steps, however long it is
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract") == 1
