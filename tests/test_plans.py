@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from inkmirror.operators import bodies, decide, images, key_filter, naming, requests, scans
+from inkmirror.operators import bodies, chains, decide, images, key_filter, naming, requests, scans
 from inkmirror.plans.fixtures import relation
 from inkmirror.plans.queries import QUERIES
 
@@ -124,3 +124,19 @@ def test_texts_do_not_move_to_settings_or_files(spark):
     assert "SortMergeJoin" not in notes and notes.count("BroadcastHashJoin") == 1
     assert {r["doc_id"]: r["there"] for r in known.collect()} == {"d": True, "e": False}
     assert "Exchange" not in plan_of(targets) and targets.first()["in_place"]
+
+
+def test_chain_rounds_are_not_broadcast(spark):
+    """Rounds of a chain stay off the driver, and move numbers instead of cursors."""
+    rows = [("k", f"c{i}", f"c{i + 1}" if i < 9 else None) for i in range(10)] + [("l", "a", "b"), ("l", "b", "a")]
+    nodes = spark.createDataFrame(rows, "k STRING, at STRING, to STRING")
+    ranked = chains.rank_chain(nodes, ["k"], "at", "to", F.col("at").isin("c0", "a"))
+    assert "Broadcast" not in plan_of(ranked)
+    assert {(r["k"], r["at"]): r["rank"] for r in ranked.collect()} == {**{("k", f"c{i}"): i for i in range(10)}, ("l", "a"): 0, ("l", "b"): 1}
+
+
+def test_claims_are_kept_without_their_paths(spark):
+    """Names and paths are worked out again, neither moved to the winners nor written."""
+    rows = spark.createDataFrame([(i, f"d{i}", "p", "t") for i in range(3)], "seq BIGINT, doc_id STRING, parent STRING, base STRING")
+    claims = naming.claim_paths(rows)
+    assert "path:string" not in plan_of(claims) and claims.count() == 3
