@@ -1,13 +1,17 @@
 """Files on storage: whole or not at all, kept or replaced."""
 
+import gzip
 import hashlib
+import uuid
 
+import pyarrow as pa
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from inkmirror.plans.export import write_vault
 from inkmirror.sources import vault_files
-from inkmirror.sources.vault_files import KEEP, REPLACE, VaultWriter, write_files
+from inkmirror.sources.vault_files import KEEP, REPLACE, VaultWriter, read_files, write_files
 from test_run import one_item_run
 
 
@@ -75,3 +79,54 @@ def test_a_run_as_files(spark, tmp_path):
     assert got["root/K/t.pdf"] == b"b" and got["root/K/t.md"].startswith(b"---\ntitle: ")
     written = {r["path"]: hashlib.md5(r["content"].encode()).hexdigest() for r in result.documents.collect()}
     assert {p: hashlib.md5(b).hexdigest() for p, b in got.items() if p.endswith(".md")} == written
+
+
+def tasks_of(spark, work):
+    """What ``work`` gives, and the number of tasks of each of its stages."""
+    group, status = uuid.uuid4().hex, spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    done = work()
+    stages = [s for job in status.getJobIdsForGroup(group) for s in status.getJobInfo(job).stageIds]
+    return done, [info.numTasks for info in map(status.getStageInfo, stages) if info]
+
+
+def test_files_are_spread_over_tasks(spark, tmp_path):
+    """One partition of very small rows is written by several tasks, and files are read by as many as a
+    shuffle has, not by one for each few."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(300, numPartitions=1).select(F.concat(F.lit("d/f"), "id").alias("path"), F.lit(b"x").alias("body"))
+    _, tasks = tasks_of(spark, lambda: write_files(rows, str(tmp_path / "v")))
+    assert max(tasks) == most > 1
+    got, tasks = tasks_of(spark, lambda: read_files(spark, str(tmp_path / "v")).collect())
+    assert len(got) == 300 and max(tasks) == most
+
+
+def test_a_file_that_is_kept_is_not_staged(tmp_path):
+    (tmp_path / "one").write_bytes(b"1")
+    writer = VaultWriter(str(tmp_path), KEEP)
+    message = writer.write(iter([{"path": "one", "body": b"other"}, {"path": "d/two", "body": b"2"}, {"path": "d/three", "body": b"3"}]))
+    assert (message.written, message.kept) == (2, 1)
+    assert files(tmp_path / writer.staging) == {}  # nothing is left over for the commit to delete
+    writer.commit([message])
+    assert files(tmp_path) == {"one": b"1", "d/two": b"2", "d/three": b"3"}
+
+
+def test_files_as_rows(spark, tmp_path, monkeypatch):
+    """All of them as they are, in folders of any depth; what is being staged is none, a folder that is not there has none."""
+    want = {"a/b/c/one.gz": gzip.compress(b"1"), "a/two": b"", "ü ß/%20.md": "é".encode(), "_x/.y": b"y", "top": b"t"}
+    rows = spark.createDataFrame(list(want.items()), "path STRING, body BINARY")
+    write_files(rows, str(tmp_path))
+    (tmp_path / ".staging-1" / "0").mkdir(parents=True)
+    (tmp_path / ".staging-1" / "0" / "0").write_bytes(b"not yet")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        assert {r["path"]: bytes(r["content"]) for r in read_files(spark, root).collect()} == want
+    assert read_files(spark, str(tmp_path / "none")).collect() == []
+    # names are handed on in parts, and listed alike where a folder comes as a whole
+    monkeypatch.setattr(vault_files, "NAMES_AT_ONCE", 2)
+    folders = [pa.record_batch({"path": ["", "a"]})]
+    parts = list(vault_files._listing(str(tmp_path))(iter(folders)))
+    assert max(p.num_rows for p in parts) <= 2
+    assert {e["path"] for p in parts for e in p.to_pylist()} == {"a", "ü ß", "_x", "top", "a/b", "a/two"}
+    other = fs.SubTreeFileSystem("/", fs.LocalFileSystem())
+    assert sorted(vault_files._entries(other, str(tmp_path))) == sorted(vault_files._entries(fs.LocalFileSystem(), str(tmp_path)))
+    assert list(vault_files._entries(other, str(tmp_path / "none"))) == []
