@@ -1,9 +1,13 @@
 """Streams: final state equals the batch, order and repeats do not matter."""
 
+import json
 import random
+from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkmirror.operators import requests
@@ -202,6 +206,55 @@ def test_requests_close_by_answer_or_timer(spark, tmp_path):
     assert len(got) == len(want) and {r[0]: r for r in got} == want
 
 
+@pytest.mark.parametrize("groups", [1, 7])
+def test_requests_share_state_and_timers(spark, tmp_path, groups):
+    """Random logs over several micro-batches, also requests without an id: the state has a row per group,
+    an answer closes its request before the timer, and all is forgotten in the end."""
+    rng, rows = random.Random(groups), []
+    codes = [(200, '{"code":0}'), (403, '{"code":1}'), (503, None), (429, None), (500, None)]
+    for request in [None, *range(200)]:
+        at = 1_700_000_000 + rng.randrange(0, 600) * (request is not None)
+        for attempt in range(1, rng.randrange(1, 6) + 1):
+            if rng.random() < 0.9:
+                rows.append((request, attempt, *rng.choice(codes), at))
+            at += min(2 ** (attempt - 1), 8)
+    rows += [(-1, 1, 200, '{"code":0}', 1_700_100_000), (-2, 1, 200, '{"code":0}', 1_700_200_000)]
+    frame = spark.createDataFrame(rows, "request_id BIGINT, attempt INT, status INT, payload STRING, s BIGINT")
+    timed = frame.select("request_id", "attempt", "status", "payload", F.timestamp_seconds("s").alias("ts"), "s")
+    want = {r["request_id"]: tuple(r) for r in requests.resolve(requests.classify(timed)).where("request_id >= 0 OR request_id IS NULL").collect()}
+    # numbers by time, so that each micro-batch has a part of the log
+    order = timed.withColumn("n", F.row_number().over(Window.orderBy("s", "request_id", "attempt")))
+    source = replay.as_stream(order, "n", batches=4)
+    resolved = request_stream.resolve_stream(source, "ts", groups=groups)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    query = resolved.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(out).where("request_id >= 0 OR request_id IS NULL").collect()]
+    assert len(got) == len(want) and {r[0]: r for r in got} == want
+    # a row and a timer (with its index) per group, and two for requests without an id
+    kept = [p["stateOperators"][0] for p in query.recentProgress]
+    assert max(k["numRowsTotal"] for k in kept) <= 3 * (groups + 1)
+    # the first micro-batch closes by answers alone
+    assert kept[0]["customMetrics"]["numExpiredTimers"] == 0
+    first = spark.read.parquet(out).where(F.input_file_name().isin(_files_of_batch(spark, out, 0))).count()
+    assert first > 0
+
+
+def _files_of_batch(spark, out, number):
+    entries = [json.loads(line) for line in Path(f"{out}/_spark_metadata/{number}").read_text().splitlines()[1:]]
+    return [e["path"] for e in entries]
+
+
+def test_attempts_are_folded_in_order_of_arrival():
+    """The first attempt that ends a request counts, of the same attempt the first that arrived."""
+    columns = ["request_id", "seen", "terminal", "deadline", "outcome", "closed"]
+    big = 2**62 + 1
+    rows = [(big, 1, 0, 5, "", False), (3, 4, 3, 9, "fatal", False), (big, 2, 2, 4, "success", False), (3, 2, 2, 7, "quota", True), (3, 2, 2, 8, "fatal", False)]
+    got = request_stream.fold(pd.DataFrame(rows, columns=columns))
+    assert [tuple(r) for r in got[columns].itertuples(index=False)] == [(3, 6, 2, 9, "quota", True), (big, 3, 2, 5, "success", False)]
+    assert request_stream.fold(pd.DataFrame([], columns=columns)).empty
+
+
 def test_seeded_state_is_native_and_takes_the_index_once(spark, tmp_path):
     """No Python call per document; a batch appends changed documents only, a restart reads no index."""
     held = streams.as_index_changes(spark.createDataFrame([("a", 0, 50, True), ("b", 1, 5, True), ("c", 2, 7, True)], FEED), "root", "then")
