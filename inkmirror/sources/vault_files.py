@@ -70,18 +70,30 @@ def _within(path: str) -> bool:
     return path != "" and not path.startswith("/") and ".." not in parts and "\0" not in path
 
 
+def _parts(rows: Iterator[Row]) -> Iterator[list[Row]]:
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += len(row["body"] or b"")
+        if len(part) >= NAMES_AT_ONCE or held >= BYTES_AT_ONCE:
+            yield part
+            part, held = [], 0
+    yield part
+
+
 @contextmanager
-def _moving(system: fs.FileSystem, staging: str) -> Iterator[None]:
-    """Tasks of a job move their files one after the other if the folder is local: each move between
-    folders locks the whole file system there, and many that wait for it slow each other down.
-    Files are right without it, so storage that has no such lock goes on."""
+def _turn(system: fs.FileSystem, staging: str, kind: int) -> Iterator[None]:
+    """Tasks of a job move their files one after the other if the folder is local, and none looks for
+    files meanwhile: each move between folders locks the whole file system and its target there, and
+    many that wait for it slow each other down. Files are right without it, so storage that has no
+    such lock goes on."""
     if not isinstance(system, fs.LocalFileSystem):
         yield
         return
     folder = os.open(staging, os.O_RDONLY)
     try:
         with suppress(OSError):
-            fcntl.flock(folder, fcntl.LOCK_EX)
+            fcntl.flock(folder, kind)
         yield
     finally:
         os.close(folder)
@@ -107,20 +119,23 @@ class VaultWriter(DataSourceWriter):
         own = f"{root}/{self.staging}/{context.taskAttemptId() if context else uuid.uuid4().hex}"
         system.create_dir(own, recursive=True)
         staged, no_body, kept = [], 0, 0
-        for row in iterator:
-            if row["path"] is None or row["body"] is None:
-                no_body += 1
-                continue
-            if not _within(row["path"]):
-                raise ValueError(f"not a path in the vault: {row['path']!r}")
-            if self._kept(system, f"{root}/{row['path']}"):
-                kept += 1
-                continue
-            with system.open_output_stream(f"{own}/{len(staged)}") as out:
-                out.write(bytes(row["body"]))
-            staged.append(row["path"])
+        for part in _parts(iterator):
+            rows = [row for row in part if row["path"] is not None and row["body"] is not None]
+            no_body += len(part) - len(rows)
+            for row in rows:
+                if not _within(row["path"]):
+                    raise ValueError(f"not a path in the vault: {row['path']!r}")
+            new = rows
+            if self.existing == KEEP:
+                with _turn(system, f"{root}/{self.staging}", fcntl.LOCK_SH):
+                    new = [row for row in rows if not self._kept(system, f"{root}/{row['path']}")]
+            kept += len(rows) - len(new)
+            for row in new:
+                with system.open_output_stream(f"{own}/{len(staged)}") as out:
+                    out.write(bytes(row["body"]))
+                staged.append(row["path"])
         written, folders = 0, set()
-        with _moving(system, f"{root}/{self.staging}"):
+        with _turn(system, f"{root}/{self.staging}", fcntl.LOCK_EX):
             for number, path in enumerate(staged):
                 target = f"{root}/{path}"
                 # another task may have written it in the meantime
