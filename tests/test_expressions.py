@@ -25,6 +25,11 @@ def test_trim(evaluate):
     assert evaluate(trim_start("s"), "s STRING", ["\n a \n"]) == ["a \n"]
 
 
+def test_leading_int_of_what_a_cast_reads_otherwise(evaluate):
+    rows = ["12.7", ".5", "-.5", "7 8", "12 ", "1e3", "9" * 20, "\u0663", "\u00051", "12\u0000", "0x1F", "99L"]
+    assert evaluate(leading_int("s"), "s STRING", rows) == [12, None, None, 7, 12, 1, None, None, None, 12, 0, 99]
+
+
 def test_leading_int(evaluate):
     assert evaluate(leading_int("s"), "s STRING", ["12abc", " -5", "x1", "", None, "+7"]) == [12, -5, None, None, None, 7]
 

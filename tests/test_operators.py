@@ -31,6 +31,39 @@ def test_fold_equals_the_loop(spark, group_rows):
     assert {**index, **last} == final
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_fold_of_documents_that_may_come_again(spark, seed):
+    """The same actions, whether or not those that occur once are told apart; missing ids are one document."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *[f"d{i}" for i in range(40)]]), seq, rng.randrange(5), rng.random() < 0.7) for seq in range(60)]
+    feed = spark.createDataFrame(rows, "doc_id STRING, seq BIGINT, t BIGINT, ok BOOLEAN")
+    index = spark.createDataFrame([(f"d{i}", "p", str(i % 4)) for i in range(0, 40, 2)], "doc_id STRING, path STRING, update_time STRING")
+    marked = scans.with_again(feed, "doc_id")
+    often = {d for d in {r[0] for r in rows} if sum(r[0] == d for r in rows) > 1}
+    assert often and all(r["again"] for r in marked.collect() if r["doc_id"] in often) and marked.where("NOT again").count()
+    want = [r["action"] for r in decide.fold_actions(feed, index, 3).orderBy("seq").collect()]
+    assert [r["action"] for r in decide.fold_actions(marked, index, 3).orderBy("seq").collect()] == want
+
+
+def test_folders_beyond_a_window_group(spark):
+    """Numbers and visits do not depend on how many rows a folder may hold; documents and
+    folders of one place and id included."""
+    rows = [("k", f"folder_{i}", "" if i < 2 else f"folder_{i % 2}", f"t{i}", 99, i % 3) for i in range(6)]
+    rows += [("k", f"d{i}", f"folder_{i % 6}", "x", 6, i % 4) for i in range(40)] + [("k", "same", "folder_1", "x", 6, 2)] * 2
+    items = spark.createDataFrame(rows, "kb_id STRING, media_id STRING, parent_folder_id STRING, title STRING, media_type INT, pos BIGINT")
+    bases = spark.createDataFrame([("k", "K", 0)], "kb_id STRING, kb_name STRING, kb_pos INT")
+    folders, _ = tree.expand_folders(items, bases, "root")
+    placed = tree.place_items(items, folders)
+    got = []
+    for group_rows in (1, 5, 1000):
+        numbered, starts = tree.walk(placed, folders, group_rows=group_rows)
+        got.append((
+            [(r["seq"], r["media_id"], r["parent_path"]) for r in numbered.orderBy("seq").collect()],
+            sorted((r["node"], r["seq"], r["visit"]) for r in starts.collect()),
+        ))
+    assert got[0] == got[1] == got[2] and [r[0] for r in got[0][0]] == list(range(42))
+
+
 def test_hot_key_is_split_over_groups(spark):
     rows = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("seq"))
     out = scans.running_before(rows, ["k"], "seq", {"n": ("sum", F.lit(1)), "m": ("max", F.col("seq"))}, 100)

@@ -135,6 +135,29 @@ def test_chain_rounds_are_not_broadcast(spark):
     assert {(r["k"], r["at"]): r["rank"] for r in ranked.collect()} == {**{("k", f"c{i}"): i for i in range(10)}, ("l", "a"): 0, ("l", "b"): 1}
 
 
+def test_documents_that_occur_once_are_not_moved(spark):
+    """Nothing stands before them in a run, and a feed that met its index meets it once."""
+    rows = [(f"d{i}", i, 5, True, i % 2 == 0, 3, f"p{i}") for i in range(6)]
+    schema = "doc_id STRING, seq BIGINT, t BIGINT, ok BOOLEAN, known BOOLEAN, known_t BIGINT, index_path STRING"
+    once = scans.with_again(spark.createDataFrame(rows, schema), "doc_id")
+    index = spark.createDataFrame([("d0", "p0", "3")], "doc_id STRING, path STRING, update_time STRING")
+    folded = decide.fold_actions(once, index)
+    assert "Exchange" not in plan_of(folded)
+    assert [r["action"] for r in folded.orderBy("seq").collect()] == ["update", "create"] * 3
+
+
+def test_documents_of_a_folder_are_moved_once(spark):
+    """Up to a window group no folder is sorted over all tasks."""
+    rows = spark.range(20).select((F.col("id") % 3).alias("k"), F.col("id").alias("place"), F.lit("x").alias("id"))
+    none = rows.select("k").where(F.lit(False))
+    totals = scans.with_total_before_in(rows, "k", ["place", "id"], {"before": F.lit(1)}, none)
+    plan = plan_of(totals)
+    assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
+    some = scans.with_total_before_in(rows, "k", ["place", "id"], {"before": F.lit(1)}, spark.createDataFrame([(1,)], "k BIGINT"))
+    for got in (totals, some):
+        assert sorted((r["place"], r["before"]) for r in got.collect()) == [(i, i // 3) for i in range(20)]
+
+
 def test_claims_are_kept_without_their_paths(spark):
     """Names and paths are worked out again, neither moved to the winners nor written."""
     rows = spark.createDataFrame([(i, f"d{i}", "p", "t") for i in range(3)], "seq BIGINT, doc_id STRING, parent STRING, base STRING")
